@@ -103,7 +103,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     by_shard = stash(placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("target")), "shards")
     by_source = by_shard.groupBy("source").agg(F.first("target").alias("target"), (2 * F.sum(blocks)).alias("most"), F.lit(0).cast("long").alias("shard"))
     by_source = by_source.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_tokens).cast("long"))
-    quotas = by_source.groupBy(F.lit(0)).applyInPandas(_apportion("target", "seats", "most"), "source string, target double, most long, shard long, seats long, quota long")
+    quotas = by_source.groupBy("shard").applyInPandas(_apportion("target", "seats", "most"), "source string, target double, most long, shard long, seats long, quota long")
     quotas = stash(quotas.select(F.col("source").alias("of"), F.col("quota").alias("seats")), "quotas")
     shard_rows = by_shard.join(quotas, by_shard["source"].eqNullSafe(quotas["of"])).select("source", "shard", "shard_size", (2 * blocks).alias("most"), F.coalesce("seats", F.lit(0)).alias("seats"))
     dealt = shard_rows.groupBy("source").applyInPandas(_apportion("shard_size", "seats", "most"), "source string, shard long, shard_size long, most long, seats long, quota long")
