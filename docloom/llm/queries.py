@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import exact_dedup as _exact
+from docloom.llm import fingerprints as _fingerprints
 from docloom.llm import mixing as _mixing
+from docloom.llm import urls as _urls
+from docloom.llm import warc as _warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +19,30 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_mixing": op5_mixing}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_fingerprints": op3_fingerprints,
+    "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
+    "op9_url_filters": op9_url_filters,
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
@@ -29,5 +50,13 @@ WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
+""",
+    "op6_warc": """
+WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS original FROM t WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT t.page_id, t.payload_bytes, t.payload_digest,
+       CASE WHEN g.original IS NOT NULL AND g.original <> t.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.original <> t.page_id THEN g.original END AS refers_to
+FROM t LEFT JOIN g ON t.payload_digest = g.payload_digest AND t.payload_bytes = g.payload_bytes
 """,
 }
