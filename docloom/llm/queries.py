@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import exact_dedup as _exact
 from docloom.llm import fingerprints as _fingerprints
 from docloom.llm import mixing as _mixing
+from docloom.llm import quality as _quality
 from docloom.llm import urls as _urls
 from docloom.llm import warc as _warc
 
@@ -23,6 +24,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +44,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op9_url_filters": op9_url_filters,
