@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import exact_dedup as _exact
 from docloom.llm import fingerprints as _fingerprints
+from docloom.llm import jaccard_join as _jaccard
 from docloom.llm import mixing as _mixing
 from docloom.llm import quality as _quality
 from docloom.llm import urls as _urls
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_quality": op4_quality,
