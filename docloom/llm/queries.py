@@ -8,6 +8,7 @@ from docloom.llm import exact_dedup as _exact
 from docloom.llm import fingerprints as _fingerprints
 from docloom.llm import jaccard_join as _jaccard
 from docloom.llm import mixing as _mixing
+from docloom.llm import packing as _packing
 from docloom.llm import quality as _quality
 from docloom.llm import urls as _urls
 from docloom.llm import warc as _warc
@@ -42,6 +43,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
+    "op7_packing": op7_packing,
     "op9_url_filters": op9_url_filters,
 }
 
