@@ -9,6 +9,7 @@ from docloom.llm import fingerprints as _fingerprints
 from docloom.llm import jaccard_join as _jaccard
 from docloom.llm import mixing as _mixing
 from docloom.llm import packing as _packing
+from docloom.llm import paragraphs as _paragraphs
 from docloom.llm import quality as _quality
 from docloom.llm import urls as _urls
 from docloom.llm import warc as _warc
@@ -47,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paragraphs.paragraph_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
+    "op8_paragraphs": op8_paragraphs,
     "op9_url_filters": op9_url_filters,
 }
 
