@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup as _exact
 from docloom.llm import fingerprints as _fingerprints
@@ -11,6 +12,7 @@ from docloom.llm import mixing as _mixing
 from docloom.llm import packing as _packing
 from docloom.llm import paragraphs as _paragraphs
 from docloom.llm import quality as _quality
+from docloom.llm import suffix_dedup as _suffix
 from docloom.llm import urls as _urls
 from docloom.llm import warc as _warc
 
@@ -56,6 +58,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _suffix.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,6 +73,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_paragraphs": op8_paragraphs,
     "op9_url_filters": op9_url_filters,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
