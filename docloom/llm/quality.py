@@ -138,10 +138,18 @@ class RuleModel:
     intercept: float
 
     def score(self, of: dict[str, Column]) -> Column:
-        """The chance of label 1, from columns of the statistics."""
-        terms = (F.when(r.column(of), F.lit(w)).otherwise(F.lit(0.0)) for r, w in zip(self.rules, self.weights))
-        margin = reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        """The chance of label 1, from columns of the statistics.
+
+        The statistics are bound to a name once, as many rules read each of them.
+        """
+
+        def margin(row: Column) -> Column:
+            read = {n: row[n] for n in of}
+            terms = (F.when(r.column(read), F.lit(w)).otherwise(F.lit(0.0)) for r, w in zip(self.rules, self.weights))
+            return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
+
+        bound = F.transform(F.array(F.struct(*[c.alias(n) for n, c in of.items()])), margin)[0]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-bound))
 
 
 def held_out(id_col: str) -> Column:
