@@ -4,11 +4,683 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docloom.functions import fixed, text
+from docloom.operators import analytics, chunking, citations, graph, retrieval, rules, store
+from docloom.plans.tables import CHUNKS_SQL, chunks, table
+from docloom.sources import files
+from docloom.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return hybrid_retrieval(spark, sf_dir)
+
+
+# --- retrieval ---------------------------------------------------------------
+
+_TERMS = ["the", "and", "thnd"]
+_WORDS = r"[a-zA-Z]+"
+
+
+def _documents_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
+
+
+_BM25_SQL = """
+terms AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS terms FROM documents),
+size AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM terms),
+asked(query_id, term) AS (VALUES (0, 'the'), (0, 'license'), (1, 'de'), (1, 'apache'), (1, 'and')),
+tf AS (SELECT id, len(terms) AS dl, term, count(*) AS tf FROM (SELECT id, terms, unnest(terms) AS term FROM terms) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+           FROM tf JOIN df USING (term) JOIN asked USING (term), size GROUP BY query_id, id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+"""
+
+
+def _asked(spark):
+    return spark.createDataFrame([(0, ["the", "license"]), (1, ["de", "apache", "and"])], "query_id long, terms array<string>")
+
+
+@query("WITH" + _BM25_SQL + "SELECT query_id, id, round(score, 6) AS score, rank FROM best WHERE rank <= 50")
+def bm25_search(spark, sf_dir):
+    return retrieval.bm25(_documents_terms(spark, sf_dir), _asked(spark)).withColumn("score", F.round("score", 6))
+
+
+_KNN_SQL = """
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT q.id AS query_id, v.id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS similarity FROM v, v AS q WHERE q.id < 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM near)
+"""
+
+
+def _vector_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.nearest(vectors.where("id < 2").withColumnRenamed("id", "query_id"), vectors)
+
+
+@query("WITH" + _KNN_SQL + "SELECT query_id, id, round(similarity, 5) AS similarity FROM top WHERE rank <= 50")
+def vector_search(spark, sf_dir):
+    return _vector_neighbours(spark, sf_dir).select("query_id", "id", F.round("similarity", 5).alias("similarity"))
+
+
+_FUSED_SQL = "WITH" + _BM25_SQL + "," + _KNN_SQL + """,
+both_lists AS (SELECT query_id, id, rank FROM best WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM top WHERE rank <= 50),
+fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_lists GROUP BY query_id, id)
+"""
+
+
+@query(_FUSED_SQL + "SELECT query_id, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM fused) WHERE r <= 50")
+def hybrid_search(spark, sf_dir):
+    lists = [retrieval.bm25(_documents_terms(spark, sf_dir), _asked(spark)), _vector_neighbours(spark, sf_dir)]
+    return retrieval.fused(lists).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+@query(
+    _FUSED_SQL
+    + """, cand AS (
+  SELECT f.query_id, f.id, f.score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f.id) AS rank, d.source AS document_id, sha256(d.text) AS content_hash,
+         CASE d.doc_id % 5 WHEN 0 THEN 1.2 WHEN 1 THEN 1.2 WHEN 2 THEN 1.25 ELSE 1.0 END::DOUBLE AS boost, 'Lab. Code § ' || (d.doc_id % 90) || '.' AS citation
+  FROM fused f JOIN documents d ON d.doc_id = f.id),
+boosted AS (SELECT query_id, id, rank, document_id, content_hash,
+  CASE WHEN query_id = 0 THEN score * boost * CASE WHEN citation LIKE '%12%' THEN 2.0 ELSE 1.0 END * CASE WHEN citation LIKE '%§ 12.%' THEN 2.0 ELSE 1.0 END ELSE score END AS score FROM cand WHERE rank <= 50),
+dedup AS (SELECT * FROM boosted QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) = 1),
+div AS (SELECT * FROM dedup QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) <= 3)
+SELECT query_id, id, final_rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS final_rank FROM div) WHERE final_rank <= 10"""
+)
+def hybrid_retrieval(spark, sf_dir):
+    lists = [retrieval.bm25(_documents_terms(spark, sf_dir), _asked(spark)), _vector_neighbours(spark, sf_dir)]
+    docs = table(spark, sf_dir, "documents")
+    category = F.element_at(F.array(*[F.lit(c) for c in ("statutory_code", "regulation", "case_law", "faq", "agency_guidance")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), text.content_hash(F.col("text")).alias("content_hash"), F.lit("").alias("content"), category.alias("content_category"), F.concat(F.lit("Lab. Code § "), (F.col("doc_id") % 90).cast("string"), F.lit(".")).alias("citation"))
+    final = retrieval.retrieve(retrieval.fused(lists).join(rows, "id"), F.col("query_id") == 0, F.lit("12"))
+    return final.select("query_id", "id", "final_rank", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {CHUNKS_SQL},
+s AS (SELECT document_id, chunk_index, token_count, lower(content) AS low FROM chunks),
+h AS (SELECT *, (contains(low, 'the')::INT + contains(low, 'and')::INT + contains(low, 'thnd')::INT) / 3.0::DOUBLE AS hits FROM s)
+SELECT document_id, chunk_index, round(least(1.0, hits + CASE WHEN hits > 0 AND token_count >= 300 THEN 0.1 ELSE 0.0 END), 6) AS score FROM h
+ORDER BY least(1.0, hits + CASE WHEN hits > 0 AND token_count >= 300 THEN 0.1 ELSE 0.0 END) DESC, document_id, chunk_index LIMIT 50""")
+def keyword_search(spark, sf_dir):
+    rows = chunks(spark, sf_dir).withColumn("heading_path", F.lit(""))
+    return retrieval.keyword_search(rows, " ".join(_TERMS), 50).select("document_id", "chunk_index", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT content_category, language, count(*) AS n FROM chunks WHERE is_active AND language = 'en' AND content_category IN ('faq', 'agency_guidance') GROUP BY ALL")
+def mode_filter(spark, sf_dir):
+    return retrieval.mode_filter(chunks(spark, sf_dir), "consumer", ["faq", "agency_guidance"]).groupBy("content_category", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS query_id, l_linenumber AS id, l_quantity AS rerank_score, l_discount AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank FROM lineitem),
+b AS (SELECT query_id, rank, CASE WHEN n <= 1 THEN score ELSE 0.7 * CASE WHEN hi > lo THEN (rerank_score - lo) / (hi - lo) ELSE 1 - (rank - 1) / n END + 0.3 * score END AS blend
+      FROM (SELECT *, min(rerank_score) OVER w AS lo, max(rerank_score) OVER w AS hi, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY query_id)))
+SELECT query_id, rank, round(blend, 6) AS blend FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, rank) <= 3""")
+def reranked_lines(spark, sf_dir):
+    w = Window.partitionBy("query_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("query_id", F.col("l_orderkey")).select("query_id", F.col("l_quantity").alias("rerank_score"), F.col("l_discount").alias("score"), F.row_number().over(w).alias("rank"))
+    return retrieval.reranked(rows, top_k=3).select("query_id", "rank", F.round("blend", 6).alias("blend"))
+
+
+@query(f"""WITH {CHUNKS_SQL},
+u AS (SELECT document_id, chunk_index, sum(token_count + 50) OVER (PARTITION BY document_id ORDER BY chunk_index) AS used, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS n FROM chunks)
+SELECT document_id, count(*) AS n_kept, max(used) AS used FROM u WHERE used <= 300 OR n = 1 GROUP BY document_id""")
+def context_budget(spark, sf_dir):
+    kept = retrieval.within_budget(chunks(spark, sf_dir), 300, order="chunk_index", by="document_id")
+    return kept.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_kept"), F.max("used").alias("used"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, greatest(1, length(text) // 4) AS k FROM conversations),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sum(k) OVER (PARTITION BY conv_id) AS total, sum(k) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS tail FROM t),
+h AS (SELECT *, sum(CASE WHEN n <= 2 THEN k ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM m)
+SELECT conv_id, turn FROM h WHERE total <= 120 OR n <= 2 OR tail <= 120 - head""")
+def history_trim(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.estimate_tokens(F.col("text")).alias("token_count"))
+    return retrieval.trimmed_history(turns, 120).select("conv_id", "turn")
+
+
+@query(r"""WITH u AS (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, md5(CASE WHEN n > 1 AND len(regexp_extract_all(text, '\S+')) < 6 THEN f || ' ' || text ELSE text END) AS query_hash FROM u""")
+def follow_up_expansion(spark, sf_dir):
+    return retrieval.expanded_follow_ups(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5("query").alias("query_hash"))
+
+
+@query("""WITH q AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '  What does Lab. Code § ' || p_partkey || '.5 say?? ' WHEN 1 THEN 'see section ' || p_partkey || '(a), please' WHEN 2 THEN '§ ' || p_partkey ELSE 'rights   at work.' END AS q FROM part)
+SELECT id, regexp_replace(trim(regexp_replace(q, '\\s+', ' ', 'g')), '[?.!,;:]+$', '') AS normalized, id % 4 <> 3 AS has_citation,
+ CASE id % 4 WHEN 0 THEN id || '.5' WHEN 1 THEN id || '(a)' WHEN 2 THEN id::VARCHAR END AS cited_section, CASE WHEN id % 4 = 0 THEN 'Lab. Code' END AS cited_code FROM q""".replace("\\\\s", "\\s"))
+def question_preprocessing(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 4
+    asked = F.when(kind == 0, F.concat(F.lit("  What does Lab. Code § "), key, F.lit(".5 say?? "))).when(kind == 1, F.concat(F.lit("see section "), key, F.lit("(a), please"))).when(kind == 2, F.concat(F.lit("§ "), key)).otherwise("rights   at work.")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), asked.alias("q"))
+    return rows.select("id", *[c.alias(n) for n, c in text.question_parts(F.col("q")).items()])
+
+
+# --- store and changes -------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, document_id, chunk_index, token_count, content_hash FROM chunks")
+def chunk_basics(spark, sf_dir):
+    return chunks(spark, sf_dir).select("chunk_id", "document_id", "chunk_index", "token_count", "content_hash")
+
+
+def _snapshots(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_url"), "text")
+    current = docs.where("id % 3 != 0").withColumn("content_hash", text.content_hash(F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))).drop("text")
+    staged = docs.where("id % 7 != 0").withColumn("content_hash", text.content_hash(F.col("text"))).drop("text")
+    return current, staged
+
+
+_SNAPSHOT_SQL = """d AS (SELECT doc_id AS id, 'https://' || source || '/' || doc_id AS source_url, text FROM documents),
+cur AS (SELECT id, source_url, sha256(CASE WHEN id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash FROM d WHERE id % 3 <> 0),
+staged AS (SELECT id, source_url, sha256(text) AS content_hash FROM d WHERE id % 7 <> 0)"""
+
+
+@query(f"WITH {_SNAPSHOT_SQL} SELECT s.source_url, CASE WHEN c.id IS NULL THEN 'new' WHEN c.content_hash = s.content_hash THEN 'unchanged' ELSE 'updated' END AS status FROM staged s LEFT JOIN cur c USING (source_url)")
+def upsert_status(spark, sf_dir):
+    current, staged = _snapshots(spark, sf_dir)
+    return store.upsert_status(current, staged).select("source_url", "status")
+
+
+@query(f"""WITH {_SNAPSHOT_SQL}, ch AS (SELECT s.* FROM staged s LEFT JOIN cur c USING (source_url) WHERE c.id IS NULL OR c.content_hash <> s.content_hash)
+SELECT source_url, content_hash FROM cur WHERE source_url NOT IN (SELECT source_url FROM ch) UNION ALL SELECT source_url, content_hash FROM ch""")
+def upsert_snapshot(spark, sf_dir):
+    return store.upserted(*_snapshots(spark, sf_dir)).select("source_url", "content_hash")
+
+
+@query(f"""WITH {_SNAPSHOT_SQL} SELECT coalesce(CASE WHEN c.id IS NULL THEN 'second only' WHEN s.id IS NULL THEN 'first only' WHEN c.content_hash = s.content_hash THEN 'same' ELSE 'changed' END) AS outcome, count(*) AS n
+FROM cur c FULL OUTER JOIN staged s USING (source_url) GROUP BY 1""")
+def run_comparison(spark, sf_dir):
+    return analytics.compare_runs(*_snapshots(spark, sf_dir), "source_url")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks QUALIFY row_number() OVER (PARTITION BY document_id, content_hash ORDER BY chunk_index) = 1")
+def chunk_insert(spark, sf_dir):
+    return store.first_of_each(chunks(spark, sf_dir), ["document_id", "content_hash"], "chunk_index").select("chunk_id")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT document_id, count(*) AS deactivated FROM chunks WHERE is_active AND document_id % 4 = 0 GROUP BY document_id")
+def missing_sections(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    found = store.missing_sections(docs, docs.where("id % 4 != 0"), chunks(spark, sf_dir), "id")
+    return found.select(F.col("id").alias("document_id"), "deactivated")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT document_id, count(*) FILTER (WHERE is_active AND document_id % 4 <> 1) AS n_active FROM chunks GROUP BY document_id")
+def soft_delete(spark, sf_dir):
+    return store.deactivated(chunks(spark, sf_dir), F.col("document_id") % 4 == 1).groupBy("document_id").agg(F.count_if("is_active").alias("n_active"))
+
+
+@query("""WITH src AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 10 = 0)
+SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM src) AND vec_id % 11 <> 0 UNION ALL SELECT vec_id, label FROM src WHERE vec_id % 11 <> 0""")
+def vector_merge(spark, sf_dir):
+    target = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    source = target.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100).unionByName(target.where("vec_id % 10 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    merged = store.merged(target, source, "vec_id")
+    return store.deleted(merged, merged.where("vec_id % 11 = 0"), "vec_id")
+
+
+@query(f"""WITH {CHUNKS_SQL}, done AS (SELECT DISTINCT content_hash FROM chunks WHERE document_id % 2 = 0)
+SELECT source_id, count(*) AS n FROM chunks WHERE is_active AND content_hash NOT IN (SELECT content_hash FROM done) GROUP BY source_id""")
+def to_embed(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    return store.to_embed(rows, rows.where("document_id % 2 = 0")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE NOT is_active AND document_id % 2 = 0")
+def to_remove(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    return store.to_remove(rows, rows.where("document_id % 2 = 0")).select("chunk_id")
+
+
+@query("SELECT user_id, count(*) AS turn_count, arg_min(event_type, event_id) AS mode, min(ts) AS created_at, max(ts) AS last_active_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events) GROUP BY user_id")
+def session_upsert(spark, sf_dir):
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return store.sessions(table(spark, sf_dir, "events").withColumn("turn", turn), "user_id", "turn", "event_type", "ts")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 2")
+def latest_runs(spark, sf_dir):
+    return store.latest(table(spark, sf_dir, "events"), "user_id", F.desc("event_id"), n=2).select("user_id", "event_id")
+
+
+@query("SELECT o_orderkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 2 = 0) AS accepted FROM orders")
+def foreign_key_split(spark, sf_dir):
+    parent = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    good, bad = store.with_parent(table(spark, sf_dir, "orders"), parent, "o_custkey")
+    return good.select("o_orderkey", F.lit(True).alias("accepted")).unionByName(bad.select("o_orderkey", F.lit(False).alias("accepted")))
+
+
+# --- analytics ---------------------------------------------------------------
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS n_view, count(*) FILTER (WHERE event_type = 'purchase') AS n_purchase, round(avg(value), 6) AS avg_cost FROM events GROUP BY 1")
+def daily_stats(spark, sf_dir):
+    return analytics.daily_stats(table(spark, sf_dir, "events"), "ts", "event_type", ["view", "purchase"], "value")
+
+
+@query("SELECT round(avg(a), 6) AS mean_of_daily FROM (SELECT round(avg(value), 6) AS a FROM events GROUP BY CAST(ts AS DATE))")
+def mean_of_daily(spark, sf_dir):
+    return analytics.mean_of_daily(analytics.daily_stats(table(spark, sf_dir, "events"), "ts", "event_type", [], "value"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def mode_distribution(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT md5(substr(text, 1, 9)) AS hash, role, count(*) AS n FROM conversations GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, hash, role LIMIT 20")
+def repeated_questions(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.md5(F.substring("text", 1, 9)).alias("hash"), "role")
+    return analytics.repeated(rows, ["hash", "role"])
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE value > 50) AS up, coalesce(round(count(*) FILTER (WHERE value > 50) / nullif(count(*), 0)::DOUBLE, 3), 0.0) AS up_share
+FROM events WHERE ts >= (SELECT CAST(CAST(max(ts) AS DATE) - 7 AS TIMESTAMP) FROM events)""")
+def feedback_summary(spark, sf_dir):
+    log = table(spark, sf_dir, "events")
+    as_of = log.agg(F.max("ts")).first()[0]
+    up = F.count_if(F.col("value") > 50)
+    return log.where(analytics.within_days(F.col("ts"), F.lit(as_of), 7)).agg(F.count(F.lit(1)).alias("n"), up.alias("up"), analytics.share(up, F.count(F.lit(1))).alias("up_share"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'purchase') AS good FROM events GROUP BY user_id)
+SELECT user_id, count(*) FILTER (WHERE event_type = 'click' AND ts > coalesce(good, TIMESTAMP '1970-01-01')) AS failures FROM events JOIN l USING (user_id) GROUP BY user_id""")
+def consecutive_failures(spark, sf_dir):
+    return analytics.consecutive_failures(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "purchase", "click")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT content_hash, count(DISTINCT source_id) AS n_sources, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM chunks GROUP BY content_hash HAVING count(DISTINCT source_id) > 1")
+def cross_source_duplicates(spark, sf_dir):
+    return analytics.cross_source_duplicates(chunks(spark, sf_dir))
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT source_id, count(DISTINCT document_id) AS n_documents, count(*) AS n_chunks, count(*) FILTER (WHERE is_active) AS n_active,
+round(avg(token_count) FILTER (WHERE is_active), 3) AS avg_tokens, min(token_count) FILTER (WHERE is_active) AS min_tokens, max(token_count) FILTER (WHERE is_active) AS max_tokens FROM chunks GROUP BY source_id""")
+def source_figures(spark, sf_dir):
+    return analytics.source_figures(chunks(spark, sf_dir))
+
+
+@query("SELECT source, string_agg(lang || '=' || n, ',' ORDER BY lang) AS histogram FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+def category_histogram(spark, sf_dir):
+    found = analytics.category_histogram(table(spark, sf_dir, "documents"), "source", "lang")
+    return found.select("source", F.array_join(F.transform(F.array_sort(F.map_entries("histogram")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("histogram"))
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), a AS (SELECT user_id, (epoch_us(max(now)) - epoch_us(max(ts) FILTER (WHERE event_type = 'purchase'))) / 86400000000.0 AS age FROM events, m GROUP BY user_id)
+SELECT user_id, CASE WHEN age IS NULL THEN 'NEVER_RUN' WHEN age <= 7 THEN 'FRESH' ELSE 'STALE' END AS status FROM a""")
+def source_freshness(spark, sf_dir):
+    log = table(spark, sf_dir, "events")
+    now = log.agg(F.max("ts")).first()[0]
+    last = log.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts").cast("timestamp"))).alias("at"))
+    return last.select("user_id", analytics.freshness(analytics.age_in_days(F.col("at"), F.lit(now).cast("timestamp"))).alias("status"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS query_id, l_returnflag = 'R' AS relevant, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank FROM lineitem)
+SELECT query_id, round(count(*) FILTER (WHERE rank <= 3 AND relevant) / nullif(count(*) FILTER (WHERE rank <= 3), 0)::DOUBLE, 6) AS precision_at_k,
+round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE relevant), 0.0), 6) AS reciprocal_rank, coalesce(bool_or(rank <= 3 AND relevant), false) AS hit FROM r GROUP BY query_id""")
+def ranking_metrics(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_returnflag") == "R").alias("relevant"), F.row_number().over(w).alias("rank"))
+    return analytics.ranking_metrics(rows, 3)
+
+
+@query("""WITH m AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events)
+SELECT event_type, value FROM m WHERE n = floor(total * 0.95) + 1""")
+def nearest_rank_p95(spark, sf_dir):
+    return analytics.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("""SELECT doc_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS vote FROM
+(SELECT doc_id, len(regexp_extract_all(text, 'the')) AS a, len(regexp_extract_all(text, 'de')) AS b, len(regexp_extract_all(text, 'und')) AS c FROM documents)""")
+def majority_vote(spark, sf_dir):
+    hits = {k: F.regexp_count("text", F.lit(p)) for k, p in (("a", "the"), ("b", "de"), ("c", "und"))}
+    return table(spark, sf_dir, "documents").select("doc_id", analytics.majority(hits).alias("vote"))
+
+
+@query("""SELECT user_id, round(sum((event_id % 1000) * CASE event_type WHEN 'view' THEN 3.0 WHEN 'click' THEN 1.0 ELSE 2.0 END + (event_id % 77) * CASE event_type WHEN 'view' THEN 15.0 WHEN 'click' THEN 5.0 ELSE 10.0 END) / 1000000.0, 6) AS cost FROM events GROUP BY user_id""")
+def token_cost(spark, sf_dir):
+    cost = analytics.token_cost(F.col("event_type"), F.col("event_id") % 1000, F.col("event_id") % 77, {"view": (3.0, 15.0), "click": (1.0, 5.0)}, (2.0, 10.0))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum(cost), 6).alias("cost"))
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT source_id, count(*) AS n_active, count(*) FILTER (WHERE document_id % 2 = 0) AS n_embedded, round(100.0::DOUBLE * count(*) FILTER (WHERE document_id % 2 = 0) / count(*), 1) AS percent
+FROM chunks WHERE is_active GROUP BY source_id""")
+def embedding_coverage(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    return analytics.coverage(rows, rows.where("document_id % 2 = 0"))
+
+
+@query("""SELECT conv_id, count(*) AS n_turns, bool_and(n = turn) AS gapless, bool_and(role = CASE WHEN n % 2 = 0 THEN 'user' ELSE 'assistant' END) AS alternates
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) GROUP BY conv_id""")
+def history_validation(spark, sf_dir):
+    return analytics.alternating(table(spark, sf_dir, "conversations"))
+
+
+# --- texts and URLs ----------------------------------------------------------
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(b, '^([^/?]*://[^/?]*)', 1)) || substr(b, length(regexp_extract(b, '^([^/?]*://[^/?]*)', 1)) + 1) AS url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages)""")
+def url_normalization(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url(F.col("url")).alias("url"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)spam|cheap') THEN 'out_of_scope' WHEN NOT regexp_matches(regexp_replace(url, '#.*$', ''), '(?i)example\.(com|org)/') THEN 'out_of_scope'
+WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.pdf$') THEN 'pdf_download' ELSE 'in_scope' END AS scope FROM pages""")
+def url_scope(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.scope_of_url(F.col("url"), [r"example\.(com|org)/"], ["spam|cheap"]).alias("scope"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM pages")
+def url_parameters(spark, sf_dir):
+    p = text.url_parameters(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.try_element_at(p, F.lit("page")).alias("page"), F.try_element_at(p, F.lit("utm_source")).alias("utm_source"))
+
+
+@query("""WITH f AS (SELECT p_partkey, 'https://x.example/form_' || CASE p_partkey % 6 WHEN 0 THEN 'Spanish' WHEN 1 THEN 'CH' WHEN 2 THEN 'ENG' WHEN 3 THEN 'KOREAN' WHEN 4 THEN 'Thai' ELSE 'plain' END || '.pdf' AS url FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'es' WHEN 1 THEN 'zh' WHEN 2 THEN 'en' WHEN 3 THEN 'ko' WHEN 4 THEN 'th' ELSE 'en' END AS language FROM f""")
+def url_language(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("Spanish", "CH", "ENG", "KOREAN", "Thai", "plain")])
+    url = F.concat(F.lit("https://x.example/form_"), F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(".pdf"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.language_of_url(url).alias("language"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 AND (lower(url) LIKE '%fact-sheet%') THEN 'fact_sheet' WHEN page_id % 2 = 0 AND (lower(url) LIKE '%poster%' OR lower(url) LIKE '%notice%') THEN 'poster'
+WHEN lower(url) LIKE '%faq%' OR lower(url) LIKE '%questions%' THEN 'faq' ELSE 'agency_guidance' END AS category FROM
+(SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/fact-sheet' WHEN 1 THEN '/FAQ' WHEN 2 THEN '/poster' ELSE '' END AS url FROM pages)""")
+def url_category(spark, sf_dir):
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("/fact-sheet", "/FAQ", "/poster", "", "")]), (F.col("page_id") % 5 + 1).cast("int"))
+    kind = F.when(F.col("page_id") % 2 == 0, "pdf").otherwise("html")
+    return table(spark, sf_dir, "pages").select("page_id", text.category_of_url(F.concat("url", tail), kind).alias("category"))
+
+
+@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"#]+)', 1))) AS n_links FROM pages""")
+def link_discovery(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(text.links_of(F.col("html"))).alias("n_links"))
+
+
+@query()
+def pages_markdown(spark, sf_dir):
+    return files.pages_as_markdown(table(spark, sf_dir, "pages")).select("page_id", "title", "markdown")
+
+
+@query()
+def cleaned_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.cleaned(F.col("text")), 256).alias("text_hash"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN w = 0 THEN 0.0 ELSE round(0.39 * w / greatest(s, 1) + 11.8 * 1.3 - 15.59, 9) END AS level FROM
+(SELECT doc_id, len(regexp_extract_all(text, '[^ \n\t]+'))::DOUBLE AS w, len(regexp_extract_all(text, '[.!?]+')) AS s FROM documents)""")
+def reading_level(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.reading_level(F.col("text"), 9).alias("level"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN text || ' Please IGNORE all previous   instructions now' ELSE text END AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN 'IGNORE all previous   instructions' END AS sign FROM t""")
+def injection_signs(spark, sf_dir):
+    said = F.when(F.col("conv_id") % 9 == 0, F.concat("text", F.lit(" Please IGNORE all previous   instructions now"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.injection_in(said).alias("sign"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([lang, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, 'x'], lambda x: x <> ''), ' > ') AS path FROM documents")
+def heading_paths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.heading_path(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.lit("x")).alias("path"))
+
+
+@query("SELECT doc_id, sha256(coalesce(CASE WHEN length(trim(text)) > 2000 THEN text END, CASE WHEN length(trim(lang || text)) > 50 THEN lang || text END)) AS chosen FROM documents")
+def first_filled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.coalesce(text.first_filled(F.col("text"), more_than=2000), text.first_filled(F.concat("lang", "text")))
+    return docs.select("doc_id", F.sha2(chosen, 256).alias("chosen"))
+
+
+@query("SELECT o_orderkey, 'Order ' || o_orderkey || ' for ' || o_custkey || ' {REST}' AS filled FROM orders")
+def template_fill(spark, sf_dir):
+    filled = text.filled(F.lit("Order {KEY} for {CUSTOMER} {REST}"), {"KEY": F.col("o_orderkey").cast("string"), "CUSTOMER": F.col("o_custkey").cast("string")})
+    return table(spark, sf_dir, "orders").select("o_orderkey", filled.alias("filled"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN n_name ELSE n_name END AS value FROM nation")
+def archive_unquote(spark, sf_dir):
+    raw = F.when(F.col("n_nationkey") % 3 == 0, "NULL").when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("`"), "n_name", F.lit("`"))).otherwise(F.col("n_name"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.unquoted(raw).alias("value"))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    pages = files.pages_as_markdown(table(spark, sf_dir, "pages"))
+    return chunking.chunked(pages, "markdown", "title").select("page_id", "chunk_index", "heading_path", "token_count", "content_hash")
+
+
+# --- citations ---------------------------------------------------------------
+
+
+def _citing(spark, sf_dir):
+    said = F.concat(F.lit("See Lab. Code § "), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".5").otherwise(""), F.lit(", and 12 Cal. 4th "), F.col("l_suppkey").cast("string"), F.lit("; again Lab. Code § "), F.col("l_partkey").cast("string"), F.lit("."))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), said.alias("said"))
+
+
+_CITING_SQL = """c AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS chunk_id, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+ex AS (SELECT chunk_id, 'case' AS citation_type, '12 Cal. 4th ' || l_suppkey AS cited_text, NULL AS section FROM c
+ UNION SELECT chunk_id, 'statute', 'Lab. Code § ' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '.5' ELSE '' END, l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '.5' ELSE '' END FROM c
+ UNION SELECT chunk_id, 'statute', 'Lab. Code § ' || l_partkey, l_partkey::VARCHAR FROM c)"""
+
+
+@query(f"WITH {_CITING_SQL} SELECT citation_type, count(*) AS n, count(DISTINCT cited_text) AS n_texts, count(section) AS n_sections FROM ex GROUP BY citation_type")
+def citation_links(spark, sf_dir):
+    found = citations.links(citations.extracted(_citing(spark, sf_dir), "said"))
+    return found.groupBy("citation_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cited_text").alias("n_texts"), F.count("section").alias("n_sections"))
+
+
+def _laws(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_partkey") % 5 != 0).alias("is_active"), F.concat(F.lit("Cal. Lab. Code § "), key, F.when(F.col("p_partkey") % 3 == 0, ".5").otherwise("")).alias("citation"))
+
+
+_LAWS_SQL = "laws AS (SELECT p_partkey AS chunk_id, p_partkey % 5 <> 0 AS is_active, p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '' END AS s FROM part), asked AS (SELECT p_partkey::VARCHAR AS section FROM part WHERE p_partkey % 20 = 1)"
+
+
+@query(f"WITH {_LAWS_SQL} SELECT section, (SELECT min(chunk_id) FROM laws WHERE is_active AND starts_with(s, section)) AS target_chunk_id FROM asked")
+def citation_targets(spark, sf_dir):
+    asked = table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(F.col("p_partkey").cast("string").alias("section"))
+    return citations.resolved(asked, _laws(spark, sf_dir)).select("section", "target_chunk_id")
+
+
+@query(f"""WITH {_LAWS_SQL}, b AS (SELECT section, bool_or(is_active) AS act FROM asked LEFT JOIN laws ON starts_with(s, section) GROUP BY section)
+SELECT section, CASE WHEN act IS NULL THEN 'not_found' WHEN NOT act THEN 'repealed' WHEN length(section) > 2 THEN 'amended' ELSE 'verified' END AS status,
+CASE WHEN act IS NULL THEN 'unverified' WHEN NOT act THEN 'suspicious' WHEN length(section) > 2 THEN 'unverified' ELSE 'verified' END AS confidence FROM b""")
+def statute_verification(spark, sf_dir):
+    asked = table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(F.col("p_partkey").cast("string").alias("section"))
+    found = citations.best_chunk(asked, _laws(spark, sf_dir))
+    status = citations.statute_status(F.col("found_active"), F.when(F.length("section") > 2, 40).otherwise(3))
+    return found.select("section", status.alias("status")).withColumn("confidence", citations.confidence(F.col("status")))
+
+
+@query("""WITH f AS (SELECT conv_id, turn, role = 'user' AS is_full, md5(text) AS h FROM conversations)
+SELECT conv_id, turn, last_value(CASE WHEN is_full THEN h END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS antecedent FROM f""")
+def short_citations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("is_full"), F.md5("text").alias("cited_text"), F.lit(True).alias("is_state"))
+    return citations.short_forms(rows, "conv_id", "turn").select("conv_id", "turn", "antecedent")
+
+
+@query("SELECT o_orderkey AS query_id, bool_or(l_partkey IS NOT NULL AND l_linenumber <= 4) AS supported FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey = o_custkey % 100 GROUP BY 1")
+def answer_support(spark, sf_dir):
+    answer = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).cast("string").alias("section"), F.lit("a").alias("code"))
+    context = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").cast("string").alias("section"), F.when(F.col("l_linenumber") <= 4, "a").otherwise("b").alias("code"))
+    return citations.supported(answer, context).select("query_id", "supported")
+
+
+# --- rules -------------------------------------------------------------------
+
+_RULE_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in fixed.DEADLINES)
+_CLAIMS = sorted({r[0] for r in fixed.DEADLINES})
+_CLAIM_SQL = "CASE o_custkey % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLAIMS)) + " END"
+
+
+@query(f"""WITH r(claim_type, ordinal, name, filing_entity, days, months, years) AS (VALUES {_RULE_ROWS}),
+i AS (SELECT o_orderkey, {_CLAIM_SQL} AS claim_type, CAST(o_orderdate AS DATE) AS d FROM orders),
+x AS (SELECT o_orderkey, claim_type, ordinal, CAST(CASE WHEN years IS NOT NULL THEN d + to_months(years::INT * 12) WHEN months IS NOT NULL THEN d + to_months(months::INT) ELSE d + to_days(days::INT) END AS DATE) AS deadline FROM i JOIN r USING (claim_type))
+SELECT *, date_diff('day', DATE '1998-06-01', deadline) AS days_left, CASE WHEN deadline < DATE '1998-06-01' THEN 'expired' WHEN date_diff('day', DATE '1998-06-01', deadline) < 30 THEN 'critical' WHEN date_diff('day', DATE '1998-06-01', deadline) < 90 THEN 'urgent' ELSE 'normal' END AS urgency FROM x""")
+def filing_deadlines(spark, sf_dir):
+    claim = F.element_at(F.array(*map(F.lit, _CLAIMS)), (F.col("o_custkey") % 8 + 1).cast("int"))
+    incidents = table(spark, sf_dir, "orders").select("o_orderkey", claim.alias("claim_type"), F.to_date("o_orderdate").alias("incident_date"), F.lit("1998-06-01").cast("date").alias("as_of"))
+    return rules.deadlines(incidents, rules.deadline_rules(spark)).select("o_orderkey", "claim_type", "ordinal", "deadline", "days_left", "urgency")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, CAST(15 + o_custkey % 40 AS DECIMAL(12,4)) + CAST(0.125 AS DECIMAL(12,4)) AS rate, CAST(o_orderkey % 60 AS DECIMAL(12,4)) AS hours, o_custkey % 3 AS st,
+  CAST(o_orderdate AS DATE) AS term, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + (o_orderkey % 50)::INT END AS paid, o_custkey % 4 AS meal, CAST(o_orderdate AS DATE) - 10 AS since FROM orders),
+d AS (SELECT *, greatest(0, least(30, date_diff('day', CASE WHEN st = 1 THEN term + 3 ELSE term END, coalesce(paid, DATE '1999-01-01')))) AS late, date_diff('day', since, DATE '1999-01-01') AS days FROM c)
+SELECT k, 'unpaid_wages' AS category, CAST(round(rate * hours, 2) AS DOUBLE) AS amount FROM d
+UNION ALL SELECT k, 'meal_break_premium', CAST(round(rate * meal, 2) AS DOUBLE) FROM d WHERE meal > 0
+UNION ALL SELECT k, 'waiting_time_penalty', CAST(round(rate * 8 * late, 2) AS DOUBLE) FROM d WHERE st <> 0""")
+def unpaid_wages(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    claims = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), ((F.lit(15) + F.col("o_custkey") % 40).cast("decimal(12,4)") + F.lit("0.125").cast("decimal(12,4)")).cast("decimal(12,4)").alias("hourly_rate"), (F.col("o_orderkey") % 60).cast("decimal(12,4)").alias("unpaid_hours"),
+        F.when(F.col("o_custkey") % 3 == 0, "still_employed").when(F.col("o_custkey") % 3 == 1, "quit_without_notice").otherwise("terminated").alias("employment_status"), day.alias("termination_date"),
+        F.when(F.col("o_custkey") % 2 == 0, F.date_add(day, (F.col("o_orderkey") % 50).cast("int"))).alias("paid_date"), (F.col("o_custkey") % 4).cast("int").alias("meal_breaks"), F.lit(0).alias("rest_breaks"), F.lit(None).cast("date").alias("unpaid_since"), F.lit("1999-01-01").cast("date").alias("as_of"),
+    )
+    return rules.wage_items(claims, "k").withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) - 30 AS discovery_cutoff, CAST(o_orderdate AS DATE) - 15 AS motion_cutoff, CAST(o_orderdate AS DATE) + 30 + CASE o_custkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 0 END AS response_due,
+date_diff('day', DATE '1998-06-01', CAST(o_orderdate AS DATE) - 30) AS days_to_cutoff FROM orders""")
+def discovery_dates(spark, sf_dir):
+    method = F.when(F.col("o_custkey") % 3 == 0, "mail_in_state").when(F.col("o_custkey") % 3 == 1, "mail_international").otherwise("personal")
+    day = F.to_date("o_orderdate")
+    cases = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("trial_date"), day.alias("service_date"), method.alias("service_method"), F.lit("1998-06-01").cast("date").alias("as_of"))
+    return rules.discovery_dates(cases).select("o_orderkey", "discovery_cutoff", "motion_cutoff", "response_due", "days_to_cutoff")
+
+
+_SIGNALS = [("view", "pay", 0.4), ("view", "leave", 0.3), ("click", "pay", 0.5), ("purchase", "safety", 0.9), ("click", "safety", 0.2), ("signup", "leave", 0.8)]
+_ISSUES = [("pay", 0), ("leave", 1), ("safety", 2)]
+
+
+@query(f"""WITH s(answer_key, issue_type, weight) AS (VALUES {", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in _SIGNALS)}), i(issue_type, ordinal) AS (VALUES {", ".join(f"('{a}', {b})" for a, b in _ISSUES)}),
+a AS (SELECT DISTINCT user_id, event_type AS answer_key FROM events), sc AS (SELECT user_id, issue_type, round(sum(weight), 6) AS score FROM a JOIN s USING (answer_key) GROUP BY ALL)
+SELECT user_id, issue_type, score, CASE WHEN score >= 1.5 THEN 'high' ELSE 'medium' END AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ordinal) AS rank FROM sc JOIN i USING (issue_type) WHERE score >= 0.8""")
+def intake_scores(spark, sf_dir):
+    answers = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("answer_key")).distinct()
+    signals, issues = spark.createDataFrame(_SIGNALS, "answer_key string, issue_type string, weight double"), spark.createDataFrame(_ISSUES, "issue_type string, ordinal int")
+    return rules.intake_scores(answers, signals, issues, "user_id").select("user_id", "issue_type", "score", "confidence", "rank")
+
+
+_ROUTES = [("pay", "labor", "primary", 0), ("pay", "court", "alternative", 1), ("leave", "civil", "primary", 0), ("safety", "inspect", "primary", 0), ("safety", "labor", "alternative", 1)]
+_BEFORE = [("pay", "tort", "prerequisite"), ("safety", "tort", "prerequisite")]
+_AGENCIES = [("labor", "Labor office"), ("court", "Court"), ("civil", "Civil office"), ("inspect", "Inspection"), ("tort", "Claims board")]
+
+
+@query(f"""WITH r(issue_type, agency_key, priority, ordinal) AS (VALUES {", ".join(map(str, _ROUTES))}), b(issue_type, agency_key, priority) AS (VALUES {", ".join(map(str, _BEFORE))}), g(agency_key, agency) AS (VALUES {", ".join(map(str, _AGENCIES))}),
+i AS (SELECT c_custkey AS case_id, CASE c_custkey % 3 WHEN 0 THEN 'pay' WHEN 1 THEN 'leave' ELSE 'safety' END AS issue_type, c_nationkey % 2 = 0 AS gov FROM customer),
+x AS (SELECT case_id, agency_key, priority, ordinal FROM i JOIN r USING (issue_type) UNION ALL SELECT case_id, agency_key, priority, -1 FROM i JOIN b USING (issue_type) WHERE gov)
+SELECT case_id, agency, row_number() OVER (PARTITION BY case_id ORDER BY CASE priority WHEN 'prerequisite' THEN 0 WHEN 'primary' THEN 1 ELSE 2 END, ordinal, agency_key) AS rank FROM x JOIN g USING (agency_key)""")
+def agency_routing(spark, sf_dir):
+    issue = F.when(F.col("c_custkey") % 3 == 0, "pay").when(F.col("c_custkey") % 3 == 1, "leave").otherwise("safety")
+    issues = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), issue.alias("issue_type"), (F.col("c_nationkey") % 2 == 0).alias("is_government"))
+    routes, before = spark.createDataFrame(_ROUTES, "issue_type string, agency_key string, priority string, ordinal int"), spark.createDataFrame(_BEFORE, "issue_type string, agency_key string, priority string")
+    return rules.routing(issues, routes, spark.createDataFrame(_AGENCIES, "agency_key string, agency string"), before).select("case_id", "agency", "rank")
+
+
+@query("""SELECT c_nationkey, array_to_string(list_sort(list_distinct(flatten(list([c_mktsegment, 'ALL'])))), ',') AS base, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 3 = 0 THEN [c_mktsegment] END) FILTER (WHERE c_custkey % 2 = 0 AND c_nationkey % 3 = 0)))), ',') AS override FROM customer GROUP BY c_nationkey""")
+def merged_suggestions(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.array("c_mktsegment", F.lit("ALL")).alias("base"), F.when((F.col("c_custkey") % 2 == 0) & (F.col("c_nationkey") % 3 == 0), F.array("c_mktsegment")).alias("override"))
+    found = rules.suggestions(rows, "c_nationkey", "base", "override")
+    return found.select("c_nationkey", F.array_join("base", ",").alias("base"), F.array_join("override", ",").alias("override"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_selected, count(*) FILTER (WHERE o_orderstatus = 'F') > 5 AS exceeds_limit FROM orders GROUP BY o_custkey")
+def selection_limits(spark, sf_dir):
+    return rules.selected(table(spark, sf_dir, "orders").withColumn("is_selected", F.col("o_orderstatus") == "F"), "o_custkey", 5)
+
+
+# --- graphs, segments and sets -----------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 2) % 2000 AS dst FROM part UNION SELECT p_partkey, (p_partkey * 2 + 1) % 2000 FROM part),
+w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, level + 1 FROM w JOIN e ON src = node WHERE level < 6)
+SELECT node, min(level) AS level FROM w GROUP BY node""")
+def crawl_frontier(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
+    links = part.withColumn("dst", (F.col("src") * 2) % 2000).union(part.withColumn("dst", (F.col("src") * 2 + 1) % 2000))
+    return graph.frontier(links, spark.createDataFrame([(1,)], "node long"), most_levels=6)
+
+
+@query("""SELECT r_regionkey AS id, 0 AS depth, r_name AS path FROM region UNION ALL SELECT 100 + n_nationkey, 1, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 1000 + c_custkey, 2, r_name || ' > ' || n_name || ' > ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def table_of_contents(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent"), F.col("n_name").alias("name"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).alias("id"), (F.col("c_nationkey") + 100).cast("long").alias("parent"), F.col("c_name").alias("name"))
+    return graph.tree_paths(regions.unionByName(nations).unionByName(customers))
+
+
+@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT document_id, token_count, sum(CASE WHEN token_count <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY chunk_index) AS segment FROM chunks)
+SELECT document_id, segment, count(*) AS n_lines, sum(token_count) AS tokens FROM s GROUP BY ALL""")
+def line_segments(spark, sf_dir):
+    found = graph.segments(chunks(spark, sf_dir), "document_id", "chunk_index", F.col("token_count") <= 5)
+    return found.groupBy("document_id", "segment").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("token_count").alias("tokens"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
+def adjacent_repeats(spark, sf_dir):
+    return graph.without_adjacent_repeats(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("event_id")
+
+
+@query("SELECT s_suppkey, kind, value FROM (SELECT s_suppkey, 'name' AS kind, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey::VARCHAR FROM supplier UNION ALL SELECT s_suppkey, 'blank', '' FROM supplier) WHERE value <> ''")
+def instruction_unpivot(spark, sf_dir):
+    wide = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"), F.lit("").alias("blank"))
+    return wide.unpivot("s_suppkey", ["name", "nation", "blank"], "kind", "value").where("value != ''")
+
+
+@query("SELECT c_custkey AS k, 'first' AS via FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'second' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+def preferred_union(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return graph.preferred_union(rows.where("k % 3 = 0").withColumn("via", F.lit("first")), rows.where("k % 2 = 0").withColumn("via", F.lit("second")), "k")
+
+
+@query("SELECT l_orderkey, list_unique(list(l_suppkey)) AS n, array_to_string(list_sort(list_distinct(list(l_returnflag))), '') AS flags FROM lineitem GROUP BY l_orderkey")
+def set_algebra(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("flags"))
+
+
+@query()
+def greedy_spacing(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("positions"))
+    return rows.select("user_id", F.array_join(graph.spaced(F.col("positions"), 500).cast("array<string>"), ",").alias("kept"))
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    return table(spark, sf_dir, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(25).select("doc_id")
+
+
+# --- state -------------------------------------------------------------------
+
+
+@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2 AS admitted FROM events")
+def daily_budget(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return limits.daily_budget(log, 2).select("id", "admitted")
+
+
+@query()
+def sliding_window_limit(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
+    return limits.limited_batch(log, 3600.0, 1).select("id", "admitted")
