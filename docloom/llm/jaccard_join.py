@@ -25,12 +25,12 @@ PERCENT = 80
 #: How many global orders the filter uses.
 ORDERS = 3
 #: Text bytes of a chunk of documents.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 #: Rounds in which one document of each group meets the rest, before all that is left meet pairwise.
 LEADER_ROUNDS = 2
 
-_SETS = "key long, id long, n long, digest binary, tokens binary, prefixes array<binary>"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
+_SETS = "key long, id long, n long, shared long, rank long, digest binary, tokens binary, prefixes array<binary>"
+_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
 
 
 def _emit(batches: Iterator[pa.RecordBatch], parts: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -76,23 +76,24 @@ def _prefix_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             mine, rare = names[first[i] : first[i + 1]], counts[first[i] : first[i + 1]].astype(np.int64)
             left = (n - -(-percent * n // 100) + 1) - (n - len(mine))  # shared shingles in the prefix
             if n == 0 or left <= 0:
-                out.append((None, None, None))
+                out.append((len(mine), n - len(mine), None, None, None))
                 continue
             whole = np.sort(mine)
             digest = None
             if len(mine) == n:
                 digest = np.bitwise_xor.reduce(tokens.mix(whole, 3)).tobytes() + np.add.reduce(tokens.mix(whole, 4)).tobytes()
             prefixes = [np.sort(mine[np.lexsort((tokens.mix(mine, 20 + k), rare))[:left]]).tobytes() for k in range(ORDERS)]
-            out.append((digest, whole.tobytes(), prefixes))
-        columns = [keys, pa.array(ids, mask=~known), sizes, *([o[k] for o in out] for k in range(3))]
+            out.append((len(mine), n - len(mine), digest, whole.tobytes(), prefixes))
+        columns = [keys, pa.array(ids, mask=~known), sizes, *([o[k] for o in out] for k in range(5))]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SETS_ARROW)], schema=_SETS_ARROW)
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """key, id, n for every row; tokens, prefixes and digest where a partner is possible.
+    """key, id, n, shared for every row; tokens, prefixes and digest where a partner is possible.
 
-    key names the row within this table. digest is given for sets of which every
-    shingle is shared; equal sets have equal digests.
+    key names the row within this table. shared is how many of its n shingles
+    other documents have too; rank is how many they don't. digest is given for
+    sets of which every shingle is shared; equal sets have equal digests.
     """
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -106,7 +107,17 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = [np.frombuffer(p[0], np.int64) for p in batch.column("prefixes").to_pylist()]
         lengths = [len(f) for f in firsts]
         if firsts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(batch.column("key").to_numpy(), lengths)), pa.array(np.repeat(batch.column("n").to_numpy(), lengths))], names=["token", "key", "n"])
+            rest = ("key", "n", "shared", "rank")
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *(pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in rest)], names=["token", *rest])
+
+
+def _can_link(n: str, m: str, shared: str, other: str, percent: int) -> str:
+    """SQL: whether sets of n and m shingles can be alike enough if so many of theirs are shared at all.
+
+    No intersection has more than the lesser of both numbers of shared shingles.
+    """
+    most = f"least({shared}, {other}, {n}, {m})"
+    return f"100 * {most} >= {percent} * ({n} + {m} - {most})"
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -140,33 +151,36 @@ def near_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) of representatives in `sets`, enough to join all that hang together.
 
     Documents that share a prefix shingle form a group. In each of a few rounds
-    the least document of a group meets the others; what is then in the same
-    component needs no further test. The rest, documents of one group that are
-    still in different components, meet pairwise, so no link between components
-    is lost, and a large group of near copies costs its size and not its square.
+    the document of least rank of a group meets the others: in a group of near
+    copies, that is one without edits of its own, to which most others link. What
+    is then in the same component needs no further test. The rest, documents of
+    one group that are still in different components, meet pairwise, unless
+    their shingles that no one shares rule a link out. So no link between
+    components is lost, and a group of near copies costs its size, not its square.
     """
-    places = stash(sets.select("key", "n", "prefixes").mapInArrow(_explode, "token long, key long, n long"), "places")
+    columns = ("token", "key", "n", "shared", "rank")
+    places = stash(sets.select("key", "n", "shared", "rank", "prefixes").mapInArrow(_explode, ", ".join(f"{c} long" for c in columns)), "places")
     groups = places.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     places = stash(places.join(groups, "token"), "places")
     links = None
     for _ in range(LEADER_ROUNDS):
-        leads = stash(places.groupBy("token").agg(F.min("key").alias("u")), "leads")
-        met = places.join(leads, "token").where("key != u")
+        leads = places.groupBy("token").agg(F.min(F.struct("rank", "key", "n", "shared")).alias("lead"))
+        leads = stash(leads.select("token", F.col("lead.key").alias("u"), F.col("lead.n").alias("m"), F.col("lead.shared").alias("other")), "leads")
+        met = places.join(leads, "token").where("key != u").where(_can_link("n", "m", "shared", "other", percent))
         pairs = stash(met.select("u", F.col("key").alias("v")).distinct(), "pairs")
         found = stash(verified(pairs, sets, percent), "near")
         links = found if links is None else stash(links.unionByName(found), "near")
         labels = components(links)
         # A leader has met its whole group; what is left there must still span two components.
-        left = places.join(leads, "token").where("key != u").drop("u")
-        named = left.join(labels, left["key"] == labels["node"], "left").select("token", "key", "n", F.coalesce("component", "key").alias("component"))
+        left = places.select(*columns).join(leads.select("token", "u"), "token").where("key != u").drop("u")
+        named = left.join(labels, left["key"] == labels["node"], "left").select(*columns, F.coalesce("component", "key").alias("component"))
         named = stash(named, "left")
         open_ = stash(named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token"), "open")
         places = stash(named.join(open_, "token"), "places")
         if places.isEmpty():
             return links
-        places = places.drop("component") if _ + 1 < LEADER_ROUNDS else places
-    other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = places.join(other, "token").where("key < v and component != other").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("shared").alias("other"), F.col("component").alias("component_v"))
+    pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "shared", "other", percent))
     pairs = stash(pairs.select(F.col("key").alias("u"), "v").distinct(), "pairs")
     return links.unionByName(verified(pairs, sets, percent))
 
@@ -187,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows with equal sets are one from here on: the one with the least key.
     classes = stash(able.where("digest is not null").groupBy("digest", "n").agg(F.min("key").alias("first")), "classes")
     copies = stash(able.select("key", "n", "digest").join(classes, ["digest", "n"]).where("key != first").select(F.col("first").alias("u"), F.col("key").alias("v")), "copies")
-    firsts = stash(able.join(copies.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", "tokens", "prefixes"), "firsts")
+    firsts = stash(able.join(copies.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", "shared", "rank", "tokens", "prefixes"), "firsts")
     links = stash(near_links(firsts, percent), "near")
     # Copies join their first last, so that the steps of components don't carry them.
     near = components(links)

@@ -29,8 +29,8 @@ BANDS, ROWS = 14, 4
 #: Text bytes of a chunk, and the paragraphs of one at most.
 CHUNK_BYTES, CHUNK_PARAGRAPHS = 16 << 20, 60_000
 
-_SETS = "key long, id long, row long, para int, n long, digest binary, tokens binary, prefixes array<binary>"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("para", pa.int32()), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
+_SETS = "key long, id long, row long, para int, n long, rank long, digest binary, tokens binary, prefixes array<binary>"
+_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("para", pa.int32()), ("n", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def _emit(batches: Iterator[pa.RecordBatch], parts: int, size: int, min_words: i
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs that share a band with another, with their shingles and those bands."""
+    """Paragraphs that share a band with another, with their shingles and those bands; most shared bands, least rank."""
     for _, table, who, names, _ in packed.gathered(batches):
         kinds = (np.int64, np.int64, np.bool_, np.int64, np.int32, np.int64)
         keys, ids, known, rows, paras, counts = packed.unblob(table, *kinds)
@@ -106,7 +106,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = [np.bitwise_xor.reduce(tokens.mix(s.view(np.uint64), 3)).tobytes() + np.add.reduce(tokens.mix(s.view(np.uint64), 4)).tobytes() for s in sets]
         for at in range(0, len(used), 5000):
             take = used[at : at + 5000]
-            columns = [keys[take], pa.array(ids[take], mask=~known[take]), rows[take], paras[take], counts[take], digest[at : at + 5000], [s.tobytes() for s in sets[at : at + 5000]], [[names[first[i] : first[i + 1]].tobytes()] for i in take]]
+            columns = [keys[take], pa.array(ids[take], mask=~known[take]), rows[take], paras[take], counts[take], [int(first[i] - first[i + 1]) for i in take], digest[at : at + 5000], [s.tobytes() for s in sets[at : at + 5000]], [[names[first[i] : first[i + 1]].tobytes()] for i in take]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SETS_ARROW)], schema=_SETS_ARROW)
 
 
@@ -128,7 +128,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = stash(back.mapInArrow(_candidates, _SETS), "paragraphs")
     classes = stash(sets.groupBy("digest", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "classes")
     copies = stash(sets.select("key", "n", "digest").join(classes, ["digest", "n"]).where("key != first").select(F.col("first").alias("u"), F.col("key").alias("v")), "copies")
-    firsts = stash(sets.join(copies.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", "tokens", "prefixes"), "firsts")
+    firsts = stash(sets.join(copies.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", F.col("n").alias("shared"), "rank", "tokens", "prefixes"), "firsts")
     near = components(stash(near_links(firsts, percent), "near"))
     of_copy = copies.join(near, copies["u"] == near["node"], "left").select(F.col("v").alias("node"), F.coalesce("component", "u").alias("component"))
     of_first = copies.select("u").distinct().join(near, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
