@@ -128,3 +128,60 @@ DEADLINES = (
     ("misclassification", 1, "Court Action — Unpaid Wages", "Superior Court", None, None, 3),
     ("misclassification", 2, "UCL (Unfair Business Practices)", "Superior Court", None, None, 4),
 )
+
+# Headings of numbered requests by kind; a pattern's group is the number. Each fits one line.
+REQUEST_HEADINGS = {
+    "interrogatories": (
+        r"(?i)^\s*(?:SPECIAL\s+)?INTERROGATOR(?:Y|IES)\s+(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+        r"(?i)^\s*SROG\s+(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+    ),
+    "rfps": (
+        r"(?i)^\s*(?:REQUEST\s+FOR\s+PRODUCTION\s+(?:OF\s+DOCUMENTS?\s+)?|DEMAND\s+(?:FOR\s+(?:INSPECTION|PRODUCTION)\s+(?:OF\s+DOCUMENTS?\s+)?)?)(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+        r"(?i)^\s*(?:RFP|RFPD|DEMAND)\s+(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+        r"(?i)^\s*REQUEST\s+(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+    ),
+    "rfas": (
+        r"(?i)^\s*REQUEST\s+FOR\s+ADMISSION\s+(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+        r"(?i)^\s*(?:RFA|ADMISSION)\s+(?:NO\.?\s*)?(\d+)\s*(?:[:.)\s]|$)",
+    ),
+}
+BARE_NUMBER = r"^\s*(\d+)\s*[.):\s]\s+\S"
+RESPONSE_HEADING = r"(?i)^\s*RESPONSE\s+TO\s+(?:SPECIAL\s+)?(?:INTERROGATOR(?:Y|IES)|REQUEST|DEMAND|RFA|RFP)\s+(?:FOR\s+(?:PRODUCTION|ADMISSION)\s+(?:OF\s+DOCUMENTS?\s+)?)?(?:NO\.?\s*)?(\d+)\s*[:.)\s]"
+# Titles by kind.
+REQUEST_TITLES = {
+    "rfps": r"(?i)REQUEST\S?\s+FOR\s+PRODUCTION|DEMAND\s+FOR\s+(?:INSPECTION|PRODUCTION)",
+    "rfas": r"(?i)REQUEST\S?\s+FOR\s+ADMISSION",
+    "interrogatories": r"(?i)(?:SPECIAL\s+)?INTERROGATOR(?:Y|IES)",
+}
+# Headings of sections without requests.
+SKIPPED_SECTIONS = {
+    "definitions": r"(?i)^\s*DEFINITIONS?\s*$",
+    "instructions": r"(?i)^\s*INSTRUCTIONS?\s*$",
+    "preliminary_statement": r"(?i)^\s*PRELIMINARY\s+STATEMENT\s*$",
+    "pos": r"(?i)^\s*PROOF\s+OF\s+SERVICE\b",
+}
+# Capitals that are no defined terms.
+COMMON_CAPITALS = (
+    "THE", "AND", "FOR", "NOT", "ALL", "ANY", "YOU", "YOUR", "THIS", "THAT", "WITH", "FROM",
+    "EACH", "SUCH", "HAS", "WAS", "ARE", "WERE", "HAVE", "BEEN", "WILL", "DOES",
+)
+
+# Codes and how texts name them.
+EMPLOYMENT_CODES = {
+    "Labor Code": (r"Cal\.\s*Lab\.\s*Code", r"Labor\s+Code", r"Lab\.\s*Code"),
+    "Government Code (FEHA)": (r"Cal\.\s*Gov\.\s*Code", r"Government\s+Code", r"Gov\.\s*Code"),
+    "Unemployment Insurance Code": (r"Cal\.\s*Unemp\.\s*Ins\.\s*Code", r"Unemployment\s+Insurance\s+Code", r"Unemp\.\s*Ins\.\s*Code"),
+    "Business & Professions Code": (r"Cal\.\s*Bus\.\s*&\s*Prof\.\s*Code", r"Business\s+and\s+Professions\s+Code", r"Bus\.\s*&?\s*Prof\.\s*Code"),
+    "Code of Civil Procedure": (r"Cal\.\s*Civ\.\s*Proc\.\s*Code", r"Code\s+of\s+Civil\s+Procedure", r"Civ\.\s*Proc\.\s*Code", r"C\.C\.P\."),
+}
+# Sections that are about employment.
+EMPLOYMENT_SECTIONS = (
+    "12900", "12920", "12921", "12926", "12940", "12941", "12942", "12943", "12944", "12945", "12945.2", "12945.5", "12945.6", "12950", "12950.1", "12960", "12965",
+    "98", "98.6", "200", "201", "202", "203", "204", "210", "226", "226.7", "232", "510", "512", "1021.5",
+    "1024.5", "1024.6", "1098", "1098.5", "1099", "1102.5", "1102.6", "2698", "2699", "2699.3",
+)
+# Terms of which two say that a text is about employment.
+EMPLOYMENT_TERMS = (
+    "wrongful termination", "employment discrimination", "feha", "fair employment and housing", "sexual harassment", "hostile work environment", "retaliation", "whistleblower",
+    "wage and hour", "unpaid wages", "overtime", "meal break", "rest period", "paga", "private attorneys general", "workers' compensation",
+)

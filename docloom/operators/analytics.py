@@ -125,3 +125,76 @@ def compare_runs(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     a, b = first.select(key, F.col("content_hash").alias("_a")), second.select(key, F.col("content_hash").alias("_b"))
     outcome = F.when(F.col("_a").isNull(), "second only").when(F.col("_b").isNull(), "first only").when(F.col("_a") == F.col("_b"), "same").otherwise("changed")
     return a.join(b, key, "full_outer").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def audit_stats(audit: DataFrame, status: str, *by: str) -> DataFrame:
+    """Rows and each confidence's share of an audit log, by any columns or over all."""
+    n = F.count(F.lit(1))
+    kinds = ("verified", "unverified", "suspicious")
+    return audit.groupBy(*by).agg(n.alias("n"), *[F.count_if(F.col(status) == k).alias(f"n_{k}") for k in kinds], share(F.count_if(F.col(status) == "verified"), n).alias("verified_share"))
+
+
+def session_stats(sessions: DataFrame, modes: list[str]) -> DataFrame:
+    """Sessions (turn_count, mode): number, mean turns to 1 digit, those of several turns, and of each mode."""
+    counts = [F.count_if(F.col("mode") == m).alias(f"n_{m}") for m in modes]
+    return sessions.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.avg("turn_count"), 1), F.lit(0.0)).alias("avg_turns"), F.count_if(F.col("turn_count") > 1).alias("n_several"), *counts)
+
+
+def dashboard(sources: DataFrame, documents: DataFrame, runs: DataFrame, now: Column, most_days: float = 7) -> DataFrame:
+    """Per source (source_id, tier): documents, last run's status, runs failed since the last success, age and freshness.
+
+    Documents (source_id) and runs (source_id, run_id, status, at) are counted
+    before they are joined, in one pass each; sources without any have zeros.
+    """
+    counts = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    failures = consecutive_failures(runs, "source_id", "status", "at", "completed", "failed")
+    last = runs.groupBy("source_id").agg(F.max_by("status", "run_id").alias("last_status"), F.max(F.when(F.col("status") == "completed", F.col("at"))).alias("_done"))
+    joined = sources.join(counts, "source_id", "left").join(last, "source_id", "left").join(failures, "source_id", "left")
+    joined = joined.fillna(0, ["n_documents", "failures"]).withColumn("age_days", age_in_days(F.col("_done"), now))
+    return joined.withColumn("status", freshness(F.col("age_days"), most_days)).drop("_done")
+
+
+def tier_totals(board: DataFrame, tiers: list[str]) -> DataFrame:
+    """Per tier of a dashboard, in the given order: sources, documents, and how many are fresh, stale, never run."""
+    place = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier"))
+    states = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("FRESH", "STALE", "NEVER_RUN")]
+    return board.groupBy("tier", place.alias("place")).agg(F.count(F.lit(1)).alias("n_sources"), F.sum("n_documents").alias("n_documents"), *states)
+
+
+def oldest(board: DataFrame) -> DataFrame:
+    """One row: the stale sources, and the source of the greatest age; one that never ran is older than any."""
+    age = F.coalesce("age_days", F.lit(float("inf")))
+    return board.agg(F.count_if(F.col("status") != "FRESH").alias("n_stale"), F.max_by("source_id", F.struct(age, F.col("source_id"))).alias("oldest"))
+
+
+def answer_checks(answer: Column, elements: Column, sections: list[str], phrases: list[str], topics: Column) -> dict[str, Column]:
+    """has_answer, n_found and n_missing of expected elements, has_format (bold headings), has_phrase, on_topic."""
+    low = F.lower(answer)
+    found = F.size(F.filter(elements, lambda e: low.contains(F.lower(e))))
+    heading = [F.lower(answer).contains("**" + s.lower()) for s in sections]
+    hits = F.size(F.filter(topics, lambda t: low.contains(F.lower(t))))
+    both = lambda cs, start, op: start if not cs else op(cs)
+    return {
+        "has_answer": F.length(F.trim(answer)) > 50, "n_found": found, "n_missing": F.size(elements) - found,
+        "has_format": both(heading, F.lit(True), lambda cs: F.array_min(F.array(*cs))), "has_phrase": both(phrases, F.lit(False), lambda ps: F.array_max(F.array(*[low.contains(p) for p in ps]))),
+        "on_topic": hits >= F.floor(F.size(topics) / 2),
+    }
+
+
+def evaluation(metrics: DataFrame, mode: str, thresholds: dict[str, float]) -> DataFrame:
+    """Macro-averages by mode of per-query metrics (precision_at_k, reciprocal_rank, hit), and whether precision passes the mode's threshold."""
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col(mode)), F.lit(0.0))
+    found = metrics.groupBy(mode).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("precision_at_k"), 6).alias("precision"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+    return found.withColumn("passes", F.col("precision") >= limit)
+
+
+def checks(figures: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key, check, passed: each rule (a condition on the figures) as a row; a null condition fails."""
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in rules.items()])
+    return figures.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+
+
+def bars(rows: DataFrame, value: str, width: int = 30) -> DataFrame:
+    """Rows with the length of a bar in proportion to the greatest value."""
+    most = F.max(value).over(Window.partitionBy(F.lit(0)))
+    return rows.withColumn("bar", F.when(most > 0, F.floor(F.col(value) / most * width)).otherwise(0).cast("int"))

@@ -82,3 +82,17 @@ def sessions(turns: DataFrame, key: str, order: str, mode: str, at: str) -> Data
 def with_parent(rows: DataFrame, parent: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key the parent has, rows to reject)."""
     return rows.join(parent.select(key), key, "left_semi"), rows.join(parent.select(key), key, "left_anti")
+
+
+def file_states(files: DataFrame) -> DataFrame:
+    """Extracted files (text, error) with status ready or error, the digest of the trimmed text, and edits.
+
+    edited_text is the text where nothing was edited; is_edited says whether both differ.
+    """
+    edited = F.coalesce("edited_text", "text")
+    return files.withColumns({"status": F.when(F.col("error").isNotNull(), "error").otherwise("ready"), "text_hash": F.sha2(F.trim("text"), 256), "edited_text": edited, "is_edited": ~edited.eqNullSafe(F.col("text"))})
+
+
+def next_order(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Per group the next place: one past the greatest, 0 where there is none."""
+    return rows.groupBy(by).agg((F.coalesce(F.max(order), F.lit(-1)) + 1).alias("next_order"))

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed, text
 from docloom.operators import analytics, chunking, citations, graph, retrieval, rules, store
+from docloom.plans.registry import query
 from docloom.plans.tables import CHUNKS_SQL, chunks, table
 from docloom.sources import files
 from docloom.streaming import limits
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLE_SQL[run.__name__] = sql
-        return run
-
-    return add
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_retrieval(spark, sf_dir)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from docloom.plans import catalog
+from docloom.plans import catalog, catalog_cases, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,11 +31,11 @@ def duck(sf):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf, duck, name):
-    found = catalog.QUERIES[name](spark, sf).toPandas()
-    if name in catalog.ORACLE_SQL:
-        expected = duck.execute(catalog.ORACLE_SQL[name]).df()
+    found = registry.QUERIES[name](spark, sf).toPandas()
+    if name in registry.ORACLE_SQL:
+        expected = duck.execute(registry.ORACLE_SQL[name]).df()
         assert sorted(found.columns) == sorted(expected.columns)
         assert plain(found) == plain(expected)
 
