@@ -134,12 +134,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **plan)
     A text of which only some words are taken is those words, joined by spaces.
     Ids must be unique; rows with a null id are left out, as nothing finds them.
     """
-    taken = mix_plan(docs, id_col, text_col, **plan).where("taken > 0").select(F.col(id_col).alias("of_id"), F.col("size").alias("_size"), "passes", "first", "last")
-    rows = docs.join(taken, docs[id_col] == taken["of_id"])
-    whole = (F.col("last") - F.col("first")) >= F.col("_size")
-    rows = rows.withColumn("_copies", F.col("passes") + F.when(whole, 1).otherwise(0)).withColumn("_part", ~whole & (F.col("last") > F.col("first")))
-    kinds = F.concat(F.array_repeat(F.lit(False), F.col("_copies").cast("int")), F.array_repeat(F.lit(True), F.col("_part").cast("int")))
-    rows = rows.withColumn("_kind", F.explode(kinds))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD_PATTERN), F.lit(0))
-    part = F.array_join(F.when(F.col("last") <= F.col("_size"), F.slice(words, F.col("first").cast("int") + 1, (F.col("last") - F.col("first")).cast("int"))).otherwise(F.concat(F.slice(words, F.col("first").cast("int") + 1, (F.col("_size") - F.col("first")).cast("int")), F.slice(words, F.lit(1), (F.col("last") - F.col("_size")).cast("int")))), " ")
-    return rows.withColumn(text_col, F.when(F.col("_kind"), part).otherwise(F.col(text_col))).select(*docs.columns)
+    plan_ = mix_plan(docs, id_col, text_col, **plan).where("taken > 0")
+    plan_ = plan_.select(F.col(id_col).alias("id"), F.struct("size", "passes", "first", "last").alias("plan"))
+    # The row travels as one column, so no name of its own can clash.
+    rows = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row")).join(plan_, F.col("of") == F.col("id"))
+    at = lambda name: F.col("plan")[name]
+    length = at("last") - at("first")
+    whole = length >= at("size")
+    kinds = F.concat(F.array_repeat(F.lit(False), (at("passes") + whole.cast("int")).cast("int")), F.array_repeat(F.lit(True), (~whole & (length > 0)).cast("int")))
+    rows = rows.withColumn("in_part", F.explode(kinds))
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    cut = lambda start, n: F.slice(words, start.cast("int") + 1, n.cast("int"))
+    over = F.concat(cut(at("first"), at("size") - at("first")), cut(F.lit(0), at("last") - at("size")))
+    part = F.array_join(F.when(at("last") <= at("size"), cut(at("first"), length)).otherwise(over), " ")
+    text = F.when(F.col("in_part"), part).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

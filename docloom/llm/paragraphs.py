@@ -159,7 +159,9 @@ def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` with the removed lines cut from the text. Ids must be unique."""
-    gone = paragraph_report(docs, id_col, text_col, **how).where("n_removed > 0").select(F.col(id_col).alias("_of"), "removed_lines")
-    joined = docs.join(gone, docs[id_col] == gone["_of"], "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("removed_lines"), i))
-    return joined.withColumn(text_col, F.when(F.col("_of").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    gone = paragraph_report(docs, id_col, text_col, **how).where("n_removed > 0").select(F.col(id_col).alias("id"), "removed_lines")
+    # The row travels as one column, so no name of its own can clash.
+    joined = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row")).join(gone, F.col("of") == F.col("id"), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed_lines", i))
+    text = F.when(F.col("id").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
