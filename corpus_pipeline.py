@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from docloom.llm.common import stash
@@ -25,7 +26,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares; documents repeat, or are cut to the words that the mix takes."""
-    return mixing.mix(docs)
+    return mixing.mix(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
