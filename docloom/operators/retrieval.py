@@ -6,8 +6,10 @@ window is partitioned by it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,29 +40,43 @@ def mode_filter(rows: DataFrame, mode: str, consumer_categories: list[str], lang
     return kept.where(F.col("content_category").isin(consumer_categories)) if mode == "consumer" else kept
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, top_k: int = 50) -> DataFrame:
+_BLOCK = "ids binary, rows binary, width int"
+_NEAR = "query_id long, id long, similarity double"
+
+
+def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """Vectors (name, vector) as rows of up to `size` ids and unit vectors; null vectors are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                rows = part.column("vector").flatten().to_numpy().reshape(part.num_rows, -1)
+                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_pydict({"ids": [part.column("id").to_numpy().tobytes()], "rows": [rows.tobytes()], "width": pa.array([rows.shape[1]], pa.int32())})
+
+    some = rows.select(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    return some.mapInArrow(pack, _BLOCK)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, top_k: int = 50, block: int = 4096) -> DataFrame:
     """query_id, id, similarity, rank: the top_k vectors (id, vector) by cosine for each of the queries (query_id, vector).
 
-    The queries are a stated set, gathered as one matrix; each partition of
-    vectors keeps its own top_k, so what is shuffled does not grow with them.
-    Ties go to the lesser id.
+    Queries meet vectors in blocks, a matrix product for each two of them; each
+    keeps its own top_k, so what is shuffled is small rows for each block. Ties go
+    to the lesser id. All vectors must be of one width.
     """
-    rows = queries.select("query_id", "vector").collect()
-    ids = [r[0] for r in rows]
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    matrix = unit(np.array([r[1] for r in rows], np.float64)) if rows else np.zeros((0, 1))
-
-    def best(batches):
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            found = unit(np.stack(pdf["vector"]).astype(np.float64)) @ matrix.T
-            own = pdf["id"].to_numpy()
-            for q in range(len(ids)):
-                top = np.lexsort((own, -found[:, q]))[:top_k]
-                yield pd.DataFrame({"query_id": ids[q], "id": own[top], "similarity": found[top, q]})
-
-    near = vectors.select("id", "vector").mapInPandas(best, "query_id long, id long, similarity double")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_rows, ids, rows, width in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_rows", "ids", "rows", "width"))):
+                asked, own = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                found = np.frombuffer(rows, np.float64).reshape(-1, width) @ np.frombuffer(q_rows, np.float64).reshape(-1, width).T
+                tops = [np.lexsort((own, -found[:, q]))[:top_k] for q in range(len(asked))]
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asked, [len(t) for t in tops]), "id": np.concatenate([own[t] for t in tops]), "similarity": np.concatenate([found[t, q] for q, t in enumerate(tops)])})
+
+    asked = _blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    near = _blocks(vectors, "id", block).crossJoin(asked).mapInArrow(best, _NEAR)
     return ranked(near, F.desc("similarity"), "id").where(F.col("rank") <= top_k)
 
 

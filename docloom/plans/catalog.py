@@ -50,14 +50,15 @@ def bm25_search(spark, sf_dir):
 
 _KNN_SQL = """
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-near AS (SELECT q.id AS query_id, v.id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS similarity FROM v, v AS q WHERE q.id < 2),
+near AS (SELECT q.id // 100 AS query_id, v.id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS similarity FROM v, v AS q WHERE q.id % 100 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM near)
 """
 
 
 def _vector_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.nearest(vectors.where("id < 2").withColumnRenamed("id", "query_id"), vectors)
+    asked = vectors.where("id % 100 = 0").select((F.col("id") / 100).cast("long").alias("query_id"), "vector")
+    return retrieval.nearest(asked, vectors)
 
 
 @query("WITH" + _KNN_SQL + "SELECT query_id, id, round(similarity, 5) AS similarity FROM top WHERE rank <= 50")
@@ -478,12 +479,12 @@ def _laws(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_partkey") % 5 != 0).alias("is_active"), F.concat(F.lit("Cal. Lab. Code § "), key, F.when(F.col("p_partkey") % 3 == 0, ".5").otherwise("")).alias("citation"))
 
 
-_LAWS_SQL = "laws AS (SELECT p_partkey AS chunk_id, p_partkey % 5 <> 0 AS is_active, p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '' END AS s FROM part), asked AS (SELECT p_partkey::VARCHAR AS section FROM part WHERE p_partkey % 20 = 1)"
+_LAWS_SQL = "laws AS (SELECT p_partkey AS chunk_id, p_partkey % 5 <> 0 AS is_active, p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '' END AS s FROM part), asked AS (SELECT p_partkey::VARCHAR AS section FROM part)"
 
 
 @query(f"WITH {_LAWS_SQL} SELECT section, (SELECT min(chunk_id) FROM laws WHERE is_active AND starts_with(s, section)) AS target_chunk_id FROM asked")
 def citation_targets(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(F.col("p_partkey").cast("string").alias("section"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("section"))
     return citations.resolved(asked, _laws(spark, sf_dir)).select("section", "target_chunk_id")
 
 
@@ -491,7 +492,7 @@ def citation_targets(spark, sf_dir):
 SELECT section, CASE WHEN act IS NULL THEN 'not_found' WHEN NOT act THEN 'repealed' WHEN length(section) > 2 THEN 'amended' ELSE 'verified' END AS status,
 CASE WHEN act IS NULL THEN 'unverified' WHEN NOT act THEN 'suspicious' WHEN length(section) > 2 THEN 'unverified' ELSE 'verified' END AS confidence FROM b""")
 def statute_verification(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(F.col("p_partkey").cast("string").alias("section"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("section"))
     found = citations.best_chunk(asked, _laws(spark, sf_dir))
     status = citations.statute_status(F.col("found_active"), F.when(F.length("section") > 2, 40).otherwise(3))
     return found.select("section", status.alias("status")).withColumn("confidence", citations.confidence(F.col("status")))

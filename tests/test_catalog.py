@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if isinstance(v, float):
             return repr(round(v, 6)) if v != int(v) else str(int(v))
