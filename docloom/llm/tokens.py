@@ -117,7 +117,7 @@ def shingles(found: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     short = counts[owner] < size
     left = first[1:][owner] - np.arange(n)  # words from here to the text's end
     total = np.zeros(n, np.uint64)
-    for i in range(size):
+    for i in range(min(size, n)):
         part = np.zeros(n, np.uint64)
         part[: n - i] = mix(hashes[i:], i + 2)
         total += np.where(left > i, part, np.uint64(0))
