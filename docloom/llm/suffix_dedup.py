@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
-from docloom.llm.common import partitions, stash
+from docloom.llm.buckets import NO_ID, dealt, skipped, texts_of
+from docloom.llm.common import partitions
 
 LENGTH = 50
-ANCHOR = 16
-#: Documents of a bucket, about; there must be fewer than 2 ** 16.
-BUCKET_DOCS = 16_000
+#: So long that hardly any are shared by chance, and short enough for each to stand for many strings.
+ANCHOR = 24
 #: Bits of a position in the number that a minimum is taken of; the others are the hash's.
 _POS_BITS = 28
 #: Bytes of text that one step works on, and context bytes that are sorted at once.
@@ -196,23 +196,7 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anc
 # --- the distributed part ----------------------------------------------------
 
 
-def _texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    """Ids and texts of a bucket's rows, by id and text."""
-    if not table.num_rows:
-        return [], []
-    pairs = sorted(zip(table.column("key").to_pylist(), table.column("bytes").to_pylist()))
-    return [p[0] for p in pairs], [p[1] for p in pairs]
-
-
-def _copies(table: pa.Table) -> set[bytes]:
-    return {data for kind, data in zip(table.column("is_table").to_pylist(), table.column("blob").to_pylist()) if kind}
-
-
-def _copy_name(key: int, text: bytes) -> bytes:
-    return int(key).to_bytes(8, "big", signed=True) + hashlib.sha256(text).digest()
-
-
-def _steps(texts: list[bytes], skip: set[int], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _steps(texts: list[bytes], skip: dict[int, int], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(data, offsets, text number, base) of groups of texts; a very long text comes in overlapping pieces."""
     held, size = [], 0
 
@@ -235,21 +219,15 @@ def _steps(texts: list[bytes], skip: set[int], length: int) -> Iterator[tuple[np
         yield close()
 
 
-def _skipped(keys: list[int], texts: list[bytes], right: pa.Table) -> set[int]:
-    copies = _copies(right)
-    known = {int.from_bytes(c[:8], "big", signed=True) for c in copies}
-    return {i for i, k in enumerate(keys) if k in known and _copy_name(k, texts[i]) in copies}
-
-
 def _empty() -> pa.Table:
     return pa.Table.from_batches([], schema=packed.ARROW)
 
 
 def _count_anchors(parts: int, length: int):
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = _texts(left)
+        keys, texts = texts_of(left)
         found = [[], []]
-        for data, offsets, number, _ in _steps(texts, _skipped(keys, texts, right), length):
+        for data, offsets, number, _ in _steps(texts, skipped(keys, texts, right), length):
             c = contexts_of(data, offsets, length)
             found[0].append(c.token)
             found[1].append(number[c.owner])
@@ -264,20 +242,22 @@ def _count_anchors(parts: int, length: int):
     return one
 
 
-#: What a bucket sends to a part: name of the anchor (low 32 bits), text number, first start, number of starts; then a table of ids and the bytes.
+#: What a bucket sends to a part: name of the anchor (low 32 bits), text number, first start, number of starts; then a table of ids and the compressed bytes.
 _SENT = (np.uint32, np.uint16, np.uint32, np.uint8)
+_CODEC = "zstd"
 
 
 def _send(bucket: int, keys: np.ndarray, names: np.ndarray, who: np.ndarray, start: np.ndarray, count: np.ndarray, blobs: list[bytes], parts: int, out: list) -> None:
     part = packed.part_of(names, parts)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((names, part))  # contexts of one anchor next to one another compress well
     ends = np.cumsum(np.bincount(part, minlength=parts))
     begins = np.concatenate([[0], ends[:-1]])
     for p in np.flatnonzero(ends > begins):
         take = order[begins[p] : ends[p]]
         used, local = np.unique(who[take], return_inverse=True)
         head = packed.blob(names[take].astype(np.uint32), local.astype(np.uint16), start[take].astype(np.uint32), count[take].astype(np.uint8))
-        out.append((bucket, int(p), False, head + packed.blob(used.astype(np.uint16), keys[used]) + b"".join(blobs[i] for i in take.tolist())))
+        text = pa.compress(b"".join(blobs[i] for i in take.tolist()), _CODEC, asbytes=True)
+        out.append((bucket, int(p), False, head + packed.blob(used.astype(np.uint16), keys[used]) + text))
 
 
 def _spans_blob(who: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
@@ -293,8 +273,8 @@ def _send_contexts(parts: int, length: int):
     """
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = _texts(left)
-        skip = _skipped(keys, texts, right)
+        keys, texts = texts_of(left)
+        skip = skipped(keys, texts, right)
         shared: list[np.ndarray] = []
         hot: list[np.ndarray] = []
         for part, is_table, data in zip(right.column("part").to_pylist(), right.column("is_table").to_pylist(), right.column("blob").to_pylist()):
@@ -385,8 +365,9 @@ def _resolve_part(rows: list[tuple[int, bytes]], length: int) -> Iterator[pa.Rec
         lengths = c + length - 1
         for to, x in ((names, name), (who, used[local]), (keys, ids[local]), (start, s), (count, c), (bucket, np.full(len(name), b)), (begin, size + np.cumsum(lengths) - lengths)):
             to.append(x)
-        chunks.append(np.frombuffer(data, np.uint8, offset=at))
-        size += len(chunks[-1])
+        total = int(lengths.sum())
+        chunks.append(np.frombuffer(pa.decompress(memoryview(data)[at:], total, _CODEC), np.uint8))
+        size += total
     names, who, keys, start, count, bucket, begin = map(np.concatenate, (names, who, keys, start, count, bucket, begin))
     data = np.concatenate(chunks)
     whole = np.empty(len(names), np.uint64)
@@ -461,8 +442,8 @@ _CUT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def _cut(length: int, digest: bool):
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = _texts(left)
-        skip = _skipped(keys, texts, right)
+        keys, texts = texts_of(left)
+        skip = skipped(keys, texts, right)
         spans = [packed.unblob(d, np.uint16, np.uint32, np.uint8) for t, d in zip(right.column("is_table").to_pylist(), right.column("blob").to_pylist()) if not t]
         who, start, count = (np.concatenate([s[k] for s in spans]).astype(np.int64) if spans else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(who, kind="stable")
@@ -481,15 +462,12 @@ def _cut(length: int, digest: bool):
                 kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
             else:
                 removed, runs, kept = 0, 0, text
-            out.append((None if key == _NO_ID else key, n, removed, runs, hashlib.sha256(kept).digest() if digest else kept))
+            out.append((None if key == NO_ID else key, n, removed, runs, hashlib.sha256(kept).digest() if digest else kept))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CUT_ARROW)], schema=_CUT_ARROW) if out else pa.Table.from_batches([], schema=_CUT_ARROW)
 
     return one
 
 
-_NO_ID = (1 << 63) - 1
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the bytes left, or with `digest` their SHA-256) for every row.
 
@@ -499,23 +477,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than `length` stay whole. Rows that repeat an id don't take from each other;
     a null id counts as larger than any other. No rows give no rows.
 
-    Texts are shuffled once, to buckets by a hash of the id, and that exchange is
-    read by three steps. Copies of a whole text are settled by its digest, so that
+    Texts are shuffled once, to buckets by a hash of id and text, and that exchange
+    is read by three steps. Buckets are as many as the bytes of all texts ask for. Copies of a whole text are settled by its digest, so that
     large groups of them are no work. `length` must lie between 24 and 200.
     """
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
-    heads = stash(rows.select("key", F.unhex(F.sha2("bytes", 256)).alias("sha")), "heads")
-    buckets = max(4 * parts, heads.count() // BUCKET_DOCS + 1)
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("long")
-    least = heads.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
-    least = stash(least, "least")
-    name = F.concat(F.unhex(F.lpad(F.hex("key"), 16, "0")), F.col("sha"))
-    copies = heads.join(least, "sha").where("key > least").select(bucket.alias("chunk"), F.lit(-1).alias("part"), F.lit(True).alias("is_table"), name.alias("blob")).distinct()
-    copies = stash(copies, "copies")
-
-    texts = rows.withColumn("bucket", bucket)
+    parts = partitions(docs.sparkSession)
+    texts, copies = dealt(docs, id_col, text_col)
     counted = texts.groupBy("bucket").cogroup(copies.groupBy("chunk")).applyInArrow(_count_anchors(parts, length), packed.SCHEMA)
     shared = counted.repartitionById(parts, "part").mapInArrow(packed.shared, packed.SCHEMA)
     sent = texts.groupBy("bucket").cogroup(shared.unionByName(copies).groupBy("chunk")).applyInArrow(_send_contexts(parts, length), packed.SCHEMA)
