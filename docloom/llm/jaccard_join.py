@@ -26,8 +26,10 @@ PERCENT = 80
 ORDERS = 3
 #: Text bytes of a chunk of documents.
 CHUNK_BYTES = 12 << 20
-#: Rounds in which one document of each group meets the rest, before all that is left meet pairwise.
-LEADER_ROUNDS = 2
+#: One document of each group meets the rest, again and again, until pairs of what is left are at most so many a row.
+PAIRS_A_ROW = 2
+#: The most such rounds; all that is left then meets pairwise.
+LEADER_ROUNDS = 8
 
 _SETS = "key long, id long, n long, shared long, rank long, digest binary, tokens binary, prefixes array<binary>"
 _SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
@@ -120,9 +122,9 @@ def _can_link(n: str, m: str, shared: str, other: str, percent: int) -> str:
     return f"100 * {most} >= {percent} * ({n} + {m} - {most})"
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int, kind: type) -> Iterator[pa.RecordBatch]:
     """The pairs that share a prefix shingle under every order and are alike enough."""
-    as_ints = lambda b: np.frombuffer(b, np.int64)
+    as_ints = lambda b, kind=np.int64: np.frombuffer(b, kind)
     for batch in batches:
         good = []
         cols = [batch.column(c) for c in ("n", "n_b", "tokens", "tokens_b", "prefixes", "prefixes_b")]
@@ -131,31 +133,36 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             ok = 100 * min(n, m) >= percent * max(n, m)
             ok = ok and all(len(np.intersect1d(as_ints(p), as_ints(q), True)) for p, q in zip(cols[4][i].as_py(), cols[5][i].as_py()))
             if ok:
-                both = len(np.intersect1d(as_ints(cols[2][i].as_py()), as_ints(cols[3][i].as_py()), True))
+                both = len(np.intersect1d(as_ints(cols[2][i].as_py(), kind), as_ints(cols[3][i].as_py(), kind), True))
                 ok = 100 * both >= percent * (n + m - both)
             good.append(ok)
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good, pa.bool_())), batch.column("v").filter(pa.array(good, pa.bool_()))], names=["u", "v"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v: keys of `sets`) that pass every order's filter and the exact test."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -> DataFrame:
+    """The pairs (u, v: keys of `sets`) that pass every order's filter and the exact test; tokens are of the given kind.
+
+    The filter of the first order is what made the pairs, so its prefixes stay behind.
+    """
+    sets = sets.withColumn("prefixes", F.slice("prefixes", 2, 1_000))
     what = ["key", "n", "tokens", "prefixes"]
     other = sets.select(*[F.col(c).alias(c if c == "key" else f"{c}_b") for c in what])
     both = pairs.join(other, pairs["v"] == other["key"]).drop("key")
     one = sets.select(*what)
     both = both.join(one, both["u"] == one["key"]).drop("key")
-    return both.mapInArrow(lambda b: _verify(b, percent), "u long, v long")
+    return both.mapInArrow(lambda b: _verify(b, percent, kind), "u long, v long")
 
 
-def near_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -> DataFrame:
     """Links (u, v) of representatives in `sets`, enough to join all that hang together.
 
-    Documents that share a prefix shingle form a group. In each of a few rounds
-    the document of least rank of a group meets the others: in a group of near
+    Documents that share a prefix shingle form a group. In each round the
+    document of least rank of a group meets the others: in a group of near
     copies, that is one without edits of its own, to which most others link. What
-    is then in the same component needs no further test. The rest, documents of
-    one group that are still in different components, meet pairwise, unless
-    their shingles that no one shares rule a link out. So no link between
+    is then in the same component needs no further test, and a group that spans
+    one component is done. Rounds go on while the pairs between components in
+    groups are many more than the rows in them; the rest then meets pairwise,
+    unless the shingles that no one shares rule a link out. So no link between
     components is lost, and a group of near copies costs its size, not its square.
     """
     columns = ("token", "key", "n", "shared", "rank")
@@ -168,21 +175,27 @@ def near_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         leads = stash(leads.select("token", F.col("lead.key").alias("u"), F.col("lead.n").alias("m"), F.col("lead.shared").alias("other")), "leads")
         met = places.join(leads, "token").where("key != u").where(_can_link("n", "m", "shared", "other", percent))
         pairs = stash(met.select("u", F.col("key").alias("v")).distinct(), "pairs")
-        found = stash(verified(pairs, sets, percent), "near")
-        links = found if links is None else stash(links.unionByName(found), "near")
-        labels = components(links)
+        found = stash(verified(pairs, sets, percent, kind), "near")
+        # What hangs together so far goes on as stars, which settle fast.
+        labels = stash(components(found if links is None else links.unionByName(found)), "labels")
+        links = labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         # A leader has met its whole group; what is left there must still span two components.
         left = places.select(*columns).join(leads.select("token", "u"), "token").where("key != u").drop("u")
         named = left.join(labels, left["key"] == labels["node"], "left").select(*columns, F.coalesce("component", "key").alias("component"))
         named = stash(named, "left")
-        open_ = stash(named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token"), "open")
-        places = stash(named.join(open_, "token"), "places")
-        if places.isEmpty():
+        sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+        open_ = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same")).where("parts > 1")
+        open_ = stash(open_.select("token", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")), "open")
+        still = open_.agg(F.sum("m"), F.sum("pairs")).first()
+        if not still[0]:
             return links
+        places = stash(named.join(open_.select("token"), "token"), "places")
+        if still[1] <= PAIRS_A_ROW * still[0]:
+            break
     other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("shared").alias("other"), F.col("component").alias("component_v"))
     pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "shared", "other", percent))
     pairs = stash(pairs.select(F.col("key").alias("u"), "v").distinct(), "pairs")
-    return links.unionByName(verified(pairs, sets, percent))
+    return links.unionByName(verified(pairs, sets, percent, kind))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
