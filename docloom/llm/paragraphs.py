@@ -1,14 +1,21 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs (lines of enough words) get MinHash signatures cut into bands; those
-that agree on a band are candidates, candidates are verified by the exact Jaccard
-similarity of their word shingles, verified links are joined to components, and
-of a component all paragraphs but the first are removed.
+A paragraph is a run of whole sentences. Paragraphs get MinHash signatures cut
+into bands; those of different documents that agree on a band are candidates,
+candidates are verified by the exact Jaccard similarity of their word shingles,
+verified links are joined to components, and of a component the paragraphs of
+its first document stay while those of the others are removed.
+
+Bands alone would gather all paragraphs that have a common line in them. So
+colliding paragraphs meet by their rarest shingles: alike ones share one among
+the rarest fifth of either.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,152 +23,279 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
+from docloom.llm.buckets import NO_ID, dealt, skipped, texts_of
 from docloom.llm.common import partitions, stash
 from docloom.llm.components import components
 from docloom.llm.jaccard_join import near_links
 
 SHINGLE = 5
 PERCENT = 80
-#: Lines with fewer words are no paragraphs: so short a line recurs by chance.
+#: A paragraph takes sentences until it has so many words: shorter ones recur by chance.
 MIN_WORDS = 20
-#: Bands of rows. Paragraphs alike by 0.8 agree on a band with a chance of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994.
-BANDS, ROWS = 14, 4
-#: Text bytes of a chunk, and the paragraphs of one at most.
-CHUNK_BYTES, CHUNK_PARAGRAPHS = 16 << 20, 60_000
+#: In any so many words that hold the start of a sentence, a paragraph starts.
+APART = 8
+#: Bands of rows. Paragraphs alike by 0.8 agree on a band with a chance of 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
+BANDS, ROWS = 8, 3
+#: Text bytes that one step works on.
+STEP_BYTES = 2 << 20
+#: Frequent shingles whose number is told to all tasks, as 12 bytes each; the others count as rare. Any order gives the same links.
+FREQUENT = 200_000
+_MAX = np.uint64((1 << 64) - 1)
+_PLACE = np.uint64((1 << 28) - 1)
+
+_SETS = "key long, id long, chunk long, who int, start long, stop long, n long, rank long, digest binary, tokens binary, prefixes array<binary>"
+_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("chunk", pa.int64()), ("who", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
+
+
+# --- paragraphs and their signatures -----------------------------------------
+
 
-_SETS = "key long, id long, row long, para int, n long, rank long, digest binary, tokens binary, prefixes array<binary>"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("para", pa.int32()), ("n", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
+class Paragraphs(NamedTuple):
+    """owner: number of the text; start, stop: bytes in the data; first, last: range in shingles, the hashes at every word."""
 
+    owner: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    shingles: np.ndarray
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets of the lines, the text of each, its number in the text); lines end at a newline or the text's end."""
-    cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
-    owner = np.searchsorted(offsets, cuts[:-1], side="right") - 1
-    first = np.searchsorted(cuts[:-1], offsets[:-1])
-    return cuts, owner, np.arange(len(owner)) - first[owner]
+
+def _least_of_every(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours."""
+    width = 1
+    while 2 * width <= n:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return np.minimum(values[: len(values) - (n - width)], values[n - width :]) if width < n else values
+
+
+def paragraphs_of(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, apart: int = APART, size: int = SHINGLE) -> Paragraphs:
+    """The paragraphs of texts: from a chosen sentence on, whole sentences until there are min_words words.
+
+    Sentences end at a word with a final `.`, `!` or `?` and at line ends; where
+    there are none, at words that one in 64 hashes picks. Starts are chosen by the
+    hash of the words there, so that equal passages get equal paragraphs wherever
+    they stand: the least within every `apart` words. A start with the words of
+    one of the three before is none, as in runs of one word.
+    """
+    found = tokens.words(data, offsets)
+    n, counts = len(found.hashes), np.diff(found.first)
+    none = np.zeros(0, np.int64)
+    if not n or counts.max() < min_words:
+        return Paragraphs(none, none, none, none, none, np.zeros(0, np.uint64))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    left = found.first[1:][owner] - np.arange(n)
+    shingles = np.zeros(n, np.uint64)
+    shingles[(left >= size) | ((counts[owner] < size) & (left == counts[owner]))] = tokens.shingles(found, size)[0]
+    lines = np.cumsum(data == 10)
+    ends = np.isin(data[found.ends - 1], np.frombuffer(b".!?", np.uint8)) | (found.hashes & np.uint64(63) == 0)
+    ends[:-1] |= lines[found.starts[1:]] > lines[found.ends[:-1] - 1]
+    begins = np.ones(n, bool)
+    begins[1:] = ends[:-1]
+    begins[found.first[:-1][found.first[:-1] < n]] = True
+    places = np.flatnonzero(begins)
+    said, of = shingles[places], owner[places]
+    fresh = left[places] >= min_words
+    for k in (1, 2, 3):
+        fresh[k:] &= (said[k:] != said[:-k]) | (of[k:] != of[:-k])
+    starts = places[fresh]
+    if not len(starts):
+        return Paragraphs(none, none, none, none, none, shingles)
+    line = np.full(n + len(counts) * apart, _MAX)  # words with a gap between texts
+    line[starts + owner[starts] * apart] = (tokens.mix(shingles[starts], 41) & ~_PLACE) | np.arange(len(starts), dtype=np.uint64)
+    chosen = np.unique(_least_of_every(np.concatenate([np.full(apart, _MAX), line]), apart))
+    first = starts[np.sort((chosen[chosen != _MAX] & _PLACE).astype(np.int64))]
+    stop = np.append(places, n)[np.searchsorted(np.append(places, n), first + min_words)]
+    return Paragraphs(owner[first], found.starts[first], found.ends[stop - 1], first, stop - size + 1, shingles)
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit name of each band of each paragraph; first: where each paragraph's shingles begin (none is empty)."""
+def signatures(shingles: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit name of each band of each paragraph, whose shingles are shingles[first:last] (never empty)."""
+    edges = np.stack([first, last], axis=1).reshape(-1)
     out = np.empty((len(first), bands), np.uint64)
     for b in range(bands):
         name = np.full(len(first), b + 1, np.uint64)
         for r in range(rows):
             factor = int(tokens.mix(np.array([b * rows + r], np.uint64), 11)[0]) | 1
-            name = tokens.mix(name ^ np.minimum.reduceat(hashes * np.uint64(factor) + np.uint64(factor >> 7), first), 12)
+            values = np.append(shingles * np.uint64(factor) + np.uint64(factor >> 7), _MAX)
+            name = tokens.mix(name ^ np.minimum.reduceat(values, edges)[::2], 12)
         out[:, b] = name
     return out
 
 
-def _emit(batches: Iterator[pa.RecordBatch], parts: int, size: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of paragraphs as packed band names; the tables have what verification needs."""
+# --- the distributed part ----------------------------------------------------
 
-    def close(held):
-        keys, ids, known, rows, paras, counts = (np.concatenate([h[k] for h in held]) for k in range(6))
-        bands = np.concatenate([h[6] for h in held])
-        owner = np.repeat(np.arange(len(keys)), bands.shape[1])
-        table = packed.blob(keys, ids, known, rows, paras, counts) + np.concatenate([h[7] for h in held]).tobytes()
-        return packed.deal(int(keys[0]), bands.reshape(-1), owner, table, parts)
 
-    held, docs, total, made, base = [], 0, 0, 0, None
-    for batch in batches:
-        texts, keys = batch.column("text"), batch.column("key").to_numpy()
-        ids, known = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("id").is_valid().to_numpy(zero_copy_only=False)
-        base = int(keys[0]) >> 33 << 33 if base is None and len(keys) else base
-        for a, b in tokens.steps(texts):
-            data, offsets = tokens.utf8(texts.slice(a, b - a))
-            cuts, owner, para = lines(data, offsets)
-            words = tokens.words(data, cuts)
-            long = np.diff(words.first) >= min_words
-            if not long.any():
-                continue
-            hashes, line = tokens.shingles(words, size)
-            keep = long[line]
-            hashes, line = tokens.distinct(hashes[keep], line[keep])
-            chosen, first, counts = np.unique(line, return_index=True, return_counts=True)
-            bands = signatures(hashes, first)
-            for i in range(0, len(chosen), CHUNK_PARAGRAPHS):
-                j = min(i + CHUNK_PARAGRAPHS, len(chosen))
-                if held and (docs + j - i > CHUNK_PARAGRAPHS or total > CHUNK_BYTES):
-                    yield close(held)
-                    held, docs, total = [], 0, 0
-                at = owner[chosen[i:j]] + a
-                stop = first[j] if j < len(chosen) else len(hashes)
-                held.append((np.arange(base + made, base + made + j - i), ids[at], known[at], keys[at], para[chosen[i:j]].astype(np.int32), counts[i:j].astype(np.int64), bands[i:j], hashes[first[i] : stop].astype(np.uint32)))
-                docs, total, made = docs + j - i, total + len(data), made + j - i
+def _steps(texts: list[bytes], skip: dict[int, int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers, data, offsets) of groups of whole texts."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        if i not in skip:
+            held.append(i)
+            size += len(text)
+        if held and (size >= STEP_BYTES or i + 1 == len(texts)):
+            yield held, np.frombuffer(b"".join(texts[k] for k in held), np.uint8), np.cumsum([0, *(len(texts[k]) for k in held)])
+            held, size = [], 0
     if held:
-        yield close(held)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs that share a band with another, with their shingles and those bands; most shared bands, least rank."""
-    for _, table, who, names, _ in packed.gathered(batches):
-        kinds = (np.int64, np.int64, np.bool_, np.int64, np.int32, np.int64)
-        keys, ids, known, rows, paras, counts = packed.unblob(table, *kinds)
-        shingles = np.frombuffer(table, np.uint32, offset=8 + len(keys) * sum(np.dtype(k).itemsize for k in kinds))
-        ends = np.cumsum(counts)
-        first = np.searchsorted(who, np.arange(len(keys) + 1))
-        used = np.flatnonzero(np.diff(first))
-        sets = [np.sort(shingles[ends[i] - counts[i] : ends[i]].astype(np.int64)) for i in used]
-        digest = [np.bitwise_xor.reduce(tokens.mix(s.view(np.uint64), 3)).tobytes() + np.add.reduce(tokens.mix(s.view(np.uint64), 4)).tobytes() for s in sets]
-        for at in range(0, len(used), 5000):
-            take = used[at : at + 5000]
-            columns = [keys[take], pa.array(ids[take], mask=~known[take]), rows[take], paras[take], counts[take], [int(first[i] - first[i + 1]) for i in take], digest[at : at + 5000], [s.tobytes() for s in sets[at : at + 5000]], [[names[first[i] : first[i + 1]].tobytes()] for i in take]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SETS_ARROW)], schema=_SETS_ARROW)
-
-
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, row, para, component, first_id, removed of every paragraph that is like another one.
-
-    Paragraphs are lines of at least min_words words; para counts all lines of a
-    text from 0. Two are alike from a Jaccard similarity of percent / 100 of their
-    distinct shingles on. Bands find nearly all such pairs; of those that share a
-    band, none between different components goes untested. Of a component the
-    first by (id, para) stays and the rest is removed, also within one document. A
-    null id comes last. Rows that repeat an id are told apart by `row`, which
-    names the row in this result.
-    """
-    parts = partitions(docs.sparkSession)
-    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = source.mapInArrow(lambda b: _emit(b, parts, size, min_words), packed.SCHEMA).repartitionById(parts, "part")
-    back = dealt.mapInArrow(packed.shared, packed.SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk")
-    sets = stash(back.mapInArrow(_candidates, _SETS), "paragraphs")
+        yield held, np.frombuffer(b"".join(texts[k] for k in held), np.uint8), np.cumsum([0, *(len(texts[k]) for k in held)])
+
+
+def _band_counts(parts: int, how: dict):
+    """A bucket's band names by part, each once a text."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = texts_of(left)
+        names, owners = [], []
+        for numbers, data, offsets in _steps(texts, skipped(keys, texts, right)):
+            p = paragraphs_of(data, offsets, **how)
+            if len(p.owner):
+                bands = signatures(p.shingles, p.first, p.last)
+                names.append(bands.reshape(-1))
+                owners.append(np.repeat(np.array(numbers)[p.owner], bands.shape[1]))
+        if not names:
+            return pa.Table.from_batches([], schema=packed.ARROW)
+        name, owner = tokens.distinct(np.concatenate(names), np.concatenate(owners))
+        batch = packed.deal(left.column("bucket")[0].as_py(), name, owner, b"", parts)
+        return pa.Table.from_batches([batch.slice(0, batch.num_rows - 1)])  # without the table, which comes last
+
+    return one
+
+
+def _candidates(parts: int, how: dict):
+    """A bucket's paragraphs that share a band with another document's, with their shingles and those bands."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = texts_of(left)
+        back = [(part, packed.unblob(blob, np.uint16, np.uint32, np.uint8)[1]) for part, kind, blob in zip(*(right.column(c).to_pylist() for c in ("part", "is_table", "blob"))) if not kind]
+        if not back or not keys:
+            return pa.Table.from_batches([], schema=_SETS_ARROW)
+        shared = np.unique(np.concatenate([low.astype(np.uint64) | np.uint64(part << 32) for part, low in back]))
+        bucket, out, made = left.column("bucket")[0].as_py(), [], 0
+        for numbers, data, offsets in _steps(texts, skipped(keys, texts, right)):
+            p = paragraphs_of(data, offsets, **how)
+            if not len(p.owner):
+                continue
+            bands = signatures(p.shingles, p.first, p.last)
+            names = (bands & np.uint64(0xFFFFFFFF)) | (packed.part_of(bands.reshape(-1), parts).astype(np.uint64) << np.uint64(32)).reshape(bands.shape)
+            good = np.isin(names, shared)
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                t = numbers[p.owner[i]]
+                base = offsets[p.owner[i]]
+                words = np.unique(p.shingles[p.first[i] : p.last[i]].astype(np.uint32)).astype(np.uint64)
+                digest = np.bitwise_xor.reduce(tokens.mix(words, 3)).tobytes() + np.add.reduce(tokens.mix(words, 4)).tobytes()
+                out.append(((bucket << 24) + made, keys[t], bucket, t, int(p.start[i] - base), int(p.stop[i] - base), len(words), -int(good[i].sum()), digest, words.astype(np.uint32).tobytes(), [np.unique(names[i][good[i]]).tobytes()]))
+                made += 1
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS_ARROW)], schema=_SETS_ARROW) if out else pa.Table.from_batches([], schema=_SETS_ARROW)
+
+    return one
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            found, n = np.unique(np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"token": found.astype(np.int64), "m": n.astype(np.int64)})
+
+
+def _with_rarest(batches: Iterator[pa.RecordBatch], percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Before the bands in prefixes, the shingles of which two alike paragraphs share one: the rarest, ties by hash."""
+    for batch in batches:
+        out = []
+        for data, bands in zip(batch.column("tokens").to_pylist(), batch.column("prefixes").to_pylist()):
+            own = np.frombuffer(data, np.uint32).astype(np.int64)
+            at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+            often = np.where(frequent[at] == own, counts[at], 0) if len(frequent) else np.zeros(len(own), np.int64)
+            order = np.lexsort((tokens.mix(own.astype(np.uint64), 20), often))
+            out.append([np.sort(own[order[: len(own) - -(-percent * len(own) // 100) + 1]]).tobytes(), *bands])
+        yield batch.set_column(batch.schema.get_field_index("prefixes"), "prefixes", pa.array(out, pa.list_(pa.binary())))
+
+
+def with_rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """`sets` with the rarest shingles of each before its bands."""
+    counts = sets.select("tokens").mapInArrow(_counted, "token long, m long").groupBy("token").agg(F.sum("m").alias("m")).where("m > 8")
+    rows = counts.orderBy(F.desc("m"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    frequent, often = rows["token"].to_numpy(np.int64), rows["m"].to_numpy(np.int64)
+    return sets.mapInArrow(lambda b: _with_rarest(b, percent, frequent, often), sets.schema)
+
+
+def repeated_paragraphs(texts: DataFrame, copies: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
+    """chunk, who, start, stop, first of every paragraph whose component has one of a document with a smaller id, `first` the smallest."""
+    parts = partitions(texts.sparkSession)
+    counted = texts.groupBy("bucket").cogroup(copies.groupBy("chunk")).applyInArrow(_band_counts(parts, how), packed.SCHEMA)
+    shared = counted.repartitionById(parts, "part").mapInArrow(packed.shared, packed.SCHEMA)
+    sets = stash(texts.groupBy("bucket").cogroup(shared.unionByName(copies).groupBy("chunk")).applyInArrow(_candidates(parts, how), _SETS), "paragraphs")
     classes = stash(sets.groupBy("digest", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "classes")
-    copies = stash(sets.select("key", "n", "digest").join(classes, ["digest", "n"]).where("key != first").select(F.col("first").alias("u"), F.col("key").alias("v")), "copies")
-    firsts = stash(sets.join(copies.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", F.col("n").alias("shared"), "rank", "tokens", "prefixes"), "firsts")
-    near = components(stash(near_links(firsts, percent), "near"))
-    of_copy = copies.join(near, copies["u"] == near["node"], "left").select(F.col("v").alias("node"), F.coalesce("component", "u").alias("component"))
-    of_first = copies.select("u").distinct().join(near, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    labels = stash(near.unionByName(of_copy).unionByName(of_first), "labels")
-    rows = sets.select("key", "id", "row", "para")
-    named = stash(rows.join(labels, rows["key"] == labels["node"]).select("key", "id", "row", "para", "component"), "named")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "para", "row", "key")
-    first = stash(named.groupBy("component").agg(F.min(place).alias("first")), "first")
-    return named.join(first, "component").select("id", "row", "para", "component", F.col("first.id").alias("first_id"), (F.col("key") != F.col("first.key")).alias("removed"))
-
-
-def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per row of `docs`: id, n_lines, n_repeated, n_removed, removed_lines, partners.
-
-    n_lines counts the lines of the text (an empty or null text has none),
-    n_repeated those like another paragraph, and n_removed those that go;
-    removed_lines are their numbers, ascending, and partners the ids of the
-    documents whose paragraphs stay in their place.
+    same = stash(sets.select("key", "n", "digest").join(classes, ["digest", "n"]).where("key != first").select(F.col("first").alias("u"), F.col("key").alias("v")), "same")
+    firsts = stash(sets.join(same.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", F.col("n").alias("shared"), "rank", "tokens", "prefixes"), "firsts")
+    firsts = stash(with_rarest(firsts, percent), "firsts")
+    near = components(stash(near_links(firsts, percent, np.uint32), "near"))
+    of_same = same.join(near, same["u"] == near["node"], "left").select(F.col("v").alias("node"), F.coalesce("component", "u").alias("component"))
+    of_first = same.select("u").distinct().join(near, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    labels = stash(near.unionByName(of_same).unionByName(of_first), "labels")
+    rows = sets.select("key", "id", "chunk", "who", "start", "stop")
+    named = stash(rows.join(labels, rows["key"] == labels["node"]).select("id", "chunk", "who", "start", "stop", "component"), "named")
+    least = stash(named.groupBy("component").agg(F.min("id").alias("first")), "first")
+    return named.join(least, "component").where("id > first").select("chunk", "who", "start", "stop", "first")
+
+
+_CUT = "id long, n_bytes long, n_removed long, n_spans long, partners array<long>, kept binary"
+_CUT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("partners", pa.list_(pa.int64())), ("kept", pa.binary())])
+
+
+def _cut(how: dict, digest: bool):
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = texts_of(left)
+        skip = skipped(keys, texts, right)
+        gone: dict[int, list[tuple[int, int, int]]] = {}
+        for kind, who, start, stop, first in zip(*(right.column(c).to_pylist() for c in ("is_table", "who", "start", "stop", "first"))):
+            if not kind:
+                gone.setdefault(who, []).append((start, stop, first))
+        out = []
+        for i, (key, text) in enumerate(zip(keys, texts)):
+            spans = gone.get(i, [])
+            if i in skip:
+                p = paragraphs_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), **how)
+                spans = [(a, z, skip[i]) for a, z in zip(p.start.tolist(), p.stop.tolist())]
+            kept, at, removed, runs = [], 0, 0, 0
+            for a, z, _ in sorted(spans):
+                if z > at:
+                    runs += a > at or not runs
+                    kept.append(text[at : max(a, at)])
+                    removed += z - max(a, at)
+                    at = z
+            kept = b"".join([*kept, text[at:]])
+            out.append((None if key == NO_ID else key, len(text), removed, runs, sorted({f for *_, f in spans}), hashlib.sha256(kept).digest() if digest else kept))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CUT_ARROW)], schema=_CUT_ARROW) if out else pa.Table.from_batches([], schema=_CUT_ARROW)
+
+    return one
+
+
+def cut_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, digest: bool = False, **how) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, partners, kept (the bytes left, or with `digest` their SHA-256) for every row.
+
+    Two paragraphs are alike from a Jaccard similarity of percent / 100 of their
+    distinct word shingles on; components of alike ones hang together. A
+    paragraph goes if its component has one of a document with a smaller id;
+    repeats within one document stay. n_spans counts the runs of removed bytes;
+    partners are, ascending, the smallest ids of the components that the removed
+    paragraphs are in; a copy of a whole text names the least id that has it.
+    Bands find nearly all alike pairs; of those that share a band, none between
+    different components goes untested. Texts of fewer than min_words words have
+    no paragraphs; null is empty; a null id is larger than any other. Rows that
+    repeat an id don't take from each other. No rows give no rows.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.when(F.coalesce(F.length(text_col), F.lit(0)) > 0, F.size(F.split(text_col, "\n"))).otherwise(0).alias("n_lines"))
-    gone = F.col("removed")
-    found = repeated_paragraphs(docs, id_col, text_col, **how).groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_repeated"), F.count_if(gone).alias("n_removed"), F.array_sort(F.collect_list(F.when(gone, F.col("para")))).alias("removed_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("first_id")))).alias("partners")
-    )
-    none = {"n_repeated": F.lit(0), "n_removed": F.lit(0), "removed_lines": F.array().cast("array<int>"), "partners": F.array().cast("array<long>")}
-    return source.join(found, "row", "left").select(F.col("id").alias(id_col), "n_lines", *[F.coalesce(F.col(c), v).alias(c) for c, v in none.items()])
+    texts, copies = dealt(docs, id_col, text_col)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    gone = repeated_paragraphs(texts, copies, percent, **how).select("chunk", F.lit(False).alias("is_table"), "who", "start", "stop", "first", none("blob", "binary"))
+    listed = copies.select("chunk", "is_table", none("who", "int"), none("start", "long"), none("stop", "long"), none("first", "long"), "blob")
+    cut = texts.groupBy("bucket").cogroup(gone.unionByName(listed).groupBy("chunk")).applyInArrow(_cut(how, digest), _CUT)
+    return cut.withColumnRenamed("id", id_col)
 
 
 def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with the removed lines cut from the text. Ids must be unique."""
-    gone = paragraph_report(docs, id_col, text_col, **how).where("n_removed > 0").select(F.col(id_col).alias("id"), "removed_lines")
+    """`docs` with the removed paragraphs cut from the text. Ids must be unique; rows with a null id stay as they are."""
+    cut = cut_paragraphs(docs, id_col, text_col, **how).where("n_removed > 0").select(F.col(id_col).alias("id"), F.col("kept").cast("string").alias("kept"))
     # The row travels as one column, so no name of its own can clash.
-    joined = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row")).join(gone, F.col("of") == F.col("id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed_lines", i))
-    text = F.when(F.col("id").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    joined = docs.select(F.col(id_col).alias("of"), F.struct(*docs.columns).alias("row")).join(cut, F.col("of") == F.col("id"), "left")
+    return joined.select(*[F.coalesce("kept", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

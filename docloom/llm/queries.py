@@ -51,7 +51,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paragraphs.paragraph_report(_table(spark, sf_dir, "documents"))
+    cut = _paragraphs.cut_paragraphs(_table(spark, sf_dir, "documents"), digest=True)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "partners", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
