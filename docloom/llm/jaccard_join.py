@@ -27,9 +27,9 @@ ORDERS = 3
 #: Text bytes of a chunk of documents.
 CHUNK_BYTES = 12 << 20
 #: One document of each group meets the rest, again and again, until pairs of what is left are at most so many a row.
-PAIRS_A_ROW = 2
+PAIRS_A_ROW = 4
 #: The most such rounds; all that is left then meets pairwise.
-LEADER_ROUNDS = 8
+LEADER_ROUNDS = 4
 
 _SETS = "key long, id long, n long, shared long, rank long, digest binary, tokens binary, prefixes array<binary>"
 _SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
