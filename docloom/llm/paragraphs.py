@@ -4,7 +4,8 @@ A paragraph is a run of whole sentences. Paragraphs get MinHash signatures cut
 into bands; those of different documents that agree on a band are candidates,
 candidates are verified by the exact Jaccard similarity of their word shingles,
 verified links are joined to components, and of a component the paragraphs of
-its first document stay while those of the others are removed.
+its first document stay while those of the others are removed. Equal paragraphs
+of one document are searched for once and removed at all their places.
 
 Bands alone would gather all paragraphs that have a common line in them. So
 colliding paragraphs meet by their rarest shingles: alike ones share one among
@@ -43,8 +44,8 @@ FREQUENT = 200_000
 _MAX = np.uint64((1 << 64) - 1)
 _PLACE = np.uint64((1 << 28) - 1)
 
-_SETS = "key long, id long, chunk long, who int, start long, stop long, n long, rank long, digest binary, tokens binary, prefixes array<binary>"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("chunk", pa.int64()), ("who", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
+_SETS = "key long, id long, chunk long, who int, spans binary, n long, rank long, digest binary, tokens binary, prefixes array<binary>"
+_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("chunk", pa.int64()), ("who", pa.int32()), ("spans", pa.binary()), ("n", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
 
 
 # --- paragraphs and their signatures -----------------------------------------
@@ -76,8 +77,7 @@ def paragraphs_of(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WO
     Sentences end at a word with a final `.`, `!` or `?` and at line ends; where
     there are none, at words that one in 64 hashes picks. Starts are chosen by the
     hash of the words there, so that equal passages get equal paragraphs wherever
-    they stand: the least within every `apart` words. A start with the words of
-    one of the three before is none, as in runs of one word.
+    they stand: the least within every `apart` words.
     """
     found = tokens.words(data, offsets)
     n, counts = len(found.hashes), np.diff(found.first)
@@ -95,19 +95,36 @@ def paragraphs_of(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WO
     begins[1:] = ends[:-1]
     begins[found.first[:-1][found.first[:-1] < n]] = True
     places = np.flatnonzero(begins)
-    said, of = shingles[places], owner[places]
-    fresh = left[places] >= min_words
-    for k in (1, 2, 3):
-        fresh[k:] &= (said[k:] != said[:-k]) | (of[k:] != of[:-k])
-    starts = places[fresh]
-    if not len(starts):
+    stops = np.append(places, n)
+    first = _chosen(places[left[places] >= min_words], owner, shingles, apart)
+    if not len(first):
         return Paragraphs(none, none, none, none, none, shingles)
-    line = np.full(n + len(counts) * apart, _MAX)  # words with a gap between texts
+    stop = stops[np.searchsorted(stops, first + min_words)]
+    return Paragraphs(owner[first], found.starts[first], found.ends[stop - 1], first, stop - size + 1, shingles)
+
+
+def _chosen(starts: np.ndarray, owner: np.ndarray, shingles: np.ndarray, apart: int) -> np.ndarray:
+    """Of `starts`, those with the least hash within some `apart` words, ascending."""
+    if not len(starts):
+        return starts
+    line = np.full(len(shingles) + (int(owner[-1]) + 1) * apart, _MAX)  # words with a gap between texts
     line[starts + owner[starts] * apart] = (tokens.mix(shingles[starts], 41) & ~_PLACE) | np.arange(len(starts), dtype=np.uint64)
     chosen = np.unique(_least_of_every(np.concatenate([np.full(apart, _MAX), line]), apart))
-    first = starts[np.sort((chosen[chosen != _MAX] & _PLACE).astype(np.int64))]
-    stop = np.append(places, n)[np.searchsorted(np.append(places, n), first + min_words)]
-    return Paragraphs(owner[first], found.starts[first], found.ends[stop - 1], first, stop - size + 1, shingles)
+    return starts[np.sort((chosen[chosen != _MAX] & _PLACE).astype(np.int64))]
+
+
+def distinct_paragraphs(p: Paragraphs) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(numbers, spans): one of each equal paragraphs of a text, and the (start, stop) of all their places, overlapping ones joined."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(p.shingles, k), dtype=np.uint64)]) for k in (5, 6)]
+    keys = [p.owner, p.last - p.first, *(x[p.last] - x[p.first] for x in sums)]
+    order = np.lexsort((p.start, *keys))
+    new, start, stop = np.ones(len(order), bool), p.start[order], p.stop[order]
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    run = new.copy()
+    run[1:] |= start[1:] > stop[:-1]
+    at = np.flatnonzero(run)
+    spans = np.stack([start[at], stop[np.append(at[1:], len(order))[: len(at)] - 1]], axis=1)
+    return order[new], np.split(spans, np.flatnonzero(new[at])[1:])
 
 
 def signatures(shingles: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -150,9 +167,10 @@ def _band_counts(parts: int, how: dict):
         for numbers, data, offsets in _steps(texts, skipped(keys, texts, right)):
             p = paragraphs_of(data, offsets, **how)
             if len(p.owner):
-                bands = signatures(p.shingles, p.first, p.last)
+                one_each, _ = distinct_paragraphs(p)
+                bands = signatures(p.shingles, p.first[one_each], p.last[one_each])
                 names.append(bands.reshape(-1))
-                owners.append(np.repeat(np.array(numbers)[p.owner], bands.shape[1]))
+                owners.append(np.repeat(np.array(numbers)[p.owner[one_each]], bands.shape[1]))
         if not names:
             return pa.Table.from_batches([], schema=packed.ARROW)
         name, owner = tokens.distinct(np.concatenate(names), np.concatenate(owners))
@@ -176,15 +194,17 @@ def _candidates(parts: int, how: dict):
             p = paragraphs_of(data, offsets, **how)
             if not len(p.owner):
                 continue
-            bands = signatures(p.shingles, p.first, p.last)
+            one_each, spans = distinct_paragraphs(p)
+            bands = signatures(p.shingles, p.first[one_each], p.last[one_each])
             names = (bands & np.uint64(0xFFFFFFFF)) | (packed.part_of(bands.reshape(-1), parts).astype(np.uint64) << np.uint64(32)).reshape(bands.shape)
             good = np.isin(names, shared)
-            for i in np.flatnonzero(good.any(axis=1)).tolist():
+            for k in np.flatnonzero(good.any(axis=1)).tolist():
+                i = one_each[k]
                 t = numbers[p.owner[i]]
                 base = offsets[p.owner[i]]
                 words = np.unique(p.shingles[p.first[i] : p.last[i]].astype(np.uint32)).astype(np.uint64)
                 digest = np.bitwise_xor.reduce(tokens.mix(words, 3)).tobytes() + np.add.reduce(tokens.mix(words, 4)).tobytes()
-                out.append(((bucket << 24) + made, keys[t], bucket, t, int(p.start[i] - base), int(p.stop[i] - base), len(words), -int(good[i].sum()), digest, words.astype(np.uint32).tobytes(), [np.unique(names[i][good[i]]).tobytes()]))
+                out.append(((bucket << 24) + made, keys[t], bucket, t, (spans[k] - base).astype("<i8").tobytes(), len(words), -int(good[k].sum()), digest, words.astype(np.uint32).tobytes(), [np.unique(names[k][good[k]]).tobytes()]))
                 made += 1
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS_ARROW)], schema=_SETS_ARROW) if out else pa.Table.from_batches([], schema=_SETS_ARROW)
 
@@ -220,7 +240,7 @@ def with_rarest(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_paragraphs(texts: DataFrame, copies: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
-    """chunk, who, start, stop, first of every paragraph whose component has one of a document with a smaller id, `first` the smallest."""
+    """chunk, who, spans, first of the paragraphs of a document, equal ones in one row, whose component has one of a document with a smaller id, `first` the smallest; spans has the start and stop of each place."""
     parts = partitions(texts.sparkSession)
     counted = texts.groupBy("bucket").cogroup(copies.groupBy("chunk")).applyInArrow(_band_counts(parts, how), packed.SCHEMA)
     shared = counted.repartitionById(parts, "part").mapInArrow(packed.shared, packed.SCHEMA)
@@ -233,10 +253,10 @@ def repeated_paragraphs(texts: DataFrame, copies: DataFrame, percent: int = PERC
     of_same = same.join(near, same["u"] == near["node"], "left").select(F.col("v").alias("node"), F.coalesce("component", "u").alias("component"))
     of_first = same.select("u").distinct().join(near, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
     labels = stash(near.unionByName(of_same).unionByName(of_first), "labels")
-    rows = sets.select("key", "id", "chunk", "who", "start", "stop")
-    named = stash(rows.join(labels, rows["key"] == labels["node"]).select("id", "chunk", "who", "start", "stop", "component"), "named")
+    rows = sets.select("key", "id", "chunk", "who", "spans")
+    named = stash(rows.join(labels, rows["key"] == labels["node"]).select("id", "chunk", "who", "spans", "component"), "named")
     least = stash(named.groupBy("component").agg(F.min("id").alias("first")), "first")
-    return named.join(least, "component").where("id > first").select("chunk", "who", "start", "stop", "first")
+    return named.join(least, "component").where("id > first").select("chunk", "who", "spans", "first")
 
 
 _CUT = "id long, n_bytes long, n_removed long, n_spans long, partners array<long>, kept binary"
@@ -248,9 +268,9 @@ def _cut(how: dict, digest: bool):
         keys, texts = texts_of(left)
         skip = skipped(keys, texts, right)
         gone: dict[int, list[tuple[int, int, int]]] = {}
-        for kind, who, start, stop, first in zip(*(right.column(c).to_pylist() for c in ("is_table", "who", "start", "stop", "first"))):
+        for kind, who, spans, first in zip(*(right.column(c).to_pylist() for c in ("is_table", "who", "spans", "first"))):
             if not kind:
-                gone.setdefault(who, []).append((start, stop, first))
+                gone.setdefault(who, []).extend((start, stop, first) for start, stop in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist())
         out = []
         for i, (key, text) in enumerate(zip(keys, texts)):
             spans = gone.get(i, [])
@@ -287,8 +307,8 @@ def cut_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts, copies = dealt(docs, id_col, text_col)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    gone = repeated_paragraphs(texts, copies, percent, **how).select("chunk", F.lit(False).alias("is_table"), "who", "start", "stop", "first", none("blob", "binary"))
-    listed = copies.select("chunk", "is_table", none("who", "int"), none("start", "long"), none("stop", "long"), none("first", "long"), "blob")
+    gone = repeated_paragraphs(texts, copies, percent, **how).select("chunk", F.lit(False).alias("is_table"), "who", "spans", "first", none("blob", "binary"))
+    listed = copies.select("chunk", "is_table", none("who", "int"), none("spans", "binary"), none("first", "long"), "blob")
     cut = texts.groupBy("bucket").cogroup(gone.unionByName(listed).groupBy("chunk")).applyInArrow(_cut(how, digest), _CUT)
     return cut.withColumnRenamed("id", id_col)
 

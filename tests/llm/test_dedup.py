@@ -229,6 +229,17 @@ def test_remove_paragraphs(table, told):
     assert {r.doc_id: r.text or "" for r in got.collect()} == kept
 
 
+def test_runs_of_repeated_lines_are_cut_whole(table):
+    """A line of 12 words 50 times and cycles of two and three lines, in two documents each."""
+    rng = random.Random(13)
+    line = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(12)) + ".\n"
+    runs = [line() * 50, (line() + line()) * 30, (line() + line() + line()) * 20]
+    rows = [(10 * d + i, f"{line()}{run}{line()}") for i, run in enumerate(runs) for d in (0, 1)]
+    for r in paragraphs.cut_paragraphs(table(rows, DOCS)).collect():
+        # The last line of a run is in a paragraph that goes past it, as one of its own would be too short.
+        assert r.n_removed == 0 if r.doc_id < 10 else len(r.kept.split()) <= 24 + 20, r
+
+
 def test_band_recall():
     """Of pairs alike by 0.8, nearly all agree on a band; of pairs alike by 0.1, few."""
     rng, hits = np.random.default_rng(0), {0.8: 0, 0.1: 0}
