@@ -1,6 +1,7 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a run of whole sentences. Paragraphs get MinHash signatures cut
+A paragraph is a run of whole sentences, or of words where sentences are long or
+have no marks. Paragraphs get MinHash signatures cut
 into bands; those of different documents that agree on a band are candidates,
 candidates are verified by the exact Jaccard similarity of their word shingles,
 verified links are joined to components, and of a component the paragraphs of
@@ -33,8 +34,10 @@ SHINGLE = 5
 PERCENT = 80
 #: A paragraph takes sentences until it has so many words: shorter ones recur by chance.
 MIN_WORDS = 20
-#: In any so many words that hold the start of a sentence, a paragraph starts.
+#: In any so many words that hold the start of a sentence, a paragraph starts. Far from the next end of one, in any 2 * APART - 1 words.
 APART = 8
+#: A paragraph that meets no end of a sentence in so many words after its first MIN_WORDS ends with these.
+SLACK = 16
 #: Bands of rows. Paragraphs alike by 0.8 agree on a band with a chance of 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
 BANDS, ROWS = 8, 3
 #: Text bytes that one step works on.
@@ -72,12 +75,16 @@ def _least_of_every(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def paragraphs_of(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, apart: int = APART, size: int = SHINGLE) -> Paragraphs:
-    """The paragraphs of texts: from a chosen sentence on, whole sentences until there are min_words words.
-
-    Sentences end at a word with a final `.`, `!` or `?` and at line ends; where
-    there are none, at words that one in 64 hashes picks. Starts are chosen by the
-    hash of the words there, so that equal passages get equal paragraphs wherever
-    they stand: the least within every `apart` words.
+    """The paragraphs of texts: from a chosen word on, whole sentences until there are min_words words.
+
+    Sentences end at a word with a final `.`, `!` or `?` and at line ends. Starts
+    are chosen by the hash of the words there, so that equal passages get equal
+    paragraphs wherever they stand: of the starts of sentences the least within
+    every `apart` words; of the words whose sentence goes on for min_words words,
+    the least within every 2 * apart - 1. If no sentence ends from min_words to
+    before min_words + SLACK words after the start, the paragraph has min_words
+    words. So any 2 * apart - 1 + min_words + SLACK words of which none ends a
+    sentence have a paragraph that the words around them don't change.
     """
     found = tokens.words(data, offsets)
     n, counts = len(found.hashes), np.diff(found.first)
@@ -89,17 +96,19 @@ def paragraphs_of(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WO
     shingles = np.zeros(n, np.uint64)
     shingles[(left >= size) | ((counts[owner] < size) & (left == counts[owner]))] = tokens.shingles(found, size)[0]
     lines = np.cumsum(data == 10)
-    ends = np.isin(data[found.ends - 1], np.frombuffer(b".!?", np.uint8)) | (found.hashes & np.uint64(63) == 0)
+    ends = np.isin(data[found.ends - 1], np.frombuffer(b".!?", np.uint8))
     ends[:-1] |= lines[found.starts[1:]] > lines[found.ends[:-1] - 1]
     begins = np.ones(n, bool)
     begins[1:] = ends[:-1]
     begins[found.first[:-1][found.first[:-1] < n]] = True
     places = np.flatnonzero(begins)
     stops = np.append(places, n)
-    first = _chosen(places[left[places] >= min_words], owner, shingles, apart)
+    ahead = stops[np.searchsorted(stops, np.arange(n), side="right")] - np.arange(n)
+    first = np.union1d(_chosen(places[left[places] >= min_words], owner, shingles, apart), _chosen(np.flatnonzero(ahead >= min_words), owner, shingles, 2 * apart - 1))
     if not len(first):
         return Paragraphs(none, none, none, none, none, shingles)
     stop = stops[np.searchsorted(stops, first + min_words)]
+    stop = np.where(stop - first < min_words + SLACK, stop, first + min_words)
     return Paragraphs(owner[first], found.starts[first], found.ends[stop - 1], first, stop - size + 1, shingles)
 
 

@@ -229,11 +229,24 @@ def test_remove_paragraphs(table, told):
     assert {r.doc_id: r.text or "" for r in got.collect()} == kept
 
 
+def test_passages_without_marks_get_a_whole_paragraph():
+    """Unmarked passages of 51 words and more set into unlike texts, with and without marks, share a paragraph that lies inside."""
+    rng = random.Random(12)
+    for n in [51] * 60 + [60, 77, 120] * 20:
+        passage = " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+        found = []
+        for every in (8, 10_000):
+            around = [[f"u{rng.randrange(5000)}" + "." * (rng.randrange(every) == 0) for _ in range(rng.randint(5, 60))] for _ in range(2)]
+            text = " ".join([*around[0], passage, *around[1]])
+            found.append({text[a:z] for a, z in pieces(text)})
+        assert any(x in passage for x in found[0] & found[1]), n
+
+
 def test_runs_of_repeated_lines_are_cut_whole(table):
-    """A line of 12 words 50 times and cycles of two and three lines, in two documents each."""
+    """A line of 12 words 50 times, cycles of two and three lines, and one word many times, in two documents each."""
     rng = random.Random(13)
     line = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(12)) + ".\n"
-    runs = [line() * 50, (line() + line()) * 30, (line() + line() + line()) * 20]
+    runs = [line() * 50, (line() + line()) * 30, (line() + line() + line()) * 20, "le " * 300]
     rows = [(10 * d + i, f"{line()}{run}{line()}") for i, run in enumerate(runs) for d in (0, 1)]
     for r in paragraphs.cut_paragraphs(table(rows, DOCS)).collect():
         # The last line of a run is in a paragraph that goes past it, as one of its own would be too short.
