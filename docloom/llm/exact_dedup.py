@@ -95,12 +95,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text a row with a larger id has too.
+    """One row of `docs` for each text: of the rows that exact_dedup calls kept.
 
-    Rows that repeat both id and text all stay, since nothing tells them apart;
-    so do rows with a null id.
+    Of rows that repeat both id and text (A-Z folded) one stays, the least text of
+    them. A row with a null id goes if a row with an id has its text.
     """
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).where(F.col(id_col) != F.col("keep_id"))
-    gone = stash(gone.select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    found = exact_dedup(docs, id_col, text_col).groupBy(F.col(id_col).alias("of_id"), F.col("text_sha256").alias("of_sha"))
+    found = stash(found.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "gone")
     sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
-    return docs.join(gone, (docs[id_col] == gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
+    same = docs[id_col].eqNullSafe(found["of_id"]) & (sha == found["of_sha"])
+    left = docs.join(found, same, "left_anti")
+    repeated = found.where("stays")
+    if repeated.isEmpty():
+        return left
+    # The row travels as one column, so no name of its own can clash.
+    rows = docs.select(F.col(id_col).alias("of"), sha.alias("sha"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(repeated, rows["of"].eqNullSafe(repeated["of_id"]) & (rows["sha"] == repeated["of_sha"]), "left_semi")
+    one = rows.groupBy("of", "sha").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return left.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -76,7 +76,7 @@ def _apportion(votes: str, seats: str, most: str):
     return one
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = 64, shard_tokens: int = 1_000_000, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = 64, shard_tokens: int = 1_000_000, seed: int = 17, key_col: str | None = None) -> DataFrame:
     """One row per document: id, size, source, source_size, target, taken, passes, first, last.
 
     size counts the words of the text (null: 0). A source is dealt to shards of
@@ -91,9 +91,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     count from 0 again). taken is passes * size plus that rest.
 
     Rows with a null id are placed like any other. Empty documents get taken 0.
-    Rows that repeat are separate rows. No rows give no rows.
+    Rows that repeat are separate rows; a `key_col` that tells them apart comes
+    along. No rows give no rows.
     """
-    sized = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    keys = [F.col(key_col).alias("row_key")] if key_col else []
+    sized = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keys), "sizes")
     targets = stash(source_targets(sized, weights), "targets")
     shards = F.greatest(F.ceil(F.col("source_size") / shard_tokens), F.lit(1))
     placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -109,7 +111,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     dealt = shard_rows.groupBy("source").applyInPandas(_apportion("shard_size", "seats", "most"), "source string, shard long, shard_size long, most long, seats long, quota long")
     dealt = stash(dealt.select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), "shard_size", "quota"), "dealt")
 
-    in_shard = Window.partitionBy("source", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_shard = Window.partitionBy("source", "shard").orderBy("order", "id", "size", *(["row_key"] if keys else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
     placed = placed.join(dealt, placed["source"].eqNullSafe(dealt["of"]) & (placed["shard"] == dealt["of_shard"]))
     n = F.greatest(blocks, F.lit(1))
@@ -125,6 +127,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return placed.select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + some(here) + some(again)).alias("taken"),
         "passes", F.least(whole, F.col("size")).alias("first"), last.alias("last"),
+        *([F.col("row_key").alias(key_col)] if keys else []),
     )
 
 
@@ -132,12 +135,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **plan)
     """`docs` as the plan takes them: whole texts once a pass, and the words of the rest.
 
     A text of which only some words are taken is those words, joined by spaces.
-    Ids must be unique; rows with a null id are left out, as nothing finds them.
+    Rows are written with a key of their own first, so rows with a null id and
+    rows that repeat an id are each taken as the plan has them.
     """
-    plan_ = mix_plan(docs, id_col, text_col, **plan).where("taken > 0")
-    plan_ = plan_.select(F.col(id_col).alias("id"), F.struct("size", "passes", "first", "last").alias("plan"))
     # The row travels as one column, so no name of its own can clash.
-    rows = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row")).join(plan_, F.col("of") == F.col("id"))
+    keyed = stash(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*docs.columns).alias("row")), "rows")
+    source_col = plan.pop("source_col", "source")
+    planned = keyed.select("row_key", *[F.col("row")[c].alias(a) for c, a in ((id_col, "id"), (text_col, "text"), (source_col, "source"))])
+    plan_ = mix_plan(planned, "id", "text", "source", key_col="row_key", **plan).where("taken > 0")
+    plan_ = plan_.select(F.col("row_key").alias("of"), F.struct("size", "passes", "first", "last").alias("plan"))
+    rows = keyed.join(plan_, F.col("row_key") == F.col("of")).select(F.col("row")[text_col].alias("text"), "row", "plan")
     at = lambda name: F.col("plan")[name]
     length = at("last") - at("first")
     whole = length >= at("size")

@@ -99,6 +99,24 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert out.where(F.col("length") <= 0).count() == 0
 
 
+def test_pipeline_keeps_null_ids_and_counts_repeated_rows_once(spark):
+    """One row of each text after exact dedup; of each row, the mix has the words that the plan takes."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(300))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, text(w), "en", "x", 0) for i, w in ((None, "a"), (None, "a"), (None, "b"), (1, "c"), (1, "c"), (1, "c"), (1, "d"), (2, "e"), (None, "e"))]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame(rows, schema)
+    kept = spark.createDataFrame(stages["exact dedup"](spark, docs, "").collect(), schema)
+    assert Counter((r.doc_id, r.text[0]) for r in kept.collect()) == Counter([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e")])
+    for table in (docs, kept):
+        plan, got = Counter(), Counter()
+        for r in mixing.mix_plan(table).collect():
+            plan[r.doc_id] += r.taken
+        for r in stages["mixing sources"](spark, table, "").collect():
+            got[r.doc_id] += len(r.text.split())
+        assert got == plan and got[None] and got[1]
+
+
 def test_names_and_oracles():
     import __spark_entry__ as entry
 
