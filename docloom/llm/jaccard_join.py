@@ -26,13 +26,14 @@ PERCENT = 80
 ORDERS = 3
 #: Text bytes of a chunk of documents.
 CHUNK_BYTES = 12 << 20
-#: One document of each group meets the rest, again and again, until pairs of what is left are at most so many a row.
-PAIRS_A_ROW = 4
-#: The most such rounds; all that is left then meets pairwise.
-LEADER_ROUNDS = 4
+#: One document of each group meets the rest, again and again, until pairs of what is left are at most so many a row,
+#: or a round leaves more than this share of them.
+PAIRS_A_ROW, LEFT_A_ROUND = 4, 0.9
 
-_SETS = "key long, id long, n long, shared long, rank long, digest binary, tokens binary, prefixes array<binary>"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rank", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
+_SETS = "key long, id long, n long, shared long, digest binary, tokens binary, counts binary"
+_SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
+_FIRSTS = "key long, n long, shared long, rank long, tokens binary, prefixes array<binary>"
+_FIRSTS_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rank", pa.int64()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
 
 
 def _emit(batches: Iterator[pa.RecordBatch], parts: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,7 @@ def _emit(batches: Iterator[pa.RecordBatch], parts: int, size: int) -> Iterator[
         hashes = np.concatenate([h[3] for h in held])
         owner = np.concatenate([h[4] + b for h, b in zip(held, base)])
         counts = np.bincount(owner, minlength=len(keys)).astype(np.int64)
-        return packed.deal(int(keys[0]), hashes, owner, packed.blob(keys, ids, known, counts), parts)
+        return packed.deal(int(keys[0]), hashes, owner, packed.blob(keys, ids, known, counts), parts, wide=True)
 
     held, docs, total = [], 0, 0
     for batch in batches:
@@ -64,61 +65,85 @@ def _emit(batches: Iterator[pa.RecordBatch], parts: int, size: int) -> Iterator[
         yield close(held)
 
 
-def _prefix_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Each document with its size; those that can have a partner with shared shingles and prefixes too.
+def _with_shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each document with its size; those that can have a partner with their shared shingles and counts too.
 
-    Only shared shingles count in an intersection. Those that no other document
-    has come first in every order: where they fill the prefix, there is no partner.
+    Only shared shingles count in an intersection: with too few, there is no partner.
     """
-    for _, table, who, names, counts in packed.gathered(batches):
+    for _, table, who, names, counts in packed.gathered(batches, wide=True):
         keys, ids, known, sizes = packed.unblob(table, np.int64, np.int64, np.bool_, np.int64)
+        order = np.lexsort((names, who))
+        names, counts = names[order], counts[order]
         first = np.searchsorted(who, np.arange(len(keys) + 1))
+        mix3, mix4 = tokens.mix(names, 3), tokens.mix(names, 4)
         out: list[tuple] = []
         for i, n in enumerate(sizes.tolist()):
-            mine, rare = names[first[i] : first[i + 1]], counts[first[i] : first[i + 1]].astype(np.int64)
-            left = (n - -(-percent * n // 100) + 1) - (n - len(mine))  # shared shingles in the prefix
-            if n == 0 or left <= 0:
-                out.append((len(mine), n - len(mine), None, None, None))
+            mine = slice(first[i], first[i + 1])
+            shared = mine.stop - mine.start
+            if n == 0 or 100 * shared < percent * n:
+                out.append((shared, None, None, None))
                 continue
-            whole = np.sort(mine)
-            digest = None
-            if len(mine) == n:
-                digest = np.bitwise_xor.reduce(tokens.mix(whole, 3)).tobytes() + np.add.reduce(tokens.mix(whole, 4)).tobytes()
-            prefixes = [np.sort(mine[np.lexsort((tokens.mix(mine, 20 + k), rare))[:left]]).tobytes() for k in range(ORDERS)]
-            out.append((len(mine), n - len(mine), digest, whole.tobytes(), prefixes))
-        columns = [keys, pa.array(ids, mask=~known), sizes, *([o[k] for o in out] for k in range(5))]
+            digest = np.bitwise_xor.reduce(mix3[mine]).tobytes() + np.add.reduce(mix4[mine]).tobytes() if shared == n else None
+            out.append((shared, digest, names[mine].tobytes(), counts[mine].tobytes()))
+        columns = [keys, pa.array(ids, mask=~known), sizes, *([o[k] for o in out] for k in range(4))]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SETS_ARROW)], schema=_SETS_ARROW)
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """key, id, n, shared for every row; tokens, prefixes and digest where a partner is possible.
+    """key, id, n, shared for every row; tokens, counts and digest where a partner is possible.
 
     key names the row within this table. shared is how many of its n shingles
-    other documents have too; rank is how many they don't. digest is given for
+    other rows have too; counts is how many rows have each. digest is given for
     sets of which every shingle is shared; equal sets have equal digests.
     """
-    parts = partitions(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = packed.parts_for(partitions(docs.sparkSession), total)
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(lambda b: _emit(b, parts, size), packed.SCHEMA).repartitionById(parts, "part")
-    back = dealt.mapInArrow(packed.shared, packed.SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk")
-    return back.mapInArrow(lambda b: _prefix_sets(b, percent), _SETS)
+    dealt = packed.by_part(rows.mapInArrow(lambda b: _emit(b, parts, size), packed.SCHEMA), parts)
+    back = dealt.mapInArrow(lambda b: packed.shared(b, wide=True), packed.SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk")
+    return back.mapInArrow(lambda b: _with_shared(b, percent), _SETS)
+
+
+def _with_prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of one row of each set (`copies` rows have it): its prefixes under every order, if it can have a partner.
+
+    A shingle that only copies of the set have is as good as unshared. Unshared
+    ones come first in every order; where they fill the prefix, there is no
+    partner. Then come the rarest; the orders differ where counts are equal.
+    """
+    for batch in batches:
+        out = []
+        for key, n, copies, names, counts in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "copies", "tokens", "counts"))):
+            mine, often = np.frombuffer(names, np.uint64), np.frombuffer(counts, np.uint16).astype(np.int64)
+            if 1 < copies < packed.MOST_SHARED:
+                mine, often = mine[often != copies], often[often != copies]
+            left = len(mine) - -(-percent * n // 100) + 1  # shared shingles in the prefix
+            if left > 0:
+                orders = (np.lexsort((tokens.mix(mine, 20 + k), often))[:left] for k in range(ORDERS))
+                out.append((key, n, len(mine), n - len(mine), mine.tobytes(), [mine[o].tobytes() for o in orders]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FIRSTS_ARROW)], schema=_FIRSTS_ARROW)
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of the first prefix; rest is how many shared shingles of the set stand there and after it."""
     for batch in batches:
         firsts = [np.frombuffer(p[0], np.int64) for p in batch.column("prefixes").to_pylist()]
-        lengths = [len(f) for f in firsts]
-        if firsts:
-            rest = ("key", "n", "shared", "rank")
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *(pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in rest)], names=["token", *rest])
+        lengths = np.array([len(f) for f in firsts], np.int64)
+        if len(firsts):
+            place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key, n, shared, rank = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("key", "n", "shared", "rank"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(firsts), key, n, shared - place, rank)], names=["token", "key", "n", "rest", "rank"])
 
 
-def _can_link(n: str, m: str, shared: str, other: str, percent: int) -> str:
-    """SQL: whether sets of n and m shingles can be alike enough if so many of theirs are shared at all.
+def _can_link(n: str, m: str, rest: str, other: str, percent: int) -> str:
+    """SQL: whether sets of n and m shingles can be alike enough if the first one they share has so many shared ones from there on.
 
-    No intersection has more than the lesser of both numbers of shared shingles.
+    What they share stands from their first common shingle on, in either set.
+    Where this shingle is not the first that both have, the pair may fail here,
+    but not at the first one.
     """
-    most = f"least({shared}, {other}, {n}, {m})"
+    most = f"least({rest}, {other})"
     return f"100 * {most} >= {percent} * ({n} + {m} - {most})"
 
 
@@ -159,41 +184,46 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
     Documents that share a prefix shingle form a group. In each round the
     document of least rank of a group meets the others: in a group of near
     copies, that is one without edits of its own, to which most others link. What
-    is then in the same component needs no further test, and a group that spans
-    one component is done. Rounds go on while the pairs between components in
-    groups are many more than the rows in them; the rest then meets pairwise,
-    unless the shingles that no one shares rule a link out. So no link between
-    components is lost, and a group of near copies costs its size, not its square.
+    is then in the same component needs no further test, a document that can link
+    with none of another component leaves the group, and a group of one component
+    is done. Rounds go on as long as they make pairs fewer and these are many
+    more than the rows; the rest then meets pairwise. Both kinds of pairs need
+    enough shared shingles from the one where they meet onwards. So no link
+    between components is lost, and a group of near copies costs its size, not
+    its square.
     """
-    columns = ("token", "key", "n", "shared", "rank")
-    places = stash(sets.select("key", "n", "shared", "rank", "prefixes").mapInArrow(_explode, ", ".join(f"{c} long" for c in columns)), "places")
+    columns = ("token", "key", "n", "rest", "rank")
+    places = sets.select("key", "n", "shared", "rank", "prefixes").mapInArrow(_explode, ", ".join(f"{c} long" for c in columns))
+    places = stash(places, "places")
     groups = places.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    places = stash(places.join(groups, "token"), "places")
-    links = None
-    for _ in range(LEADER_ROUNDS):
-        leads = places.groupBy("token").agg(F.min(F.struct("rank", "key", "n", "shared")).alias("lead"))
-        leads = stash(leads.select("token", F.col("lead.key").alias("u"), F.col("lead.n").alias("m"), F.col("lead.shared").alias("other")), "leads")
-        met = places.join(leads, "token").where("key != u").where(_can_link("n", "m", "shared", "other", percent))
-        pairs = stash(met.select("u", F.col("key").alias("v")).distinct(), "pairs")
-        found = stash(verified(pairs, sets, percent, kind), "near")
+    places = stash(places.join(groups, "token").withColumn("component", F.col("key")), "places")
+    links, before = None, None
+    while True:
+        leads = places.groupBy("token").agg(F.min(F.struct("rank", "key", "n", "rest", "component")).alias("lead"))
+        leads = leads.select("token", *[F.col("lead")[c].alias(a) for c, a in (("key", "u"), ("n", "m"), ("rest", "other"), ("component", "component_u"))])
+        met = places.join(leads, "token").where("key != u").withColumn("meets", F.expr(f"component != component_u and {_can_link('n', 'm', 'rest', 'other', percent)}"))
+        met = stash(met.select(*columns, "component", "u", "meets"), "met")
+        found = stash(verified(met.where("meets").select("u", F.col("key").alias("v")).distinct(), sets, percent, kind), "near")
         # What hangs together so far goes on as stars, which settle fast.
         labels = stash(components(found if links is None else links.unionByName(found)), "labels")
         links = labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         # A leader has met its whole group; what is left there must still span two components.
-        left = places.select(*columns).join(leads.select("token", "u"), "token").where("key != u").drop("u")
-        named = left.join(labels, left["key"] == labels["node"], "left").select(*columns, F.coalesce("component", "key").alias("component"))
-        named = stash(named, "left")
-        sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
-        open_ = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same")).where("parts > 1")
-        open_ = stash(open_.select("token", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")), "open")
-        still = open_.agg(F.sum("m"), F.sum("pairs")).first()
-        if not still[0]:
+        left = met.select(*columns).join(labels, met["key"] == labels["node"], "left").select(*columns, F.coalesce("component", "key").alias("component"))
+        left = stash(left.withColumn("most", F.expr(f"(100 + {percent}) * rest - {percent} * n")), "left")
+        # Of any two that can link, `most` of each is at least percent * n of the other.
+        each = left.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("most").alias("most"), F.min("n").alias("n"))
+        open_ = each.groupBy("token").agg(F.max("most").alias("most_of"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("parts"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+        open_ = stash(open_.where("parts > 1"), "open")
+        able = left.join(open_, "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
+        places = stash(able.select(*columns, "component"), "places")
+        rows, pairs = places.count(), open_.agg(F.sum("pairs")).first()[0] or 0
+        if not rows or not pairs:
             return links
-        places = stash(named.join(open_.select("token"), "token"), "places")
-        if still[1] <= PAIRS_A_ROW * still[0]:
+        if pairs <= PAIRS_A_ROW * rows or (before and pairs > LEFT_A_ROUND * before):
             break
-    other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("shared").alias("other"), F.col("component").alias("component_v"))
-    pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "shared", "other", percent))
+        before = pairs
+    other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("component").alias("component_v"))
+    pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "rest", "other", percent))
     pairs = stash(pairs.select(F.col("key").alias("u"), "v").distinct(), "pairs")
     return links.unionByName(verified(pairs, sets, percent, kind))
 
@@ -212,9 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stash(shingle_sets(docs, id_col, text_col, size, percent), "sets")
     able = sets.where("tokens is not null")
     # Rows with equal sets are one from here on: the one with the least key.
-    classes = stash(able.where("digest is not null").groupBy("digest", "n").agg(F.min("key").alias("first")), "classes")
-    copies = stash(able.select("key", "n", "digest").join(classes, ["digest", "n"]).where("key != first").select(F.col("first").alias("u"), F.col("key").alias("v")), "copies")
-    firsts = stash(able.join(copies.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", "shared", "rank", "tokens", "prefixes"), "firsts")
+    classes = able.where("digest is not null").groupBy("digest", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    members = stash(able.select("key", "n", "digest").join(classes, ["digest", "n"]).select(F.col("key").alias("member"), "first", "copies"), "members")
+    copies = members.where("member != first").select(F.col("first").alias("u"), F.col("member").alias("v"))
+    firsts = able.join(members, able["key"] == members["member"], "left").where("member is null or member = first")
+    firsts = firsts.select("key", "n", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens", "counts")
+    firsts = stash(firsts.mapInArrow(lambda b: _with_prefixes(b, percent), _FIRSTS), "firsts")
     links = stash(near_links(firsts, percent), "near")
     # Copies join their first last, so that the steps of components don't carry them.
     near = components(links)

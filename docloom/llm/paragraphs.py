@@ -194,7 +194,7 @@ def _candidates(parts: int, how: dict):
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts = texts_of(left)
-        back = [(part, packed.unblob(blob, np.uint16, np.uint32, np.uint8)[1]) for part, kind, blob in zip(*(right.column(c).to_pylist() for c in ("part", "is_table", "blob"))) if not kind]
+        back = [(part, packed.unblob(blob, np.uint16, np.uint32, np.uint16)[1]) for part, kind, blob in zip(*(right.column(c).to_pylist() for c in ("part", "is_table", "blob"))) if not kind]
         if not back or not keys:
             return pa.Table.from_batches([], schema=_SETS_ARROW)
         shared = np.unique(np.concatenate([low.astype(np.uint64) | np.uint64(part << 32) for part, low in back]))
@@ -236,7 +236,7 @@ def _with_rarest(batches: Iterator[pa.RecordBatch], percent: int, frequent: np.n
             at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
             often = np.where(frequent[at] == own, counts[at], 0) if len(frequent) else np.zeros(len(own), np.int64)
             order = np.lexsort((tokens.mix(own.astype(np.uint64), 20), often))
-            out.append([np.sort(own[order[: len(own) - -(-percent * len(own) // 100) + 1]]).tobytes(), *bands])
+            out.append([own[order[: len(own) - -(-percent * len(own) // 100) + 1]].tobytes(), *bands])
         yield batch.set_column(batch.schema.get_field_index("prefixes"), "prefixes", pa.array(out, pa.list_(pa.binary())))
 
 

@@ -32,6 +32,8 @@ ANCHOR = 24
 _POS_BITS = 28
 #: Bytes of text that one step works on, and context bytes that are sorted at once.
 STEP_BYTES, SORT_BYTES = 2 << 20, 1 << 20
+#: An anchor of so many texts has its strings sent one by one.
+HOT = 255
 
 
 # --- two-stage suffix sorting ------------------------------------------------
@@ -279,10 +281,10 @@ def _send_contexts(parts: int, length: int):
         hot: list[np.ndarray] = []
         for part, is_table, data in zip(right.column("part").to_pylist(), right.column("is_table").to_pylist(), right.column("blob").to_pylist()):
             if not is_table:
-                who, low, counts = packed.unblob(data, np.uint16, np.uint32, np.uint8)
+                who, low, counts = packed.unblob(data, np.uint16, np.uint32, np.uint16)
                 name = low.astype(np.uint64) | np.uint64(part << 32)
                 shared.append(np.unique(name))
-                hot.append(np.unique(name[counts >= packed.MOST_SHARED]))
+                hot.append(np.unique(name[counts >= HOT]))
         if not shared or not len(keys):
             return _empty()
         shared_names, hot_names = np.unique(np.concatenate(shared)), np.unique(np.concatenate(hot))
