@@ -30,8 +30,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 ids."""
-    return packing.packed_documents(docs)
+    """Pieces of documents in windows of 4096 ids; doc_row tells the rows of a repeated document apart."""
+    return packing.packed_digests(docs)
 
 
 STAGES = [

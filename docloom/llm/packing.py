@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +20,17 @@ END_ID = 2
 PIECE = 512
 #: About how many pieces are packed together.
 GROUP_PIECES = 1024
-#: Words whose ids a worker remembers.
-MOST_WORDS = 2_000_000
+#: Units whose ids a worker remembers (about 50 bytes each), and how many are new to the tokenizer at once.
+MOST_UNITS, NEW_UNITS = 1_000_000, 4096
+#: Fixed value: how a tokenizer of English words cuts texts; what it matches, lower-cased, is tokenized by itself.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Words with one of these bytes stay whole: apostrophes, the bars of special tokens, control characters.
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[0x27, 0x7C, 0x7F, *range(0x00, 0x09), *range(0x0E, 0x20)]] = True
 
 
 def default_tokenizer() -> str:
@@ -30,58 +39,97 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def units(data: np.ndarray, found: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of what WORD_SPLIT matches in words of ASCII and Latin-1 letters; other words stay whole."""
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind = _KIND[data]
+    kind[lead] = kind[lead + 1] = _LETTER
+    odd = _WHOLE[data] | ((data >= 0x80) & (kind != _LETTER))
+    sums = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+    whole = sums[found.ends] > sums[found.starts]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    # Inside of words only, and not of those that stay whole.
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[found.starts[~whole]] += 1
+    inside[found.ends[~whole]] -= 1
+    begins &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+    begins[found.starts] = True
+    starts = np.flatnonzero(begins)
+    return starts, np.minimum(np.append(starts[1:], len(data)), found.ends[np.searchsorted(found.starts, starts, side="right") - 1])
+
+
 class WordTokenizer:
     """Ids of whole texts, from a tokenizer whose tokens don't cross white space.
 
-    Its ids of a text are then those of its words one after another, so each
-    distinct word is tokenized once and remembered.
+    Its ids of a text are then those of its words one after another. A tokenizer
+    that lower-cases and cuts words by WORD_SPLIT is asked for smaller units.
+    Each distinct unit is tokenized once and remembered; when there are
+    MOST_UNITS, only those of the texts at hand stay.
     """
 
-    def __init__(self, path: str, most_words: int = MOST_WORDS):
+    def __init__(self, path: str, most_units: int = MOST_UNITS):
         from tokenizers import Tokenizer
 
-        self.model, self.most = Tokenizer.from_file(path), most_words
-        self.forget()
-
-    def forget(self) -> None:
+        self.model, self.most = Tokenizer.from_file(path), most_units
+        how = json.loads(self.model.to_str())
+        steps = (how.get("normalizer") or {}).get("normalizers", [])
+        cuts_ = (how.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.cuts_words = {"type": "Lowercase"} in steps and cuts_[0].get("pattern") == {"Regex": WORD_SPLIT} and cuts_[0].get("invert") is True
         self.known = np.zeros(0, np.uint64)  # ascending hashes
-        self.slot = np.zeros(0, np.int64)  # where each one's ids are
-        self.starts, self.lengths, self.ids, self.used = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+        self.at = np.zeros(0, np.int64)  # where each one's ids are
+        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of known units, one after another."""
+        lengths, at = self.lengths[slots], self.at[slots]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(at - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], ends
+
+    def keep(self, hashes: np.ndarray) -> None:
+        slots = np.flatnonzero(np.isin(self.known, hashes, assume_unique=True))
+        self.ids, ends = self.of(slots)
+        self.known, self.lengths = self.known[slots], self.lengths[slots]
+        self.at = ends - self.lengths
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.array([len(i) for i in found], np.int64)
-        flat = np.fromiter((x for i in found for x in i), np.uint32, int(lengths.sum()))
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
-        at = len(self.known)
-        self.starts, self.lengths, self.ids = [np.concatenate([*self.starts, starts])], [np.concatenate([*self.lengths, lengths])], [np.concatenate([*self.ids, flat])]
-        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, np.arange(at, at + len(hashes))])
-        order = np.argsort(known)
-        self.known, self.slot = known[order], slot[order]
+        """Take in the ids of new units; hashes ascend."""
+        lengths, flat = [], [self.ids]
+        for a in range(0, len(texts), NEW_UNITS):
+            for e in self.model.encode_batch_fast(texts[a : a + NEW_UNITS], add_special_tokens=False):
+                ids = e.ids
+                lengths.append(len(ids))
+                flat.append(np.array(ids, np.uint32))
+        lengths = np.array(lengths, np.int64)
+        at = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids = np.concatenate(flat)
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.lengths = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.lengths, place, lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, n + 1 offsets) of the texts."""
         data, offsets = tokens.utf8(texts)
         found = tokens.words(data, offsets, fold=False)
-        hashes, sample, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
+        if not len(found.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts, ends = units(data, found) if self.cuts_words else (found.starts, found.ends)
+        hashes, sample, inverse = np.unique(tokens.spans(data, starts, ends, fold=self.cuts_words), return_index=True, return_inverse=True)
         new = ~np.isin(hashes, self.known, assume_unique=True)
         if new.any():
             if len(self.known) + int(new.sum()) > self.most:
-                self.forget()
-                new = np.ones(len(hashes), bool)
-            raw = data.tobytes()
-            self.learn(hashes[new], [raw[a:b].decode() for a, b in zip(found.starts[sample[new]].tolist(), found.ends[sample[new]].tolist())])
-        slot = self.slot[np.searchsorted(self.known, hashes)][inverse] if len(hashes) else np.zeros(0, np.int64)
-        lengths, starts = self.lengths[0][slot], self.starts[0][slot]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[0][np.repeat(starts - (ends - lengths), lengths) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        return ids, np.concatenate([[0], ends])[found.first]
+                self.keep(hashes)
+            self.learn(hashes[new], [data[a:b].tobytes().decode() for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())])
+        ids, stops = self.of(np.searchsorted(self.known, hashes)[inverse])
+        return ids, np.concatenate([[0], stops])[np.searchsorted(starts, offsets)]
+
+
+#: The tokenizers of this worker process, so that its next task finds the units known.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-_PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+_PIECES = "doc_row long, doc_id long, start long, length long, doc_tokens long, ids binary"
+_PIECES_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_row", "doc_id", "start", "length", "doc_tokens")] + [("ids", pa.binary())])
 
 
 def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -91,27 +139,36 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(path)
+    tokenizer = _TOKENIZERS.setdefault(path, None) or WordTokenizer(path)
+    _TOKENIZERS[path] = tokenizer
     for batch in batches:
-        ids_of, texts = batch.column("doc_id"), batch.column("text")
+        texts = batch.column("text")
         for a, b in tokens.steps(texts):
             flat, offsets = tokenizer.encode(texts.slice(a, b - a))
-            out: list[tuple] = []
+            at, spans = [], []
             for i in range(b - a):
-                own = np.append(flat[offsets[i] : offsets[i + 1]], np.uint32(END_ID)).astype("<u4")
-                raw, doc = own.tobytes(), ids_of[a + i].as_py()
-                out += [(doc, s, n, len(own), raw[4 * s : 4 * (s + n)]) for s, n in cuts(len(own), capacity, piece)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES_ARROW)], schema=_PIECES_ARROW)
+                some = cuts(int(offsets[i + 1] - offsets[i]) + 1, capacity, piece)
+                at += [i] * len(some)
+                spans += some
+            at, (start, length) = np.array(at), np.array(spans, np.int64).T
+            # Every document's ids and its end id lie one after another.
+            sizes = np.diff(offsets) + 1
+            flat = np.insert(flat, offsets[1:], np.uint32(END_ID)).astype("<u4")
+            ends = (np.concatenate([[0], np.cumsum(sizes)[:-1]])[at] + start + length) * 4  # pieces touch, so ends are enough
+            ids = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(flat)])
+            rows, docs = (batch.column(c).slice(a, b - a).take(pa.array(at)) for c in ("doc_row", "doc_id"))
+            yield pa.RecordBatch.from_arrays([rows, docs, pa.array(start), pa.array(length), pa.array(sizes[at]), ids], schema=_PIECES_ARROW)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids (little-endian 32-bit) of each document's pieces, id 2 at its end.
+    """doc_row, doc_id, start, length, doc_tokens, ids (little-endian 32-bit) of each document's pieces, id 2 at its end.
 
-    The tokenizer's tokens must not cross white space. Null texts are empty:
-    their one piece is the end id.
+    doc_row names the row of the document, so that rows that repeat an id can be
+    told apart; (doc_row, start) is unique. The tokenizer's tokens must not cross
+    white space. Null texts are empty: their one piece is the end id.
     """
     path = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(lambda b: _pieces(b, path, capacity, piece), _PIECES)
 
 
@@ -168,43 +225,54 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         step += step // 4 + (over > capacity // 8)
 
 
-def _pack(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "start", "length"], kind="stable", ignore_index=True)
-    size = rows["length"].to_numpy()
+def _pack(table: pa.Table, capacity: int) -> pa.Table:
+    """One group: `table` by document and place, with sequence_id and offset."""
+    doc, start, size = (table.column(c).to_numpy() for c in ("doc_row", "start", "length"))
+    order = np.lexsort((start, doc))
+    size = size[order]
     whole = size == capacity
-    at = np.zeros(len(rows), np.int64)
+    at = np.zeros(len(order), np.int64)
     at[~whole] = windows(size[~whole], capacity)
     first = int(at[~whole].max()) + 1 if (~whole).any() else 0
     at[whole] = first + np.arange(int(whole.sum()))
-    rows["sequence_id"] = rows["shard"].to_numpy() * (1 << 20) + at
-    rows["offset"] = rows.groupby("sequence_id", sort=False)["length"].cumsum() - rows["length"]
-    return rows
+    turn = np.argsort(at, kind="stable")
+    before = np.cumsum(size[turn]) - size[turn]
+    new = np.concatenate([[True], at[turn][1:] != at[turn][:-1]])
+    offset = np.empty(len(order), np.int64)
+    offset[turn] = before - before[np.flatnonzero(new)][np.cumsum(new) - 1]
+    shard = int(table.column("shard")[0].as_py())
+    return table.take(pa.array(order)).append_column("sequence_id", pa.array(shard * (1 << 20) + at)).append_column("offset", pa.array(offset))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES) -> DataFrame:
-    """`pieces` (doc_id, start, length and more columns) with sequence_id and offset.
+    """`pieces` (doc_row, start, length and more columns) with sequence_id and offset.
 
-    Pieces are dealt to groups of about `group` by a hash of their document
-    (whole windows by hash of their start too), so no document or source makes a
-    large group. Each group is packed into near-equal windows; pieces of a
-    window lie gapless from 0. Carried columns travel along: carry no ids of
-    large corpora, but join them by doc_id and start. No rows give no rows.
+    Pieces are dealt to groups of about `group` by a hash of their document's row
+    (whole windows by hash of their start too), so no document, id or source
+    makes a large group. Each group is packed into near-equal windows; pieces of
+    a window lie gapless from 0. Other columns, such as ids, travel along. No
+    rows give no rows.
     """
     pieces = stash(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group))
-    shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("length") == capacity, F.col("start")).otherwise(-1)), F.lit(groups)).cast("long")
+    shard = F.pmod(F.xxhash64("doc_row", F.when(F.col("length") == capacity, F.col("start")).otherwise(-1)), F.lit(groups)).cast("long")
     dealt = pieces.withColumn("shard", shard)
-    schema = dealt.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(lambda rows: _pack(rows, capacity), schema).drop("shard")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", sequence_id long, offset long"
+    return dealt.groupBy("shard").applyInArrow(lambda table: _pack(table, capacity), schema).drop("shard")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of `docs`.
+    """doc_row, doc_id, start, length, doc_tokens, ids, sequence_id, offset of every piece of `docs`.
 
-    The ids themselves are `tokenized_pieces`; here their checksum travels in
-    their place, and doc_id and start find them. Rows that repeat an id are
-    packed like others. A null id is kept.
+    The windows with their ids (little-endian 32-bit) as they lie in them. Rows
+    that repeat an id are packed like others and have a doc_row of their own. A
+    null id is kept. No rows give no rows.
     """
-    pieces = tokenized_pieces(docs, tokenizer, id_col, text_col)
-    packed = pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
-    return packed.select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = pack(tokenized_pieces(docs, tokenizer, id_col, text_col))
+    return packed.withColumnRenamed("doc_id", id_col)
+
+
+def packed_digests(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of packed_documents with the CRC-32 of a piece's ids in their place."""
+    packed = packed_documents(docs, tokenizer, id_col, text_col)
+    return packed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "doc_row")

@@ -47,7 +47,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packing.packed_documents(_table(spark, sf_dir, "documents"))
+    return _packing.packed_digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

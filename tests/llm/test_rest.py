@@ -230,7 +230,7 @@ def test_packing(table, corpus):
 
     model = Tokenizer.from_file(packing.default_tokenizer())
     expected = {r[0]: np.array(model.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4") for r in corpus}
-    rows = packing.packed_documents(table(corpus)).collect()
+    rows = packing.packed_digests(table(corpus)).collect()
     at, place = defaultdict(list), defaultdict(list)
     for r in rows:
         ids = expected[r.doc_id]
@@ -249,8 +249,8 @@ def test_packing(table, corpus):
 
 
 def test_packing_edges(table):
-    assert packing.packed_documents(table([], DOCS)).count() == 0
-    got = packing.packed_documents(table([(1, None), (1, None), (None, "a"), (2, "the cat " * 9000)], DOCS)).collect()
+    assert packing.packed_digests(table([], DOCS)).count() == 0
+    got = packing.packed_digests(table([(1, None), (1, None), (None, "a"), (2, "the cat " * 9000)], DOCS)).collect()
     assert sum(r.doc_tokens for r in got if r.start == 0) == sum(r.length for r in got) == 1 + 1 + 2 + 18_001
 
 
@@ -259,7 +259,7 @@ def test_word_by_word_ids_are_those_of_whole_texts(spark, sf):
 
     path = packing.default_tokenizer()
     model, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["", "a\x85b\u3000c\u00a0d it's 12345 \u2028x", "e\u0301 <|endoftext|> É"]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["", "a\x85b\u3000c\u00a0d it's 12345 \u2028x", "e\u0301 <|endoftext|> É", "İb.İ, ÀB×c÷d.. a\u0301b i'll-don't ʼs x<|endoftext|>y #1a2²½ ÿß\x1c\x7f. ｆＡ… œuvre—. 12.5%"]
     ids, offsets = own.encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids
