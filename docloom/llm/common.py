@@ -11,26 +11,41 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of bytes other than these (space, and tab to carriage return).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: The first character of each word.
+WORD_START = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; ours only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or "/tmp/checkpoints").rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
+    return folder.rstrip("/")
 
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` to the shared folder and read it again.
 
     This cuts the lineage, gives the optimizer true sizes, and survives lost
-    executors. The table goes when the session's JVM ends.
+    executors. The table goes with `dropped`, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stash_path = jvm_path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `stash` that nothing reads any more: what was made of them must be written itself."""
+    for table in tables:
+        path = table._stash_path
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,5 +54,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def removed(text: Column, pattern: str) -> Column:
+    """How many characters of `text` the pattern matches: of a pattern of one character, how often it does.
+
+    The text's length less that of what is left; no array of matches is built.
+    """
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, F.lit(pattern), F.lit("")))
+
+
+def word_count(text: Column) -> Column:
+    """The number of words (WORD_PATTERN); null has none."""
+    return removed(F.coalesce(text, F.lit("")), WORD_START).cast("long")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stash
+from docloom.llm.common import dropped, stash
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = stash(large.groupBy("u").agg(F.min("v").alias("least")), "least")
         small = large.join(down.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("least").alias("v"))
         small = small.where("u != v").unionByName(down.select("u", F.col("least").alias("v")))
-        edges = stash(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        old, edges = edges, stash(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        dropped(old, least, large, down)
         after = _signature(edges)
         if after == before:
             break

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
-from docloom.llm.common import partitions, stash
+from docloom.llm.common import dropped, partitions, stash
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -25,10 +26,12 @@ PERCENT = 80
 #: How many global orders the filter uses.
 ORDERS = 3
 #: Text bytes of a chunk of documents.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: One document of each group meets the rest, again and again, until pairs of what is left are at most so many a row,
 #: or a round leaves more than this share of them.
 PAIRS_A_ROW, LEFT_A_ROUND = 4, 0.9
+#: Shingles of pairs that are compared at once.
+VERIFY_NUMBERS = 1 << 19
 
 _SETS = "key long, id long, n long, shared long, digest binary, tokens binary, counts binary"
 _SETS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
@@ -147,35 +150,61 @@ def _can_link(n: str, m: str, rest: str, other: str, percent: int) -> str:
     return f"100 * {most} >= {percent} * ({n} + {m} - {most})"
 
 
+def _flat(arrays: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a binary array's packed numbers."""
+    offsets = np.frombuffer(arrays.buffers()[1], np.int32)[arrays.offset : arrays.offset + len(arrays) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    data = arrays.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return values, np.diff(offsets) // size
+
+
+def shared_numbers(left: pa.Array, right: pa.Array, kind: type) -> np.ndarray:
+    """For each pair of packed sets how many numbers both have."""
+    out = np.zeros(len(left), np.int64)
+    sizes = np.cumsum(pc.add(pc.binary_length(left), pc.binary_length(right)).to_numpy().astype(np.int64)) // np.dtype(kind).itemsize
+    at = 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + VERIFY_NUMBERS, side="right")))
+        stop = min(stop, at + packed.MOST_DOCS)
+        (a, n), (b, m) = (_flat(x.slice(at, stop - at), kind) for x in (left, right))
+        who = np.concatenate([np.repeat(np.arange(stop - at), n), np.repeat(np.arange(stop - at), m)]).astype(np.uint16)
+        order = np.argsort(values := np.concatenate([a, b]))
+        order = order[np.argsort(who[order], kind="stable")]
+        values, who = values[order], who[order]
+        out[at:stop] = np.bincount(who[1:][(values[1:] == values[:-1]) & (who[1:] == who[:-1])], minlength=stop - at)
+        at = stop
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int, kind: type) -> Iterator[pa.RecordBatch]:
     """The pairs that share a prefix shingle under every order and are alike enough."""
-    as_ints = lambda b, kind=np.int64: np.frombuffer(b, kind)
     for batch in batches:
-        good = []
-        cols = [batch.column(c) for c in ("n", "n_b", "tokens", "tokens_b", "prefixes", "prefixes_b")]
-        for i in range(batch.num_rows):
-            n, m = cols[0][i].as_py(), cols[1][i].as_py()
-            ok = 100 * min(n, m) >= percent * max(n, m)
-            ok = ok and all(len(np.intersect1d(as_ints(p), as_ints(q), True)) for p, q in zip(cols[4][i].as_py(), cols[5][i].as_py()))
-            if ok:
-                both = len(np.intersect1d(as_ints(cols[2][i].as_py(), kind), as_ints(cols[3][i].as_py(), kind), True))
-                ok = 100 * both >= percent * (n + m - both)
-            good.append(ok)
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good, pa.bool_())), batch.column("v").filter(pa.array(good, pa.bool_()))], names=["u", "v"])
+        n, m = (batch.column(c).to_numpy() for c in ("n", "n_b"))
+        batch = batch.filter(pa.array(100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+        for k in range(len(batch.column("prefixes")[0]) if batch.num_rows else 0):
+            one, other = (pc.list_element(batch.column(c), k) for c in ("prefixes", "prefixes_b"))
+            batch = batch.filter(pa.array(shared_numbers(one, other, np.int64) > 0))
+        n, m = (batch.column(c).to_numpy() for c in ("n", "n_b"))
+        both = shared_numbers(batch.column("tokens"), batch.column("tokens_b"), kind)
+        yield batch.select(["u", "v"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -> DataFrame:
     """The pairs (u, v: keys of `sets`) that pass every order's filter and the exact test; tokens are of the given kind.
 
-    The filter of the first order is what made the pairs, so its prefixes stay behind.
+    The filter of the first order is what made the pairs, so its prefixes stay behind. Sets in no pair are left out
+    before the pairs meet them.
     """
-    sets = sets.withColumn("prefixes", F.slice("prefixes", 2, 1_000))
-    what = ["key", "n", "tokens", "prefixes"]
-    other = sets.select(*[F.col(c).alias(c if c == "key" else f"{c}_b") for c in what])
+    asked = pairs.select(F.col("u").alias("asked")).unionByName(pairs.select(F.col("v").alias("asked"))).distinct()
+    some = sets.join(asked, sets["key"] == asked["asked"], "left_semi")
+    some = stash(some.select("key", "n", "tokens", F.slice("prefixes", 2, 1_000).alias("prefixes")), "asked")
+    other = some.select(*[F.col(c).alias(c if c == "key" else f"{c}_b") for c in some.columns])
     both = pairs.join(other, pairs["v"] == other["key"]).drop("key")
-    one = sets.select(*what)
-    both = both.join(one, both["u"] == one["key"]).drop("key")
-    return both.mapInArrow(lambda b: _verify(b, percent, kind), "u long, v long")
+    both = both.join(some, both["u"] == some["key"]).drop("key")
+    found = stash(both.mapInArrow(lambda b: _verify(b, percent, kind), "u long, v long"), "near")
+    dropped(some)
+    return found
 
 
 def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -> DataFrame:
@@ -203,7 +232,8 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
         leads = leads.select("token", *[F.col("lead")[c].alias(a) for c, a in (("key", "u"), ("n", "m"), ("rest", "other"), ("component", "component_u"))])
         met = places.join(leads, "token").where("key != u").withColumn("meets", F.expr(f"component != component_u and {_can_link('n', 'm', 'rest', 'other', percent)}"))
         met = stash(met.select(*columns, "component", "u", "meets"), "met")
-        found = stash(verified(met.where("meets").select("u", F.col("key").alias("v")).distinct(), sets, percent, kind), "near")
+        pairs = stash(met.where("meets").select("u", F.col("key").alias("v")).distinct(), "pairs")
+        found = verified(pairs, sets, percent, kind)
         # What hangs together so far goes on as stars, which settle fast.
         labels = stash(components(found if links is None else links.unionByName(found)), "labels")
         links = labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
@@ -215,13 +245,14 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
         open_ = each.groupBy("token").agg(F.max("most").alias("most_of"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("parts"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
         open_ = stash(open_.where("parts > 1"), "open")
         able = left.join(open_, "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
-        places = stash(able.select(*columns, "component"), "places")
-        rows, pairs = places.count(), open_.agg(F.sum("pairs")).first()[0] or 0
-        if not rows or not pairs:
+        old, places = places, stash(able.select(*columns, "component"), "places")
+        rows, still = places.count(), open_.agg(F.sum("pairs")).first()[0] or 0
+        dropped(old, met, pairs, found, left, open_)
+        if not rows or not still:
             return links
-        if pairs <= PAIRS_A_ROW * rows or (before and pairs > LEFT_A_ROUND * before):
+        if still <= PAIRS_A_ROW * rows or (before and still > LEFT_A_ROUND * before):
             break
-        before = pairs
+        before = still
     other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("component").alias("component_v"))
     pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "rest", "other", percent))
     pairs = stash(pairs.select(F.col("key").alias("u"), "v").distinct(), "pairs")

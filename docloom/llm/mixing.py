@@ -6,18 +6,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD_PATTERN, stash
+from docloom.llm.common import WORD_PATTERN, stash, word_count
 
 WEIGHTS = (5, 2, 1)
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, half_shares: int = 3, half_cap: int = 4) -> DataFrame:
     """source, source_size, target for `sizes` (source, size).
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD_PATTERN, stash
+from docloom.llm.common import WORD_START, removed, stash
 
 #: The most labelled rows that a fit takes to the driver (each a few hundred bytes).
 SAMPLE_ROWS = 20_000
@@ -24,26 +24,28 @@ SAMPLE_ROWS = 20_000
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of the whole text, by name; null counts as empty. None reads anything but the text."""
     text = F.coalesce(text, F.lit(""))
+    # Frequent things are counted by their single characters, rare ones as matches.
+    places = lambda pattern: removed(text, pattern).cast("double")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     lines = F.split(text, "\n")
-    words, chars, n_lines = count(WORD_PATTERN), F.char_length(text).cast("double"), F.size(lines).cast("double")
+    words, chars, n_lines = places(WORD_START), F.char_length(text).cast("double"), F.size(lines).cast("double")
     share = lambda part, of: part / F.greatest(of, F.lit(1.0))
     return {
         "chars": chars,
         "words": words,
         "word_length": share(chars, words),
-        "upper": share(count(r"\p{Lu}"), chars),
-        "digits": share(count(r"[0-9]"), chars),
-        "stops": share(count(r"[.,;:](?=\s|$)"), words),
-        "exclamations": share(count(r"!"), words),
-        "symbols": share(count(r"[#$%&*+<=>@\\^_`{|}~]+"), words),
+        "upper": share(places(r"\p{Lu}"), chars),
+        "digits": share(places(r"[0-9]"), chars),
+        "stops": share(places(r"[.,;:](?=\s|$)"), words),
+        "exclamations": share(places(r"!"), words),
+        "symbols": share(places(r"(?<![#$%&*+<=>@\\^_`{|}~])[#$%&*+<=>@\\^_`{|}~]"), words),
         "bare_symbols": share(count(r"(?<=\s)[^\s\p{L}\p{N}]+(?=\s)"), words),
         "links": share(count(r"://"), words),
         "line_words": share(words, n_lines),
         "repeated_lines": share(n_lines - F.size(F.array_distinct(lines)).cast("double"), n_lines),
         "doubled_words": share(count(r"(?<!\S)(\S++)\s\1(?!\S)"), words),
         "mixed_words": share(count(r"\p{Ll}\p{Lu}"), words),
-        "capital_starts": share(count(r"(?:^|\s)\p{Lu}"), words),
+        "capital_starts": share(places(r"(?<!\S)\p{Lu}"), words),
     }
 
 
@@ -138,18 +140,9 @@ class RuleModel:
     intercept: float
 
     def score(self, of: dict[str, Column]) -> Column:
-        """The chance of label 1, from columns of the statistics.
-
-        The statistics are bound to a name once, as many rules read each of them.
-        """
-
-        def margin(row: Column) -> Column:
-            read = {n: row[n] for n in of}
-            terms = (F.when(r.column(read), F.lit(w)).otherwise(F.lit(0.0)) for r, w in zip(self.rules, self.weights))
-            return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-
-        bound = F.transform(F.array(F.struct(*[c.alias(n) for n, c in of.items()])), margin)[0]
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-bound))
+        """The chance of label 1, from columns of the statistics."""
+        terms = (F.when(r.column(of), F.lit(w)).otherwise(F.lit(0.0)) for r, w in zip(self.rules, self.weights))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept))))
 
 
 def held_out(id_col: str) -> Column:
@@ -157,22 +150,22 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and statistics of each row, written once: texts are read a single time."""
-    stats = statistics(F.col(text_col))
-    return stash(docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in stats.items()]), "statistics")
-
-
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, **how) -> RuleModel:
-    """Fit on rows of `stats` (id and statistics) with a label 0 or 1, held-out rows left out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, **how) -> RuleModel:
+    """Fit on rows of `docs` with a label 0 or 1, held-out rows left out.
 
     At most sample_rows rows are taken, those with the least hash of their id. A
     row that has several labels counts once for each. Without any row, or with
     one label only, the model has no rules and a smoothed mean as its score.
     """
-    names = [c for c in stats.columns if c != "id"]
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("_y")).where("_y in (0, 1)").where(~held_out("id"))
-    rows = stats.join(marked, "id").orderBy(F.xxhash64("id"), "id", "_y").limit(sample_rows).select("_y", *names).toPandas()
+    # First the labels, of which sample_rows are enough; then the texts of these alone.
+    chosen = marked.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "_y").limit(sample_rows)
+    chosen = stash(chosen, "labels")
+    stats = statistics(F.col("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows ids
+    rows = rows.select("id", "_y", F.xxhash64("text").alias("_text"), *[c.alias(n) for n, c in stats.items()])
+    names = list(stats)
+    rows = rows.orderBy(F.xxhash64("id"), "id", "_y", "_text").limit(sample_rows).select("_y", *names).toPandas()
     y, x = rows["_y"].to_numpy(float), rows[names].to_numpy(float)
     if not len(y) or y.min() == y.max():
         mean = (y.sum() + 1) / (len(y) + 2)
@@ -193,13 +186,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts are scored as texts without words. predicted is 1 from a score of 0.5
     on. Repeated rows get equal scores. No rows give no rows.
     """
-    stats = with_statistics(docs, id_col, text_col)
-    model = fit(stats, labels, label_col, id_col, **how)
-    score = model.score({c: F.col(c) for c in stats.columns if c != "id"})
-    return stats.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit(docs, labels, id_col, text_col, label_col, **how)
+    stats = statistics(F.col(text_col))
+    scored = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in stats.items()]).select("id", model.score({n: F.col(n) for n in stats}).alias("score"))
+    scored = stash(scored, "scores")  # a filter on a score must not move below the statistics
+    return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> DataFrame:
     """`docs` without the rows that the classifier rejects (score below 0.5)."""
-    model = fit(with_statistics(docs, id_col, text_col), labels, label_col, id_col, **how)
-    return docs.where(model.score(statistics(F.col(text_col))) >= 0.5)
+    model = fit(docs, labels, id_col, text_col, label_col, **how)
+    stats = statistics(F.col(text_col))
+    # The row travels as one column, so no name of its own can clash. A rejected row explodes to none: a
+    # filter would move below the statistics and compute them anew in each rule.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in stats.items()])
+    good = model.score({n: F.col(n) for n in stats}) >= 0.5
+    rows = rows.select("row", F.explode(F.when(good, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
