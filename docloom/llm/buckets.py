@@ -1,7 +1,8 @@
 """Whole texts in buckets: one exchange of them, which several steps of an operator read again.
 
 Copies of a whole text are told by digest and sent to the buckets as a list, so
-that an operator does the work for one row of them.
+that an operator does the work for one row of them. Rows that repeat both id and
+text are one row of a bucket with their number, counted before they are dealt.
 """
 
 from __future__ import annotations
@@ -12,20 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stash
+from docloom.llm.common import partitions, stash
+from docloom.llm.packed import parts_for
 
-#: Documents and bytes of a bucket, about; there must be fewer than 2 ** 16 documents.
+#: Documents and bytes of a bucket, about; rows differ in id or text, so a hash keeps them below 2 ** 16 (packed.deal raises beyond).
 BUCKET_DOCS, BUCKET_BYTES = 16_000, 3 << 20
 #: Stands for a null id, which so is larger than any other.
 NO_ID = (1 << 63) - 1
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, copies) of `docs`: key, bytes, bucket of every row; and rows of packed.SCHEMA for copies.
+def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(texts, copies, parts) of `docs`: key, bytes, rows, bucket of every distinct id and text; rows of packed.SCHEMA for copies; how many parts packed tokens go to.
 
-    Rows go to buckets by a hash of id and text, as many as the bytes of all texts
-    ask for. A copy is a row with the text of one with a smaller id; its blob has
-    its key, the text's digest and that smallest id.
+    They go to buckets by a hash of id and text, as many as the bytes of all texts
+    ask for; `rows` says how often an id and text occur. A copy is a row with the
+    text of one with a smaller id; its blob has its key, the text's digest and
+    that smallest id.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
@@ -39,15 +42,24 @@ def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     raw = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     blob = F.concat(raw("key"), F.col("sha"), raw("least"))
     copies = heads.join(least, "sha").where("key > least").select(bucket.alias("chunk"), F.lit(-1).alias("part"), F.lit(True).alias("is_table"), blob.alias("blob")).distinct()
-    return rows.select("key", "bytes", bucket.alias("bucket")), stash(copies, "copies")
+    # Where rows repeat, those that share a hash with a repeated one are counted before the exchange; mostly there are none.
+    again = stash(heads.groupBy("deal").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("deal").alias("of")), "again")
+    texts = rows.withColumn("rows", F.lit(1).cast("long"))
+    if not again.isEmpty():
+        some = rows.join(again, rows["deal"] == again["of"], "left_semi").groupBy("key", "bytes", "deal").agg(F.count(F.lit(1)).alias("rows"))
+        texts = texts.join(again, texts["deal"] == again["of"], "left_anti").unionByName(some)
+    return texts.select("key", "bytes", "rows", bucket.alias("bucket")), stash(copies, "copies"), parts_for(partitions(docs.sparkSession), total["n"])
 
 
-def texts_of(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    """Keys and texts of a bucket's rows, by key and text."""
-    if not table.num_rows:
-        return [], []
-    pairs = sorted(zip(table.column("key").to_pylist(), table.column("bytes").to_pylist()))
-    return [p[0] for p in pairs], [p[1] for p in pairs]
+def texts_of(table: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
+    """Keys and texts of a bucket's rows, by key and text, and how many rows each stands for."""
+    found = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "bytes", "rows"))))
+    return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
+
+
+def each_row(cut: DataFrame) -> DataFrame:
+    """`cut` with a row for each that it stands for, by its column `rows`."""
+    return cut.withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("rows")
 
 
 def skipped(keys: list[int], texts: list[bytes], right: pa.Table) -> dict[int, int]:

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
-from docloom.llm.buckets import NO_ID, dealt, skipped, texts_of
-from docloom.llm.common import partitions
+from docloom.llm.buckets import NO_ID, dealt, each_row, skipped, texts_of
 
 LENGTH = 50
 #: So long that hardly any are shared by chance, and short enough for each to stand for many strings.
@@ -227,7 +226,7 @@ def _empty() -> pa.Table:
 
 def _count_anchors(parts: int, length: int):
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = texts_of(left)
+        keys, texts, _ = texts_of(left)
         found = [[], []]
         for data, offsets, number, _ in _steps(texts, skipped(keys, texts, right), length):
             c = contexts_of(data, offsets, length)
@@ -275,7 +274,7 @@ def _send_contexts(parts: int, length: int):
     """
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = texts_of(left)
+        keys, texts, _ = texts_of(left)
         skip = skipped(keys, texts, right)
         shared: list[np.ndarray] = []
         hot: list[np.ndarray] = []
@@ -283,21 +282,21 @@ def _send_contexts(parts: int, length: int):
             if not is_table:
                 who, low, counts = packed.unblob(data, np.uint16, np.uint32, np.uint16)
                 name = low.astype(np.uint64) | np.uint64(part << 32)
-                shared.append(np.unique(name))
-                hot.append(np.unique(name[counts >= HOT]))
+                shared.append(name)
+                hot.append(name[counts >= HOT])
         if not shared or not len(keys):
             return _empty()
-        shared_names, hot_names = np.unique(np.concatenate(shared)), np.unique(np.concatenate(hot))
+        shared_names, hot_names = np.sort(np.concatenate(shared)), np.sort(np.concatenate(hot))
         bucket, out = left.column("bucket")[0].as_py(), []
         ids, rank = np.array(keys, np.int64), np.unique(np.array(keys, np.int64), return_inverse=True)[1]
         gathered: list[tuple] = []
         for data, offsets, number, base in _steps(texts, skip, length):
             c = contexts_of(data, offsets, length)
             name = (c.token & np.uint64(0xFFFFFFFF)) | (packed.part_of(c.token, parts).astype(np.uint64) << np.uint64(32))
-            keep = np.isin(name, shared_names)
+            keep = tokens.among(name, shared_names)
             owner, start, count, name = c.owner[keep], c.start[keep], c.count[keep], name[keep]
             begin = offsets[owner] + start
-            is_hot = np.isin(name, hot_names)
+            is_hot = tokens.among(name, hot_names)
             if is_hot.any():
                 # One string each, named by itself.
                 b, k = begin[is_hot], count[is_hot]
@@ -318,9 +317,10 @@ def _send_contexts(parts: int, length: int):
         # Rows come by id, so the first of equal contexts has the least id.
         order = np.argsort(who, kind="stable")
         _, first, inverse = np.unique(whole[order], return_index=True, return_inverse=True)
-        least = np.empty(len(who), np.int64)
-        least[order] = rank[who[order[first]]][inverse]
-        settled = rank[who] > least
+        like = np.empty(len(who), np.int64)  # the context of least id with the same hash
+        like[order] = order[first][inverse]
+        settled = rank[who] > rank[who[like]]
+        settled[[i for i in np.flatnonzero(settled).tolist() if blobs[i] != blobs[like[i]]]] = False
         if settled.any():
             out.append((bucket, bucket % parts, True, _spans_blob(who[settled], start[settled], count[settled])))
         rest = np.flatnonzero(~settled)
@@ -355,6 +355,18 @@ def _least_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, lea
     return out
 
 
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + n] is data[b:b + m], for each entry."""
+    equal = n == m
+    for at in range(0, len(a), 20_000):
+        k = slice(at, at + 20_000)
+        here = np.flatnonzero(equal[k]) + at
+        inner = np.arange(int(n[here].sum())) - np.repeat(np.cumsum(n[here]) - n[here], n[here])
+        differ = data[np.repeat(a[here], n[here]) + inner] != data[np.repeat(b[here], n[here]) + inner]
+        equal[np.unique(np.repeat(here, n[here])[differ])] = False
+    return equal
+
+
 def _resolve_part(rows: list[tuple[int, bytes]], length: int) -> Iterator[pa.RecordBatch]:
     """Of one part's contexts: the strings of each bucket that a smaller document has."""
     names, who, keys, start, count, bucket, begin, chunks, size = [], [], [], [], [], [], [], [], 0
@@ -381,6 +393,8 @@ def _resolve_part(rows: list[tuple[int, bytes]], length: int) -> Iterator[pa.Rec
     order = np.lexsort((keys, whole, names))
     new = np.ones(len(order), bool)
     new[1:] = (whole[order][1:] != whole[order][:-1]) | (names[order][1:] != names[order][:-1])
+    same = np.flatnonzero(~new)  # told by hash so far; the bytes decide
+    new[same] = ~_equal_bytes(data, begin[order[same - 1]], begin[order[same]], count[order[same - 1]] + length - 1, count[order[same]] + length - 1)
     firsts = order[new]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
@@ -438,20 +452,20 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield from _resolve_part(held.pop(part), length)
 
 
-_CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-_CUT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+_CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, rows long"
+_CUT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("rows", pa.int64())])
 
 
 def _cut(length: int, digest: bool):
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = texts_of(left)
+        keys, texts, rows = texts_of(left)
         skip = skipped(keys, texts, right)
         spans = [packed.unblob(d, np.uint16, np.uint32, np.uint8) for t, d in zip(right.column("is_table").to_pylist(), right.column("blob").to_pylist()) if not t]
         who, start, count = (np.concatenate([s[k] for s in spans]).astype(np.int64) if spans else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(who, kind="stable")
         first = np.searchsorted(who[order], np.arange(len(keys) + 1))
         out = []
-        for i, (key, text) in enumerate(zip(keys, texts)):
+        for i, (key, text, times) in enumerate(zip(keys, texts, rows)):
             n, here = len(text), order[first[i] : first[i + 1]]
             if i in skip and n >= length:
                 removed, runs, kept = n, 1, b""
@@ -464,7 +478,7 @@ def _cut(length: int, digest: bool):
                 kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
             else:
                 removed, runs, kept = 0, 0, text
-            out.append((None if key == NO_ID else key, n, removed, runs, hashlib.sha256(kept).digest() if digest else kept))
+            out.append((None if key == NO_ID else key, n, removed, runs, hashlib.sha256(kept).digest() if digest else kept, times))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CUT_ARROW)], schema=_CUT_ARROW) if out else pa.Table.from_batches([], schema=_CUT_ARROW)
 
     return one
@@ -481,13 +495,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are shuffled once, to buckets by a hash of id and text, and that exchange
     is read by three steps. Buckets are as many as the bytes of all texts ask for. Copies of a whole text are settled by its digest, so that
-    large groups of them are no work. `length` must lie between 24 and 200.
+    large groups of them are no work, and rows that repeat id and text are one.
+    `length` must lie between 24 and 200.
     """
-    parts = partitions(docs.sparkSession)
-    texts, copies = dealt(docs, id_col, text_col)
+    texts, copies, parts = dealt(docs, id_col, text_col)
     counted = texts.groupBy("bucket").cogroup(copies.groupBy("chunk")).applyInArrow(_count_anchors(parts, length), packed.SCHEMA)
-    shared = counted.repartitionById(parts, "part").mapInArrow(packed.shared, packed.SCHEMA)
+    shared = packed.by_part(counted, parts).mapInArrow(packed.shared, packed.SCHEMA)
     sent = texts.groupBy("bucket").cogroup(shared.unionByName(copies).groupBy("chunk")).applyInArrow(_send_contexts(parts, length), packed.SCHEMA)
-    spans = sent.repartitionById(parts, "part").mapInArrow(lambda b: _resolve(b, length), packed.SCHEMA)
+    spans = packed.by_part(sent, parts).mapInArrow(lambda b: _resolve(b, length), packed.SCHEMA)
     cut = texts.groupBy("bucket").cogroup(spans.unionByName(copies).groupBy("chunk")).applyInArrow(_cut(length, digest), _CUT)
-    return cut.withColumnRenamed("id", id_col)
+    return each_row(cut).withColumnRenamed("id", id_col)

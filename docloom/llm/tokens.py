@@ -139,6 +139,13 @@ def distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[new], owner[new]
 
 
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Whether each of `values` is in `ascending`, which may repeat numbers."""
+    if not len(ascending):
+        return np.zeros(values.shape, bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def steps(texts: pa.Array):
     """Slices (start, stop) of a string array of about STEP_BYTES each, or one longer text."""
     _, offsets = utf8(texts)
