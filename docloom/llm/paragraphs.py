@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
-from docloom.llm.buckets import NO_ID, dealt, skipped, texts_of
-from docloom.llm.common import partitions, stash
+from docloom.llm.buckets import NO_ID, dealt, each_row, skipped, texts_of
+from docloom.llm.common import dropped, stash
 from docloom.llm.components import components
 from docloom.llm.jaccard_join import near_links
 
@@ -122,8 +122,8 @@ def _chosen(starts: np.ndarray, owner: np.ndarray, shingles: np.ndarray, apart:
     return starts[np.sort((chosen[chosen != _MAX] & _PLACE).astype(np.int64))]
 
 
-def distinct_paragraphs(p: Paragraphs) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(numbers, spans): one of each equal paragraphs of a text, and the (start, stop) of all their places, overlapping ones joined."""
+def distinct_paragraphs(p: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, spans, edges): one of each equal paragraphs of a text; the (start, stop) of all their places, overlapping ones joined; those of number i lie between edges i and i + 1."""
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(p.shingles, k), dtype=np.uint64)]) for k in (5, 6)]
     keys = [p.owner, p.last - p.first, *(x[p.last] - x[p.first] for x in sums)]
     order = np.lexsort((p.start, *keys))
@@ -133,12 +133,13 @@ def distinct_paragraphs(p: Paragraphs) -> tuple[np.ndarray, list[np.ndarray]]:
     run[1:] |= start[1:] > stop[:-1]
     at = np.flatnonzero(run)
     spans = np.stack([start[at], stop[np.append(at[1:], len(order))[: len(at)] - 1]], axis=1)
-    return order[new], np.split(spans, np.flatnonzero(new[at])[1:])
+    return order[new], spans, np.append(np.flatnonzero(new[at]), len(at))
 
 
 def signatures(shingles: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A 64-bit name of each band of each paragraph, whose shingles are shingles[first:last] (never empty)."""
-    edges = np.stack([first, last], axis=1).reshape(-1)
+    order = np.argsort(first, kind="stable")  # in the order of the text, so that what lies between is not read
+    edges = np.stack([first[order], last[order]], axis=1).reshape(-1)
     out = np.empty((len(first), bands), np.uint64)
     for b in range(bands):
         name = np.full(len(first), b + 1, np.uint64)
@@ -146,7 +147,7 @@ def signatures(shingles: np.ndarray, first: np.ndarray, last: np.ndarray, bands:
             factor = int(tokens.mix(np.array([b * rows + r], np.uint64), 11)[0]) | 1
             values = np.append(shingles * np.uint64(factor) + np.uint64(factor >> 7), _MAX)
             name = tokens.mix(name ^ np.minimum.reduceat(values, edges)[::2], 12)
-        out[:, b] = name
+        out[order, b] = name
     return out
 
 
@@ -171,12 +172,12 @@ def _band_counts(parts: int, how: dict):
     """A bucket's band names by part, each once a text."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = texts_of(left)
+        keys, texts, _ = texts_of(left)
         names, owners = [], []
         for numbers, data, offsets in _steps(texts, skipped(keys, texts, right)):
             p = paragraphs_of(data, offsets, **how)
             if len(p.owner):
-                one_each, _ = distinct_paragraphs(p)
+                one_each, *_ = distinct_paragraphs(p)
                 bands = signatures(p.shingles, p.first[one_each], p.last[one_each])
                 names.append(bands.reshape(-1))
                 owners.append(np.repeat(np.array(numbers)[p.owner[one_each]], bands.shape[1]))
@@ -189,33 +190,55 @@ def _band_counts(parts: int, how: dict):
     return one
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of the bytes of `data`, cut after each of `ends` numbers."""
+    offsets = np.concatenate([[0], ends * data.dtype.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each `first` to before its `last`, one range after another."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _candidates(parts: int, how: dict):
     """A bucket's paragraphs that share a band with another document's, with their shingles and those bands."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = texts_of(left)
+        keys, texts, _ = texts_of(left)
         back = [(part, packed.unblob(blob, np.uint16, np.uint32, np.uint16)[1]) for part, kind, blob in zip(*(right.column(c).to_pylist() for c in ("part", "is_table", "blob"))) if not kind]
         if not back or not keys:
             return pa.Table.from_batches([], schema=_SETS_ARROW)
-        shared = np.unique(np.concatenate([low.astype(np.uint64) | np.uint64(part << 32) for part, low in back]))
-        bucket, out, made = left.column("bucket")[0].as_py(), [], 0
+        shared = np.sort(np.concatenate([low.astype(np.uint64) | np.uint64(part << 32) for part, low in back]))
+        bucket, out, made, ids = left.column("bucket")[0].as_py(), [], 0, np.array(keys, np.int64)
         for numbers, data, offsets in _steps(texts, skipped(keys, texts, right)):
             p = paragraphs_of(data, offsets, **how)
             if not len(p.owner):
                 continue
-            one_each, spans = distinct_paragraphs(p)
+            one_each, spans, edges = distinct_paragraphs(p)
             bands = signatures(p.shingles, p.first[one_each], p.last[one_each])
             names = (bands & np.uint64(0xFFFFFFFF)) | (packed.part_of(bands.reshape(-1), parts).astype(np.uint64) << np.uint64(32)).reshape(bands.shape)
-            good = np.isin(names, shared)
-            for k in np.flatnonzero(good.any(axis=1)).tolist():
-                i = one_each[k]
-                t = numbers[p.owner[i]]
-                base = offsets[p.owner[i]]
-                words = np.unique(p.shingles[p.first[i] : p.last[i]].astype(np.uint32)).astype(np.uint64)
-                digest = np.bitwise_xor.reduce(tokens.mix(words, 3)).tobytes() + np.add.reduce(tokens.mix(words, 4)).tobytes()
-                out.append(((bucket << 24) + made, keys[t], bucket, t, (spans[k] - base).astype("<i8").tobytes(), len(words), -int(good[k].sum()), digest, words.astype(np.uint32).tobytes(), [np.unique(names[k][good[k]]).tobytes()]))
-                made += 1
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS_ARROW)], schema=_SETS_ARROW) if out else pa.Table.from_batches([], schema=_SETS_ARROW)
+            good = tokens.among(names, shared)
+            some = np.flatnonzero(good.any(axis=1))
+            if not len(some):
+                continue
+            of, who = one_each[some], np.array(numbers)[p.owner[one_each[some]]]
+            # The distinct shingles of each, by 32 bits.
+            words, owner = tokens.distinct(p.shingles[_ranges(p.first[of], p.last[of])].astype(np.uint32).astype(np.uint64), np.repeat(np.arange(len(of)), p.last[of] - p.first[of]))
+            n = np.bincount(owner, minlength=len(of))
+            begin = np.cumsum(n) - n
+            digest = np.stack([np.bitwise_xor.reduceat(tokens.mix(words, 3), begin), np.add.reduceat(tokens.mix(words, 4), begin)], axis=1)
+            places = spans[_ranges(edges[some], edges[some + 1])] - np.repeat(offsets[p.owner[of]], np.diff(edges)[some])[:, None]
+            met = good[some]
+            columns = [
+                (bucket << 24) + made + np.arange(len(of)), ids[who], np.full(len(of), bucket), who.astype(np.int32), _binary(places.astype("<i8"), 2 * np.cumsum(np.diff(edges)[some])), n, -met.sum(axis=1),
+                _binary(digest, 2 * np.arange(1, len(of) + 1)), _binary(words.astype(np.uint32), np.cumsum(n)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32)), _binary(names[some][met], np.cumsum(met.sum(axis=1)))),
+            ]
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SETS_ARROW)], schema=_SETS_ARROW))
+            made += len(of)
+        return pa.Table.from_batches(out, schema=_SETS_ARROW)
 
     return one
 
@@ -248,40 +271,40 @@ def with_rarest(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(lambda b: _with_rarest(b, percent, frequent, often), sets.schema)
 
 
-def repeated_paragraphs(texts: DataFrame, copies: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
+def repeated_paragraphs(texts: DataFrame, copies: DataFrame, parts: int, percent: int = PERCENT, **how) -> DataFrame:
     """chunk, who, spans, first of the paragraphs of a document, equal ones in one row, whose component has one of a document with a smaller id, `first` the smallest; spans has the start and stop of each place."""
-    parts = partitions(texts.sparkSession)
     counted = texts.groupBy("bucket").cogroup(copies.groupBy("chunk")).applyInArrow(_band_counts(parts, how), packed.SCHEMA)
-    shared = counted.repartitionById(parts, "part").mapInArrow(packed.shared, packed.SCHEMA)
+    shared = packed.by_part(counted, parts).mapInArrow(packed.shared, packed.SCHEMA)
     sets = stash(texts.groupBy("bucket").cogroup(shared.unionByName(copies).groupBy("chunk")).applyInArrow(_candidates(parts, how), _SETS), "paragraphs")
     classes = stash(sets.groupBy("digest", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "classes")
     same = stash(sets.select("key", "n", "digest").join(classes, ["digest", "n"]).where("key != first").select(F.col("first").alias("u"), F.col("key").alias("v")), "same")
     firsts = stash(sets.join(same.select(F.col("v").alias("key")), "key", "left_anti").select("key", "n", F.col("n").alias("shared"), "rank", "tokens", "prefixes"), "firsts")
-    firsts = stash(with_rarest(firsts, percent), "firsts")
+    rows = stash(sets.select("key", "id", "chunk", "who", "spans"), "rows")
+    old, firsts = firsts, stash(with_rarest(firsts, percent), "firsts")
+    dropped(old, sets, classes)
     near = components(stash(near_links(firsts, percent, np.uint32), "near"))
     of_same = same.join(near, same["u"] == near["node"], "left").select(F.col("v").alias("node"), F.coalesce("component", "u").alias("component"))
     of_first = same.select("u").distinct().join(near, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
     labels = stash(near.unionByName(of_same).unionByName(of_first), "labels")
-    rows = sets.select("key", "id", "chunk", "who", "spans")
     named = stash(rows.join(labels, rows["key"] == labels["node"]).select("id", "chunk", "who", "spans", "component"), "named")
     least = stash(named.groupBy("component").agg(F.min("id").alias("first")), "first")
     return named.join(least, "component").where("id > first").select("chunk", "who", "spans", "first")
 
 
-_CUT = "id long, n_bytes long, n_removed long, n_spans long, partners array<long>, kept binary"
-_CUT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("partners", pa.list_(pa.int64())), ("kept", pa.binary())])
+_CUT = "id long, n_bytes long, n_removed long, n_spans long, partners array<long>, kept binary, rows long"
+_CUT_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("partners", pa.list_(pa.int64())), ("kept", pa.binary()), ("rows", pa.int64())])
 
 
 def _cut(how: dict, digest: bool):
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = texts_of(left)
+        keys, texts, rows = texts_of(left)
         skip = skipped(keys, texts, right)
         gone: dict[int, list[tuple[int, int, int]]] = {}
         for kind, who, spans, first in zip(*(right.column(c).to_pylist() for c in ("is_table", "who", "spans", "first"))):
             if not kind:
                 gone.setdefault(who, []).extend((start, stop, first) for start, stop in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist())
         out = []
-        for i, (key, text) in enumerate(zip(keys, texts)):
+        for i, (key, text, times) in enumerate(zip(keys, texts, rows)):
             spans = gone.get(i, [])
             if i in skip:
                 p = paragraphs_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), **how)
@@ -294,7 +317,7 @@ def _cut(how: dict, digest: bool):
                     removed += z - max(a, at)
                     at = z
             kept = b"".join([*kept, text[at:]])
-            out.append((None if key == NO_ID else key, len(text), removed, runs, sorted({f for *_, f in spans}), hashlib.sha256(kept).digest() if digest else kept))
+            out.append((None if key == NO_ID else key, len(text), removed, runs, sorted({f for *_, f in spans}), hashlib.sha256(kept).digest() if digest else kept, times))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CUT_ARROW)], schema=_CUT_ARROW) if out else pa.Table.from_batches([], schema=_CUT_ARROW)
 
     return one
@@ -314,12 +337,12 @@ def cut_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no paragraphs; null is empty; a null id is larger than any other. Rows that
     repeat an id don't take from each other. No rows give no rows.
     """
-    texts, copies = dealt(docs, id_col, text_col)
+    texts, copies, parts = dealt(docs, id_col, text_col)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    gone = repeated_paragraphs(texts, copies, percent, **how).select("chunk", F.lit(False).alias("is_table"), "who", "spans", "first", none("blob", "binary"))
+    gone = repeated_paragraphs(texts, copies, parts, percent, **how).select("chunk", F.lit(False).alias("is_table"), "who", "spans", "first", none("blob", "binary"))
     listed = copies.select("chunk", "is_table", none("who", "int"), none("spans", "binary"), none("first", "long"), "blob")
     cut = texts.groupBy("bucket").cogroup(gone.unionByName(listed).groupBy("chunk")).applyInArrow(_cut(how, digest), _CUT)
-    return cut.withColumnRenamed("id", id_col)
+    return each_row(cut).withColumnRenamed("id", id_col)
 
 
 def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
