@@ -18,7 +18,9 @@ CAPACITY = 4096
 END_ID = 2
 #: Documents are cut into pieces of at most this many ids, besides whole windows.
 PIECE = 512
-#: About how many pieces are packed together.
+#: Bytes of text that give so many ids, about.
+PIECE_BYTES = 1536
+#: About how many pieces are packed together (a few windows more or less don't matter).
 GROUP_PIECES = 1024
 #: Units whose ids a worker remembers (about 50 bytes each), and how many are new to the tokenizer at once.
 MOST_UNITS, NEW_UNITS = 1_000_000, 4096
@@ -244,18 +246,19 @@ def _pack(table: pa.Table, capacity: int) -> pa.Table:
     return table.take(pa.array(order)).append_column("sequence_id", pa.array(shard * (1 << 20) + at)).append_column("offset", pa.array(offset))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int | None = None) -> DataFrame:
     """`pieces` (doc_row, start, length and more columns) with sequence_id and offset.
 
-    Pieces are dealt to groups of about `group` by a hash of their document's row
-    (whole windows by hash of their start too), so no document, id or source
-    makes a large group. Each group is packed into near-equal windows; pieces of
-    a window lie gapless from 0. Other columns, such as ids, travel along. No
-    rows give no rows.
+    Pieces are dealt to `groups` (without it: of GROUP_PIECES each, which are
+    counted for that) by a hash of their document's row (whole windows by hash
+    of their start too), so no document, id or source makes a large group. Each
+    group is packed into near-equal windows; pieces of a window lie gapless from
+    0. Other columns, such as ids, travel along. No rows give no rows.
     """
-    pieces = stash(pieces, "pieces")
-    groups = max(1, -(-pieces.count() // group))
-    shard = F.pmod(F.xxhash64("doc_row", F.when(F.col("length") == capacity, F.col("start")).otherwise(-1)), F.lit(groups)).cast("long")
+    if groups is None:
+        pieces = stash(pieces, "pieces")
+        groups = -(-pieces.count() // GROUP_PIECES)
+    shard = F.pmod(F.xxhash64("doc_row", F.when(F.col("length") == capacity, F.col("start")).otherwise(-1)), F.lit(max(1, groups))).cast("long")
     dealt = pieces.withColumn("shard", shard)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", sequence_id long, offset long"
     return dealt.groupBy("shard").applyInArrow(lambda table: _pack(table, capacity), schema).drop("shard")
@@ -268,7 +271,10 @@ def packed_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     that repeat an id are packed like others and have a doc_row of their own. A
     null id is kept. No rows give no rows.
     """
-    packed = pack(tokenized_pieces(docs, tokenizer, id_col, text_col))
+    # About as many groups as the pieces need, from the length of the texts: so the ids are shuffled, but never written before.
+    sizes = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()
+    groups = (sizes["docs"] + sizes["n"] // PIECE_BYTES) // GROUP_PIECES + 1
+    packed = pack(tokenized_pieces(docs, tokenizer, id_col, text_col), groups=groups)
     return packed.withColumnRenamed("doc_id", id_col)
 
 

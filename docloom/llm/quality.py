@@ -115,16 +115,15 @@ def tree_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24,
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = 5e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of L1-penalised logistic regression, by accelerated proximal gradient steps."""
     n, m = z.shape
-    spread = z.std(axis=0)
+    centre, spread = z.mean(axis=0, dtype=float), z.std(axis=0, dtype=float)
     spread[spread == 0] = 1.0
-    centre = z.mean(axis=0)
-    z = (z - centre) / spread
-    step = 4.0 / (np.linalg.norm(z, 2) ** 2 / n + 1.0) if m else 1.0
+    z = (z - centre.astype(np.float32)) / spread.astype(np.float32)  # the largest array that the driver holds
+    step = 4.0 / (np.linalg.eigvalsh((z.T @ z).astype(float))[-1] / n + 1.0) if m else 1.0
     w, b = np.zeros(m), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     v, c, t = w, b, 1.0
     for _ in range(rounds):
-        slope = 1 / (1 + np.exp(-(z @ v + c))) - y
-        new = v - step * (z.T @ slope) / n
+        slope = 1 / (1 + np.exp(-(z @ v.astype(z.dtype) + c))) - y
+        new = v - step * (z.T @ slope.astype(z.dtype)) / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         new_b, new_t = c - step * slope.mean(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = new + (t - 1) / new_t * (new - w), new_b + (t - 1) / new_t * (new_b - b)
@@ -167,15 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     names = list(stats)
     rows = rows.orderBy(F.xxhash64("id"), "id", "_y", "_text").limit(sample_rows).select("_y", *names).toPandas()
     y, x = rows["_y"].to_numpy(float), rows[names].to_numpy(float)
+    del rows
     if not len(y) or y.min() == y.max():
         mean = (y.sum() + 1) / (len(y) + 2)
         return RuleModel((), (), float(np.log(mean / (1 - mean))))
     rules = tree_rules(x, y, names, **how)
-    z = np.stack([r.holds(x, names) for r in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
-    _, new = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows say the same
-    new = np.sort(new)
-    weights, intercept = lasso_logistic(z[:, new], y)
-    kept = [(rules[k], float(w)) for k, w in zip(new, weights) if abs(w) > 1e-6]
+    # Rules that hold for the same rows say the same: the first of them stands for all.
+    holds = {}
+    for rule in rules:
+        holds.setdefault(np.packbits(rule.holds(x, names)).tobytes(), rule)
+    z = np.stack([np.unpackbits(np.frombuffer(bits, np.uint8), count=len(y)) for bits in holds], axis=1) if holds else np.zeros((len(y), 0), np.uint8)
+    weights, intercept = lasso_logistic(z, y)
+    kept = [(rule, float(w)) for rule, w in zip(holds.values(), weights) if abs(w) > 1e-6]
     return RuleModel(tuple(r for r, _ in kept), tuple(w for _, w in kept), float(intercept))
 
 
