@@ -63,6 +63,8 @@ INJECTION = (
     r"(?i)\bDAN\s+mode\b",
     r"(?i)\bjailbreak\b",
     r"(?i)do\s+anything\s+now",
+    r"(?i)(reveal|show|print|output|repeat|display)\s+(me\s+)?(your|the)\s+(system\s+)?(prompt|instructions?|rules?)",
+    r"(?i)what\s+(are|is)\s+your\s+(system\s+)?(prompt|instructions?|rules?)",
 )
 
 # Citations in a question, first pattern wins; groups are named by the pair (code, section).

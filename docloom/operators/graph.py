@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def frontier(links: DataFrame, seeds: DataFrame, allowed: Column | None = None, most_levels: int = 10) -> DataFrame:
+def frontier(links: DataFrame, seeds: DataFrame, allowed: Column | None = None, most_levels: int | None = None) -> DataFrame:
     """node, level of what is reached from `seeds` (node) over `links` (src, dst), level by level.
 
     Each level is one join and one anti join with what was visited, and is
-    checkpointed, so the plan does not grow with the depth.
+    checkpointed, so the plan does not grow with the depth. It goes on until
+    nothing new is found, or for `most_levels` where a crawl has such a limit.
     """
     visited = seeds.select("node").distinct().withColumn("level", F.lit(0))
     edge = links.where(allowed) if allowed is not None else links
     now = visited
-    for level in range(1, most_levels + 1):
+    for level in count(1) if most_levels is None else range(1, most_levels + 1):
         found = edge.join(now, edge["src"] == now["node"]).select(F.col("dst").alias("node")).distinct()
         now = kept(found.join(visited, "node", "left_anti").withColumn("level", F.lit(level)))
         if now.isEmpty():
@@ -28,21 +31,24 @@ def kept(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut in the folder of spark.checkpoint.dir, or our own where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint()
 
 
-def tree_paths(nodes: DataFrame, most_depth: int = 20) -> DataFrame:
-    """id, depth, path of a forest (id, parent, name): names from the root joined by ` > `."""
+def tree_paths(nodes: DataFrame, most_depth: int = 1_000) -> DataFrame:
+    """id, depth, path of a forest (id, parent, name): names from the root joined by ` > `; a deeper one than most_depth is an error."""
     level = nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"))
     out = level
     for depth in range(1, most_depth + 1):
         level = nodes.join(level.select(F.col("id").alias("_up"), F.col("path").alias("_path")), F.col("parent") == F.col("_up"))
         level = kept(level.select("id", F.lit(depth).alias("depth"), F.concat_ws(" > ", "_path", "name").alias("path")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"the tree is deeper than {most_depth}")
 
 
 def segments(rows: DataFrame, by: str, order: str, starts: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed
 from docloom.functions.text import first_match
+from docloom.operators.graph import kept
 
 
 def keyword_score(text: Column, heading: Column, tokens: Column, terms: list[str]) -> Column:
@@ -84,22 +85,35 @@ def ranked(rows: DataFrame, *order, by: str = "query_id") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top_k: int = 50) -> DataFrame:
+#: Up to so many asked terms are told to all tasks, which then drop other terms before they spread them to rows.
+MOST_TERMS = 10_000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top_k: int = 50, where: Column | None = None) -> DataFrame:
     """query_id, id, score, rank of `docs` (id, terms) for `queries` (query_id, terms), arrays of terms.
 
-    idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Only the terms of the queries are
-    counted, before anything is shuffled. Ties go to the lesser id.
+    idf is ln(1 + (N - df + 0.5) / (df + 0.5)). The terms of a document are read
+    once: its length and its asked terms are written, and counted in place, so
+    that only one row a document and asked term is shuffled. `where` chooses rows
+    of `docs` before any top-k; counts are of all rows, as an index has them.
+    Ties go to the lesser id.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
-    n, avgdl = size["n"], size["avgdl"] or 1.0
     wanted = asked.select("term").distinct()
-    tf = docs.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    tf = tf.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    names = [r["term"] for r in wanted.limit(MOST_TERMS + 1).collect()]
+    few = len(names) <= MOST_TERMS
+    hits = F.filter("terms", lambda t: t.isin(names)) if few and names else F.col("terms")
+    chosen = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    rows = kept(docs.select("id", F.size("terms").alias("dl"), hits.alias("hits"), chosen.alias("chosen")))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = size["n"], size["avgdl"] or 1.0
+    tf = rows.where(F.size("hits") > 0).select("id", "dl", "chosen", "hits", F.explode(F.array_distinct("hits")).alias("term"))
+    tf = tf.select("id", "dl", "chosen", "term", F.size(F.filter("hits", lambda t: t == F.col("term"))).alias("tf"))
+    tf = tf if few else tf.join(wanted, "term", "left_semi")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    scored = tf.join(df, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+    scored = tf.where("chosen").join(df, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
     return ranked(scored, F.desc("score"), "id").where(F.col("rank") <= top_k)
 
 
@@ -113,8 +127,13 @@ def fused(lists: list[DataFrame], k: int = 60, top_k: int = 50) -> DataFrame:
 
 
 def relevance(relevance_score: Column, distance: Column) -> Column:
-    """A row's score: the relevance if there is one, else one less the distance and 0 at least."""
-    return F.coalesce(relevance_score, F.greatest(F.lit(0.0), F.lit(1.0) - distance), F.lit(0.0))
+    """A row's score from what a search gave it (null: nothing).
+
+    Without a relevance it is one less the distance, 0 at least, and 0 without a
+    distance too. A relevance of 0 counts as none given: the distance stands for it.
+    """
+    near = F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - distance), F.lit(0.0))
+    return F.when(relevance_score.isNull(), near).when(relevance_score == 0, F.coalesce(distance, F.lit(0.0))).otherwise(relevance_score)
 
 
 def mode_score(score: Column, category: Column, citation: Column, cited_section: Column, professional: Column) -> Column:

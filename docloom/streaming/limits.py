@@ -28,7 +28,8 @@ def sliding_window_limit(requests: DataFrame, window_seconds: float, most: int)
     """Stream of key, at, admitted: at most `most` admitted requests (key, at) of a key in any window.
 
     The state is the log of admitted times within the window; keys idle for two
-    windows are forgotten.
+    windows are forgotten. That goes by the clock, so the query has batches even
+    without data and runs until it is stopped.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

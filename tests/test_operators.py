@@ -1,6 +1,7 @@
 """Operators on small rows made by hand."""
 
 import datetime as dt
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -144,8 +145,12 @@ def test_rate_limit_stream(spark, tmp_path):
     spark.createDataFrame(rows, "key string, at timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, at timestamp").parquet(str(tmp_path / "in"))
     query = limits.sliding_window_limit(stream, 30.0, 2).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.stop()
+    until = time.monotonic() + 90
+    try:  # timeouts by the clock make batches without data, so neither a trigger nor processAllAvailable ends it
+        while spark.table("limited").count() < len(rows) and time.monotonic() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
     got = sorted((r.key, r.at.second, r.admitted) for r in spark.table("limited").collect())
     assert got == [("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 40, True), ("b", 0, True)]
 
@@ -155,7 +160,7 @@ def test_refresh_stream_and_windows(spark, tmp_path):
     spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, source_url string, content_hash string").write.parquet(source)
     stream = spark.readStream.schema("id long, source_url string, content_hash string").parquet(source)
     seen = []
-    limits.refresh_stream(stream, lambda batch, i: seen.extend(r.source_url for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
+    limits.refresh_stream(stream, lambda batch, i: seen.extend(r.source_url for r in batch.collect()), str(tmp_path / "c")).awaitTermination(120)
     assert sorted(seen) == ["a", "b"]
     events = spark.createDataFrame([("k", dt.datetime(2024, 1, 1, 0, 0, 5)), ("k", dt.datetime(2024, 1, 1, 0, 1, 5))], "key string, at timestamp")
     assert [r.n for r in limits.windowed_counts(events, "at", "1 minute", "1 minute", "key").orderBy("start").collect()] == [1, 1]
