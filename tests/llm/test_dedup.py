@@ -343,3 +343,31 @@ def test_shingles_of_batches_match_plain_python(corpus):
         for s in shingles(t):
             by_shingle[s].add(i)
     assert sorted(map(sorted, by_hash.values())) == sorted(map(sorted, by_shingle.values()))
+
+
+def test_remove_repeats_of_rows_that_repeat(spark):
+    """More rows with one id and text than a 16-bit number counts: none of them takes from the smaller document."""
+    passage = "the passage that both of them have, of sixty bytes and a few."
+    rows = spark.createDataFrame([(1, passage)], DOCS).unionByName(spark.range(70_000).selectExpr("5L as doc_id", f"'0123456789abc{passage}' as text"))
+    got = suffix_dedup.remove_repeats(rows).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in got} == {(1, 0, 1), (5, len(passage), 70_000)}
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """Edited copies of one text, some of them twice, and unlike texts with one common passage."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    base, common = rng.choices(words, k=120), " ".join(rng.choices(words, k=9))
+    texts = []
+    for _ in range(500):
+        edited = list(base)
+        for _ in range(rng.randint(0, 6)):
+            edited[rng.randrange(len(edited))] = rng.choice(words)
+        texts += [" ".join(edited)] * rng.choice([1, 1, 2])
+    texts += [f"{common} {' '.join(rng.choices(words, k=12))}" for _ in range(500)]
+    rows = list(enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+    expected = joined(range(len(sets)), links)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(sets[i]), expected[i]) for i in range(len(sets)))
