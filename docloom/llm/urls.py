@@ -96,7 +96,8 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     graph's: trust flows from hosts that rules allow along the links, distrust
     from hosts that rules block against them (who links to blocked hosts is
     suspect); a host is blocked if its distrust is above `threshold` times its
-    trust, and allowed otherwise, so without evidence too. Null urls and urls
+    trust (both rounded to 12 digits), and allowed otherwise, so without evidence
+    and in a tie too. Null urls and urls
     without `://` have an empty host and path and are allowed; a null html has no
     links. Repeated rows are judged alike. No rows give no rows.
     """
@@ -111,5 +112,6 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     scores = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
     scores = stash(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "scores")
     both = heads.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    graph = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
+    # Sums of doubles differ in their last digits by the order of adding: rounded, equal ones are equal in every run.
+    graph = F.when(F.round("distrust", 12) > F.round(threshold * F.col("trust"), 12), "block").otherwise("allow")
     return both.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", graph).alias("verdict"), "trust", "distrust")
