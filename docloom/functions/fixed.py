@@ -187,3 +187,29 @@ EMPLOYMENT_TERMS = (
     "wrongful termination", "employment discrimination", "feha", "fair employment and housing", "sexual harassment", "hostile work environment", "retaliation", "whistleblower",
     "wage and hour", "unpaid wages", "overtime", "meal break", "rest period", "paga", "private attorneys general", "workers' compensation",
 )
+
+# Reporters of the state. Fixed values.
+STATE_REPORTERS = (
+    "Cal.", "Cal. 2d", "Cal. 3d", "Cal. 4th", "Cal. 5th",
+    "Cal. App.", "Cal. App. 2d", "Cal. App. 3d", "Cal. App. 4th", "Cal. App. 5th",
+    "Cal. App. Supp.", "Cal. App. Supp. 2d", "Cal. App. Supp. 3d", "Cal. App. Supp. 4th", "Cal. App. Supp. 5th",
+    "Cal. Rptr.", "Cal. Rptr. 2d", "Cal. Rptr. 3d", "Cal. Comp. Cases", "Cal. Unrep.",
+)
+# Reporters that case links may name: the state's, their spellings without a space before the series, federal ones.
+CASE_REPORTERS = (*STATE_REPORTERS, "Cal.2d", "Cal.3d", "Cal.4th", "Cal.5th", "Cal.App.2d", "Cal.App.3d", "Cal.App.4th", "Cal.App.5th", "U.S.", "F.2d", "F.3d", "F.4th")
+
+# Categories of each tier of sources. Fixed values.
+TIER_CATEGORIES = {
+    "statutory": ("statutory_code",),
+    "regulatory": ("regulation", "jury_instruction"),
+    "persuasive": ("opinion_letter", "enforcement_manual", "federal_guidance"),
+    "agency": ("agency_guidance", "fact_sheet", "faq", "legal_aid_resource", "poster"),
+    "caselaw": ("case_law",),
+}
+
+# Sections of the general form that only one side asks, and those of persons, entities and vehicles. Fixed values.
+PLAINTIFF_ONLY = tuple(f"16.{i}" for i in range(1, 11))
+ENTITY_SECTIONS = tuple(f"3.{i}" for i in range(1, 8))
+VEHICLE_SECTIONS = tuple(f"20.{i}" for i in range(1, 12))
+# Number words of sets. Fixed values.
+SET_WORDS = ("One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine", "Ten")
