@@ -8,9 +8,37 @@ from pyspark.sql import functions as F
 from docloom.llm.common import dropped, stash
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _downward(links: DataFrame) -> DataFrame:
+    """Links from the larger to the smaller node."""
+    return links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _neighbourhood(edges: DataFrame) -> DataFrame:
+    """u, the least of it and its neighbours, and its numbers of links to smaller and to larger nodes."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = F.least(F.min("v"), F.col("u")).alias("least")
+    return stash(both.groupBy("u").agg(least, F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above")), "least")
+
+
+def _step(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The links after a large and a small star, each once; the tables given are deleted."""
+    # Large star: of every node, the larger neighbours move to the least of it and its neighbours.
+    # (u > v) says all: u is a larger neighbour of v, and moves to v's least. Links may repeat until the step's end.
+    large = edges.join(least.select(F.col("u").alias("at"), "least"), F.col("v") == F.col("at")).select("u", F.col("least").alias("v"))
+    large = stash(large, "large")
+    # Small star: the smaller neighbours of a node, and it, move to the least of them.
+    down = stash(large.groupBy("u").agg(F.min("v").alias("least")), "least")
+    small = large.join(down.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("least").alias("v"))
+    small = _downward(small.unionByName(down.select("u", F.col("least").alias("v"))))
+    after = stash(small.distinct(), "links")
+    dropped(edges, least, large, down)
+    return after
+
+
+def closer(links: DataFrame) -> DataFrame:
+    """Links (u > v) that join what `links` join, after one step towards stars: a group around one node is a star then."""
+    edges = stash(_downward(links), "links")
+    return _step(edges, _neighbourhood(edges))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,28 +50,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     join are shuffled tables whose large partitions Spark splits. The number of
     rounds grows with the logarithm of the longest chain. No links give no rows.
     """
-    edges = stash(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = _signature(edges)
+    edges = stash(_downward(links), "links")
     for _ in range(most_rounds):
-        if not before[0]:
-            break
-        # Large star: of every node, the larger neighbours move to the least of it and its neighbours.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "least")
-        # (u > v) says all: u is a larger neighbour of v, and moves to v's least.
-        large = edges.join(least.withColumnRenamed("u", "at"), F.col("v") == F.col("at")).select("u", F.col("least").alias("v")).distinct()
-        large = stash(large, "large")
-        # Small star: the smaller neighbours of a node, and it, move to the least of them.
-        down = stash(large.groupBy("u").agg(F.min("v").alias("least")), "least")
-        small = large.join(down.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-        small = small.where("u != v").unionByName(down.select("u", F.col("least").alias("v")))
-        old, edges = edges, stash(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        dropped(old, least, large, down)
-        after = _signature(edges)
-        if after == before:
+        least = _neighbourhood(edges)
+        # Settled links are stars: a node has larger neighbours alone, or one smaller neighbour alone.
+        if least.where("below > 1 or (below = 1 and above > 0)").isEmpty():
+            dropped(least)
             break
-        before = after
+        edges = _step(edges, least)
     else:
         raise RuntimeError("components did not settle")
-    # Settled links are stars: each node with its component.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

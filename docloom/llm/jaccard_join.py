@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
 from docloom.llm.common import dropped, partitions, stash
-from docloom.llm.components import components
+from docloom.llm.components import closer, components
 
 SHINGLE = 5
 PERCENT = 80
@@ -226,7 +226,7 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
     places = stash(places, "places")
     groups = places.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     places = stash(places.join(groups, "token").withColumn("component", F.col("key")), "places")
-    links, before = None, None
+    links, before, settled = None, None, False
     while True:
         leads = places.groupBy("token").agg(F.min(F.struct("rank", "key", "n", "rest", "component")).alias("lead"))
         leads = leads.select("token", *[F.col("lead")[c].alias(a) for c, a in (("key", "u"), ("n", "m"), ("rest", "other"), ("component", "component_u"))])
@@ -234,9 +234,16 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
         met = stash(met.select(*columns, "component", "u", "meets"), "met")
         pairs = stash(met.where("meets").select("u", F.col("key").alias("v")).distinct(), "pairs")
         found = verified(pairs, sets, percent, kind)
-        # What hangs together so far goes on as stars, which settle fast.
-        labels = stash(components(found if links is None else links.unionByName(found)), "labels")
-        links = labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        # Rows with one label hang together; that those with two don't is certain only once all is settled.
+        joined = found if links is None else links.unionByName(found)
+        old = links
+        if settled:
+            labels = stash(components(joined), "labels")
+            links = stash(labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
+        else:
+            links = closer(joined)
+            labels = stash(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "labels")
+        dropped(*[t for t in (old,) if t is not None])
         # A leader has met its whole group; what is left there must still span two components.
         left = met.select(*columns).join(labels, met["key"] == labels["node"], "left").select(*columns, F.coalesce("component", "key").alias("component"))
         left = stash(left.withColumn("most", F.expr(f"(100 + {percent}) * rest - {percent} * n")), "left")
@@ -247,11 +254,15 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
         able = left.join(open_, "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
         old, places = places, stash(able.select(*columns, "component"), "places")
         rows, still = places.count(), open_.agg(F.sum("pairs")).first()[0] or 0
-        dropped(old, met, pairs, found, left, open_)
+        dropped(old, met, pairs, found, left, open_, labels)
         if not rows or not still:
             return links
-        if still <= PAIRS_A_ROW * rows or (before and still > LEFT_A_ROUND * before):
+        if still <= PAIRS_A_ROW * rows:
             break
+        if before and still > LEFT_A_ROUND * before:
+            if settled:
+                break
+            settled = True
         before = still
     other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("component").alias("component_v"))
     pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "rest", "other", percent))

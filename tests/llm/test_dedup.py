@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from docloom.llm import exact_dedup, jaccard_join, paragraphs, suffix_dedup, tokens
-from docloom.llm.components import components
+from docloom.llm.components import closer, components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCS = "doc_id long, text string"
@@ -82,6 +82,12 @@ def test_components_of_chains_stars_and_cycles(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == joined(nodes, [x for x in links if x[0] != x[1]])
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    nearer = closer(spark.createDataFrame(links, "u long, v long"))
+    assert nearer.where("u <= v").count() == 0
+    assert {r.node: r.component for r in components(nearer).collect()} == got
+    star = closer(spark.createDataFrame([(50, k) for k in range(100)], "u long, v long"))
+    assert sorted(tuple(r) for r in star.collect()) == [(k, 0) for k in range(1, 100)]
+    assert closer(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 # --- the Jaccard join --------------------------------------------------------
