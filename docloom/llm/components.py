@@ -35,12 +35,6 @@ def _step(edges: DataFrame, least: DataFrame) -> DataFrame:
     return after
 
 
-def closer(links: DataFrame) -> DataFrame:
-    """Links (u > v) that join what `links` join, after one step towards stars: a group around one node is a star then."""
-    edges = stash(_downward(links), "links")
-    return _step(edges, _neighbourhood(edges))
-
-
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node of `links` (u, v: longs, not null).
 
