@@ -20,7 +20,7 @@ def test_query(spark, sf, name):
     assert rows
     if name in queries.ORACLE_SQL:
         duck = duckdb.connect()
-        for t in ("documents", "pages", "labels"):
+        for t in ("documents", "pages", "labels", "benchmark"):
             duck.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
         expected = duck.execute(f"select {', '.join(sorted(found.columns))} from ({queries.ORACLE_SQL[name]})").fetchall()
         assert sorted(map(str, (tuple(r) for r in found.select(sorted(found.columns)).collect()))) == sorted(map(str, expected))
@@ -122,4 +122,4 @@ def test_names_and_oracles():
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 14)]
