@@ -64,9 +64,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int = 50, block: int
     """query_id, id, similarity, rank: the top_k vectors (id, vector) by cosine for each of the queries (query_id, vector).
 
     Queries meet vectors in blocks, a matrix product for each two of them; each
-    keeps its own top_k, so what is shuffled is small rows for each block. Ties go
-    to the lesser id. All vectors must be of one width.
+    keeps its own top_k, so what is shuffled is small rows for each block. Blocks
+    are dealt to a grid of as many squares as there are shuffle partitions: a block
+    of vectors goes to a row's squares, one of queries to a column's, and no side is
+    broadcast for its size alone. Ties go to the lesser id. All vectors must be of
+    one width.
     """
+    squares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = max(1, round((squares / 100) ** 0.5))  # queries are taken to be a hundredth of the vectors
+    across = -(-squares // down)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,8 +82,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int = 50, block: int
                 tops = [np.lexsort((own, -found[:, q]))[:top_k] for q in range(len(asked))]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asked, [len(t) for t in tops]), "id": np.concatenate([own[t] for t in tops]), "similarity": np.concatenate([found[t, q] for q, t in enumerate(tops)])})
 
-    asked = _blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    near = _blocks(vectors, "id", block).crossJoin(asked).mapInArrow(best, _NEAR)
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), dealt(down).alias("down"), each(across).alias("across"))
+    own = _blocks(vectors, "id", block).withColumn("across", dealt(across)).withColumn("down", each(down))
+    near = own.join(asked, ["down", "across"]).mapInArrow(best, _NEAR)
     return ranked(near, F.desc("similarity"), "id").where(F.col("rank") <= top_k)
 
 
@@ -96,7 +105,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     once: its length and its asked terms are written, and counted in place, so
     that only one row a document and asked term is shuffled. `where` chooses rows
     of `docs` before any top-k; counts are of all rows, as an index has them.
-    Ties go to the lesser id.
+    Scores are ranked by nine digits (the order of adding decides further ones); ties
+    go to the lesser id. Null terms are none.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = asked.select("term").distinct()
@@ -104,7 +114,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     few = len(names) <= MOST_TERMS
     hits = F.filter("terms", lambda t: t.isin(names)) if few and names else F.col("terms")
     chosen = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
-    rows = kept(docs.select("id", F.size("terms").alias("dl"), hits.alias("hits"), chosen.alias("chosen")))
+    rows = kept(docs.select("id", F.size(F.coalesce("terms", F.array().cast("array<string>"))).alias("dl"), hits.alias("hits"), chosen.alias("chosen")))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = size["n"], size["avgdl"] or 1.0
     tf = rows.where(F.size("hits") > 0).select("id", "dl", "chosen", "hits", F.explode(F.array_distinct("hits")).alias("term"))
@@ -114,7 +124,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
     scored = tf.where("chosen").join(df, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
-    return ranked(scored, F.desc("score"), "id").where(F.col("rank") <= top_k)
+    return ranked(scored, F.desc(F.round("score", 9)), "id").where(F.col("rank") <= top_k)
 
 
 def fused(lists: list[DataFrame], k: int = 60, top_k: int = 50) -> DataFrame:
