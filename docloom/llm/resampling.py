@@ -17,7 +17,7 @@ SEED = "2024"
 LEAST_WORDS = 20
 PERCENT = 10
 #: Features that make up 1 / FREQUENT of all occurrences or more: FREQUENT at most, so they may go to every task.
-FREQUENT = 8192
+FREQUENT = 131_072
 #: Features of one row of counts: a text with more has several rows.
 FEATURES_A_ROW = 4096
 #: Bytes of a text that are cut into words at a time, and distinct features that are held before they are given out.
