@@ -304,47 +304,92 @@ def rule_by_hand(host, path):
     return (best[1] + best[2], best[0]) if best else (None, None)
 
 
-def ranks_by_hand(edges, seeds, damping=0.85, rounds=10):
-    total, ranks = Counter(), dict(seeds)
-    for (a, _), w in edges.items():
-        total[a] += w
-    for _ in range(rounds):
-        new = {h: (1 - damping) * m for h, m in seeds.items()}
-        for (a, b), w in edges.items():
-            if a in ranks:
-                new[b] = new.get(b, 0) + damping * ranks[a] * w / total[a]
-        ranks = new
-    return ranks
+def ranks_by_hand(edges, seeds, damping=0.85):
+    """Mass of hosts without edges goes back to the seeds; 400 rounds."""
+    hosts = sorted({h for e in edges for h in e} | set(seeds))
+    if not seeds:
+        return {}
+    at = {h: i for i, h in enumerate(hosts)}
+    step, start = np.zeros((len(hosts), len(hosts))), np.array([seeds.get(h, 0.0) for h in hosts])
+    for (a, b), w in edges.items():
+        step[at[b], at[a]] += w
+    total = step.sum(axis=0)
+    step = np.where(total > 0, step / np.maximum(total, 1e-300), start[:, None])
+    ranks = start
+    for _ in range(400):
+        ranks = damping * step @ ranks + (1 - damping) * start
+    return dict(zip(hosts, ranks))
+
+
+LINK = r"""(?i)(?:href|src)=["']((?:[a-z]+:)?//[^"']*)"""
+
+
+def verdicts_by_hand(rows):
+    """(id, host, path, rule, verdict, margin) from the contract: seeds are whatever the rules decide on, fetched or not."""
+    edges, seeds = Counter(), {"allow": Counter(), "block": Counter()}
 
+    def judge(host, path, n=1):
+        if host and rule_by_hand(host, path)[1]:
+            seeds[rule_by_hand(host, path)[1]][host] += n
 
-def test_url_verdicts(table):
-    rng = random.Random(6)
-    hosts = ["net", "a.net", "example.net", "x.example.net", "EXAMPLE.com", "example.com", "b.org", "c.info", "d.info", "e.info", "f.info", "notnet", "Éx.info"]
-    url = lambda: f"{rng.choice(['http', 'HTTPS', ''])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/a', '/de/b?q=/fr/', '/fr/#x', '?x://y', '#z'])}"
-    link = lambda: rng.choice([f'<a href="{url()}">', f"<img SRC='//{rng.choice(hosts)}/i'>", '<a href="/local">'])
-    rows = [(i, url(), "".join(link() for _ in range(rng.randint(0, 4)))) for i in range(150)]
-    rows += [(200, None, None), (201, "", ""), (202, "no scheme.net/", "x"), (203, "a://", None), (204, "http://b.org\n/fr/", ""), (203, "a://", None)]
-    edges, seeds = Counter(), {"allow": Counter(), "block": Counter()}
+    every = set()
     for _, u, html in rows:
         host, path = split_by_hand(u)
-        if rule_by_hand(host, path)[1] and host:
-            seeds[rule_by_hand(host, path)[1]][host] += 1
-        found = {t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for t in re.findall(r"""(?i)(?:href|src)=["'](?:[a-z]+:)?//([^/?#"']+)""", html or "")}
-        for to in found:
-            if host and to and host != to:
-                edges[host, to] += 1
+        judge(host, path)
+        every.add(host)
+        links = {split_by_hand(t if "://" in t else "http:" + t) for t in re.findall(LINK, html or "")}
+        links = {(to, way) for to, way in links if host and to and to != host}
+        every |= {to for to, _ in links}
+        for to, verdict in {(to, rule_by_hand(to, way)[1]) for to, way in links}:
+            edges[host, to] += 1
+            if verdict:
+                seeds[verdict][to] += 1
+    for host in every:
+        judge(host, "/")
     masses = {k: {h: n / sum(c.values()) for h, n in c.items()} for k, c in seeds.items()}
     trust = ranks_by_hand(edges, masses["allow"])
     distrust = ranks_by_hand({(b, a): w for (a, b), w in edges.items()}, masses["block"])
-    expected = []
+    out = []
     for i, u, _ in rows:
         host, path = split_by_hand(u)
         rule, verdict = rule_by_hand(host, path)
-        expected.append((i, host, path, rule, verdict or ("block" if distrust.get(host, 0) > trust.get(host, 0) else "allow")))
-    got = urls.url_verdicts(table(rows, "page_id long, url string, html string"))
-    assert sorted(map(str, (tuple(r)[:5] for r in got.collect()))) == sorted(map(str, expected))
+        margin = distrust.get(host, 0) - trust.get(host, 0)
+        out.append((i, host, path, rule, verdict or ("block" if margin > 1e-9 else "allow"), margin))
+    return out
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_url_verdicts(table):
+    rng = random.Random(6)
+    hosts = ["net", "a.net", "example.net", "x.example.net", "EXAMPLE.com", "example.com", "b.org", "c.info", "d.info", "e.info", "f.info", "notnet", "Éx.info"]
+    url = lambda: f"{rng.choice(['http', 'HTTPS', ''])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/a', '/de/b?q=/fr/', '/fr/#x', '?x://y', '#z'])}"
+    link = lambda: rng.choice([f'<a href="{url()}">', f"<img SRC='//{rng.choice(hosts)}/i'>", '<a href="/local">'])
+    rows = [(i, url(), "".join(link() for _ in range(rng.randint(0, 4)))) for i in range(150)]
+    rows = [(i, u, h.replace('href="://', 'href="http://')) for i, u, h in rows]
+    rows += [(200, None, None), (201, "", ""), (202, "no scheme.net/", "x"), (203, "a://", None), (204, "http://b.org\n/fr/", ""), (203, "a://", None)]
+    expected = verdicts_by_hand(rows)
+    assert all(abs(e[5]) > 1e-5 or e[5] == 0 for e in expected if e[3] is None)
+    got = urls.url_verdicts(table(rows, PAGES))
+    assert sorted(map(str, (tuple(r)[:5] for r in got.collect()))) == sorted(map(str, (e[:5] for e in expected)))
     assert {"allow", "block"} == {e[4] for e in expected if e[3] is None}
-    assert urls.url_verdicts(table([], "page_id long, url string, html string")).count() == 0
+    assert urls.url_verdicts(table([], PAGES)).count() == 0
+
+
+def test_distrust_starts_at_blocked_hosts_that_were_not_fetched(table):
+    rows = [(1, "http://c.info/", '<a href="http://evil.net/x">'), (2, "http://d.info/", '<a href="http://c.info/y">'), (3, "http://e.info/", ""), (4, "http://f.info/", '<a href="http://example.com/de/1">')]
+    got = {r.page_id: r for r in urls.url_verdicts(table(rows, PAGES)).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "block"}
+    assert got[1].distrust > got[2].distrust > 0
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(table):
+    rows = [(i, f"http://h{i}.info/", f'<a href="http://{"evil.net" if i == 0 else f"h{i - 1}.info"}/">') for i in range(15)]
+    got = {r.page_id: r for r in urls.url_verdicts(table(rows, PAGES)).collect()}
+    hand = {e[0]: e for e in verdicts_by_hand(rows)}
+    for i, r in got.items():
+        assert r.verdict == "block" and r.distrust == pytest.approx(hand[i][5], abs=1e-6)
 
 
 def test_native_operators_use_no_python(spark, sf):
