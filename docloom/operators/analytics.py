@@ -195,6 +195,6 @@ def checks(figures: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def bars(rows: DataFrame, value: str, width: int = 30) -> DataFrame:
-    """Rows with the length of a bar in proportion to the greatest value."""
-    most = F.max(value).over(Window.partitionBy(F.lit(0)))
-    return rows.withColumn("bar", F.when(most > 0, F.floor(F.col(value) / most * width)).otherwise(0).cast("int"))
+    """Rows with the length of a bar in proportion to the greatest value, which is found first (one number)."""
+    most = rows.agg(F.max(value)).first()[0] or 0
+    return rows.withColumn("bar", (F.floor(F.col(value) / most * width) if most > 0 else F.lit(0)).cast("int"))

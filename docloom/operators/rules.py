@@ -98,3 +98,30 @@ def selected(requests: DataFrame, by: str, limit: int = 35) -> DataFrame:
     """Per group the number of selected requests and whether it exceeds the limit."""
     n = F.count_if("is_selected")
     return requests.groupBy(by).agg(n.alias("n_selected"), (n > limit).alias("exceeds_limit"))
+
+
+def item_totals(items: DataFrame, key: str) -> DataFrame:
+    """key, total, n: the sum of amounts that were rounded one by one, so that the total is that of the lines shown."""
+    return items.groupBy(key).agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def definitions(cases: DataFrame, bank: DataFrame, employee: str = "employee", employer: str = "employer") -> DataFrame:
+    """cases with ordinal, term, definition: each term of the bank (ordinal, term, template), the parties' names in place of {EMPLOYEE} and {EMPLOYER}.
+
+    The bank travels as one array in each row's plan (a few terms, collected), so
+    every case meets every term without a join. A party without a name stands as
+    [EMPLOYEE NAME] or [EMPLOYER NAME].
+    """
+    terms = [F.struct(F.lit(r["ordinal"]).alias("ordinal"), F.lit(r["term"]).alias("term"), F.lit(r["template"]).alias("template")) for r in bank.orderBy("ordinal").collect()]
+    each = cases.withColumn("_t", F.explode(F.array(*terms)))
+    name = lambda c, default: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default))
+    told = F.replace(F.replace(F.col("_t.template"), F.lit("{EMPLOYEE}"), name(employee, "[EMPLOYEE NAME]")), F.lit("{EMPLOYER}"), name(employer, "[EMPLOYER NAME]"))
+    return each.select(*cases.columns, "_t.ordinal", "_t.term", told.alias("definition"))
+
+
+def incident_guides(incidents: DataFrame, guides: DataFrame, fields: DataFrame, by: str = "type") -> DataFrame:
+    """Incidents with their type's guide: the guide's columns and its fields (type, ordinal, others) as an array in order; null without a guide."""
+    others = [c for c in fields.columns if c != by]
+    gathered = fields.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("_fields"))
+    whole = guides.join(gathered, by, "left").withColumn("fields", F.coalesce("_fields", F.array().cast(gathered.schema["_fields"].dataType))).drop("_fields")
+    return incidents.join(whole, by, "left")

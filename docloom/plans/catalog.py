@@ -364,9 +364,11 @@ def mode_distribution(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT md5(substr(text, 1, 9)) AS hash, role, count(*) AS n FROM conversations GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, hash, role LIMIT 20")
+@query(r"SELECT md5(regexp_replace(lower(trim(coalesce(text, ''), ' ')), '[ \t\n\r]+', ' ', 'g')) AS hash, lang AS role, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, hash, role NULLS FIRST LIMIT 20")
 def repeated_questions(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.md5(F.substring("text", 1, 9)).alias("hash"), "role")
+    """The whole texts, white space and case aside, that occur most."""
+    whole = F.regexp_replace(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"[ \t\n\r]+", " ")
+    rows = table(spark, sf_dir, "documents").select(F.md5(whole).alias("hash"), F.col("lang").alias("role"))
     return analytics.repeated(rows, ["hash", "role"])
 
 
@@ -629,17 +631,19 @@ def filing_deadlines(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT o_orderkey AS k, CAST(15 + o_custkey % 40 AS DECIMAL(12,4)) + CAST(0.125 AS DECIMAL(12,4)) AS rate, CAST(o_orderkey % 60 AS DECIMAL(12,4)) AS hours, o_custkey % 3 AS st,
-  CAST(o_orderdate AS DATE) AS term, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + (o_orderkey % 50)::INT END AS paid, o_custkey % 4 AS meal, CAST(o_orderdate AS DATE) - 10 AS since FROM orders),
+  CAST(o_orderdate AS DATE) AS term, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + (o_orderkey % 50)::INT END AS paid, o_custkey % 4 AS meal, o_custkey % 5 AS rest, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) - 10 END AS since FROM orders),
 d AS (SELECT *, greatest(0, least(30, date_diff('day', CASE WHEN st = 1 THEN term + 3 ELSE term END, coalesce(paid, DATE '1999-01-01')))) AS late, date_diff('day', since, DATE '1999-01-01') AS days FROM c)
 SELECT k, 'unpaid_wages' AS category, CAST(round(rate * hours, 2) AS DOUBLE) AS amount FROM d
 UNION ALL SELECT k, 'meal_break_premium', CAST(round(rate * meal, 2) AS DOUBLE) FROM d WHERE meal > 0
+UNION ALL SELECT k, 'rest_break_premium', CAST(round(rate * rest, 2) AS DOUBLE) FROM d WHERE rest > 0
+UNION ALL SELECT k, 'interest', ((rate * 10000)::HUGEINT * (hours * 10000)::HUGEINT * days * 200 + 365000000000) // 730000000000 / 100.0::DOUBLE FROM d WHERE since IS NOT NULL AND rate * hours > 0 AND days > 0
 UNION ALL SELECT k, 'waiting_time_penalty', CAST(round(rate * 8 * late, 2) AS DOUBLE) FROM d WHERE st <> 0""")
 def unpaid_wages(spark, sf_dir):
     day = F.to_date("o_orderdate")
     claims = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"), ((F.lit(15) + F.col("o_custkey") % 40).cast("decimal(12,4)") + F.lit("0.125").cast("decimal(12,4)")).cast("decimal(12,4)").alias("hourly_rate"), (F.col("o_orderkey") % 60).cast("decimal(12,4)").alias("unpaid_hours"),
         F.when(F.col("o_custkey") % 3 == 0, "still_employed").when(F.col("o_custkey") % 3 == 1, "quit_without_notice").otherwise("terminated").alias("employment_status"), day.alias("termination_date"),
-        F.when(F.col("o_custkey") % 2 == 0, F.date_add(day, (F.col("o_orderkey") % 50).cast("int"))).alias("paid_date"), (F.col("o_custkey") % 4).cast("int").alias("meal_breaks"), F.lit(0).alias("rest_breaks"), F.lit(None).cast("date").alias("unpaid_since"), F.lit("1999-01-01").cast("date").alias("as_of"),
+        F.when(F.col("o_custkey") % 2 == 0, F.date_add(day, (F.col("o_orderkey") % 50).cast("int"))).alias("paid_date"), (F.col("o_custkey") % 4).cast("int").alias("meal_breaks"), (F.col("o_custkey") % 5).cast("int").alias("rest_breaks"), F.when(F.col("o_orderkey") % 3 > 0, F.date_sub(day, 10)).alias("unpaid_since"), F.lit("1999-01-01").cast("date").alias("as_of"),
     )
     return rules.wage_items(claims, "k").withColumn("amount", F.col("amount").cast("double"))
 
@@ -697,13 +701,15 @@ def selection_limits(spark, sf_dir):
 # --- graphs, segments and sets -----------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 2) % 2000 AS dst FROM part UNION SELECT p_partkey, (p_partkey * 2 + 1) % 2000 FROM part),
-w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, level + 1 FROM w JOIN e ON src = node WHERE level < 6)
+@query("""WITH RECURSIVE s AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 3 + x) % n AS dst FROM part, s, (VALUES (0), (1)) AS t(x)),
+w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, level + 1 FROM w JOIN e ON src = node WHERE level < 40)
 SELECT node, min(level) AS level FROM w GROUP BY node""")
 def crawl_frontier(spark, sf_dir):
+    """All parts that links lead to from one, level by level until nothing new is found."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
-    links = part.withColumn("dst", (F.col("src") * 2) % 2000).union(part.withColumn("dst", (F.col("src") * 2 + 1) % 2000))
-    return graph.frontier(links, spark.createDataFrame([(1,)], "node long"), most_levels=6)
+    n = part.count()
+    links = part.withColumn("dst", (F.col("src") * 3) % n).union(part.withColumn("dst", (F.col("src") * 3 + 1) % n))
+    return graph.frontier(links, spark.createDataFrame([(1,)], "node long"))
 
 
 @query("""SELECT r_regionkey AS id, 0 AS depth, r_name AS path FROM region UNION ALL SELECT 100 + n_nationkey, 1, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -744,15 +750,15 @@ def set_algebra(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("flags"))
 
 
-@query()
+@query("""SELECT user_id, array_to_string(list_reduce(list_transform(list(event_id ORDER BY event_id), lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= 500 THEN acc || x ELSE acc END), ',') AS kept FROM events GROUP BY user_id""")
 def greedy_spacing(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("positions"))
     return rows.select("user_id", F.array_join(graph.spaced(F.col("positions"), 500).cast("array<string>"), ",").alias("kept"))
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 25")
 def seeded_sample(spark, sf_dir):
-    return table(spark, sf_dir, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(25).select("doc_id")
+    return table(spark, sf_dir, "documents").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(25).select("doc_id")
 
 
 # --- state -------------------------------------------------------------------

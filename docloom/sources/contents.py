@@ -148,3 +148,9 @@ def regulation_sections(pages: DataFrame, articles: DataFrame, title: str, name:
     article = F.coalesce(F.concat(F.lit("Art. "), F.col("_a._number").cast("string"), F.lit(" ("), F.col("_a._name"), F.lit(")")), F.lit("Unknown"))
     path = heading_path(F.lit(title), F.lit(name), article, F.concat(F.lit("§ "), "section_number", F.lit(" "), "section_title"))
     return both.select("section_number", "section_title", "text", article.alias("article"), path.alias("heading_path"), F.concat(F.lit(f"{code} § "), "section_number").alias("citation"))
+
+
+def newest(paths: DataFrame, pattern: str = r"") -> DataFrame:
+    """folder, newest: of the files (path) of each folder whose names fit the pattern, the one whose name sorts last; null where none fits."""
+    name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_replace("path", r"/[^/]*$", "")
+    return paths.select(folder.alias("folder"), F.when(name.rlike(pattern), name).alias("name")).groupBy("folder").agg(F.max("name").alias("newest"))

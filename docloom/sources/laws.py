@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
-from docloom.functions.text import subdivisions, tags_stripped
+from docloom.functions.text import heading_path, subdivisions, tags_stripped
 from docloom.operators.graph import without_adjacent_repeats
 from docloom.operators.store import latest
 
@@ -189,3 +189,27 @@ def relevant_opinions(searches: list[DataFrame], key: str = "cluster_id", text:
     counts = judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
     accepted = judged.where("outcome = 'accepted'").drop("outcome")
     return (accepted.orderBy("search", key).limit(most) if most else accepted), counts
+
+
+def html_text(html: Column) -> Column:
+    """The text of HTML: blocks are lines, tags within a line are nothing, white space is one space, references are characters."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<(script|style)[^>]*>.*?</\1>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6])\b[^>]*>", "\n")
+    out = F.regexp_replace(out, r"<[^>]*>", "")
+    for code, char in (("&nbsp;", " "), ("&sect;", "§"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", "")
+
+
+def archive_statutes(sections: DataFrame, base: str = "") -> DataFrame:
+    """Rows of an archive (`files.law_sections`) with text, citation, subdivisions, hierarchy, amendment and source_url.
+
+    Text is that of the HTML; rows without any are left out. Levels that are
+    given read `Division 2`, joined from the highest on; an empty history is none.
+    """
+    told = sections.withColumn("text", html_text(F.col("html"))).where(F.trim("text") != "")
+    level = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{c.title()} "), F.col(c)))
+    return told.withColumns({
+        "citation": citation_of(F.col("law_code"), F.col("section_num")), "subdivisions": subdivisions(F.col("text")), "hierarchy": heading_path(*map(level, ("division", "title", "part", "chapter", "article"))), "amendment": F.nullif("history", F.lit("")),
+        "source_url": F.concat(F.lit(f"{base}/faces/codes_displaySection.xhtml?lawCode="), "law_code", F.lit("&sectionNum="), "section_num"),
+    }).drop("html", "history")

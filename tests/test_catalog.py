@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from docloom.plans import catalog, catalog_cases, catalog_more, catalog_sources, registry  # noqa: F401
+from docloom.plans import catalog, catalog_cases, catalog_extend, catalog_more, catalog_sources, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
