@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import dropped, stash
+from docloom.llm.common import dropped, gathered, stash
 
 
 def _downward(links: DataFrame) -> DataFrame:
@@ -15,7 +15,9 @@ def _downward(links: DataFrame) -> DataFrame:
 
 def _neighbourhood(edges: DataFrame) -> DataFrame:
     """u, the least of it and its neighbours, and its numbers of links to smaller and to larger nodes."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges = gathered(edges)
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = edges.select(ends.alias("e")).select("e.u", "e.v")
     least = F.least(F.min("v"), F.col("u")).alias("least")
     return stash(both.groupBy("u").agg(least, F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above")), "least")
 
@@ -24,12 +26,14 @@ def _step(edges: DataFrame, least: DataFrame) -> DataFrame:
     """The links after a large and a small star, each once; the tables given are deleted."""
     # Large star: of every node, the larger neighbours move to the least of it and its neighbours.
     # (u > v) says all: u is a larger neighbour of v, and moves to v's least. Links may repeat until the step's end.
-    large = edges.join(least.select(F.col("u").alias("at"), "least"), F.col("v") == F.col("at")).select("u", F.col("least").alias("v"))
+    large = gathered(edges).join(gathered(least).select(F.col("u").alias("at"), "least"), F.col("v") == F.col("at")).select("u", F.col("least").alias("v"))
     large = stash(large, "large")
     # Small star: the smaller neighbours of a node, and it, move to the least of them.
-    down = stash(large.groupBy("u").agg(F.min("v").alias("least")), "least")
-    small = large.join(down.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-    small = _downward(small.unionByName(down.select("u", F.col("least").alias("v"))))
+    down = stash(gathered(large).groupBy("u").agg(F.min("v").alias("least")), "least")
+    small = gathered(large).join(gathered(down).withColumnRenamed("u", "at"), F.col("u") == F.col("at")).select("at", F.col("v").alias("u"), F.col("least").alias("v"))
+    # A node's own link to its least comes with each of its links; the step's end makes them one.
+    own = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("at").alias("u"), "v")))
+    small = _downward(small.select(own.alias("e")).select("e.u", "e.v"))
     after = stash(small.distinct(), "links")
     dropped(edges, least, large, down)
     return after

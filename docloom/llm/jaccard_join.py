@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
-from docloom.llm.common import dropped, partitions, stash
+from docloom.llm.common import dropped, gathered, partitions, sent, stash
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -196,12 +196,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, kind: ty
     The filter of the first order is what made the pairs, so its prefixes stay behind. Sets in no pair are left out
     before the pairs meet them.
     """
-    asked = pairs.select(F.col("u").alias("asked")).unionByName(pairs.select(F.col("v").alias("asked"))).distinct()
-    some = sets.join(asked, sets["key"] == asked["asked"], "left_semi")
+    asked = gathered(pairs).select(F.explode(F.array("u", "v")).alias("asked")).distinct()
+    some = sets.join(sent(asked, pairs), sets["key"] == F.col("asked"), "left_semi")
     some = stash(some.select("key", "n", "tokens", F.slice("prefixes", 2, 1_000).alias("prefixes")), "asked")
     other = some.select(*[F.col(c).alias(c if c == "key" else f"{c}_b") for c in some.columns])
-    both = pairs.join(other, pairs["v"] == other["key"]).drop("key")
-    both = both.join(some, both["u"] == some["key"]).drop("key")
+    both = other.join(sent(pairs), F.col("key") == F.col("v")).drop("key")
+    both = both.join(sent(some), both["u"] == some["key"]).drop("key")
     found = stash(both.mapInArrow(lambda b: _verify(b, percent, kind), "u long, v long"), "near")
     dropped(some)
     return found
@@ -225,34 +225,36 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
     places = sets.select("key", "n", "shared", "rank", "prefixes").mapInArrow(_explode, ", ".join(f"{c} long" for c in columns))
     places = stash(places, "places")
     groups = places.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    places = stash(places.join(groups, "token").withColumn("component", F.col("key")), "places")
+    table = stash(places.join(groups, "token").withColumn("component", F.col("key")), "places")
     links, before = None, None
     while True:
+        places = gathered(table)
         leads = places.groupBy("token").agg(F.min(F.struct("rank", "key", "n", "rest", "component")).alias("lead"))
         leads = leads.select("token", *[F.col("lead")[c].alias(a) for c, a in (("key", "u"), ("n", "m"), ("rest", "other"), ("component", "component_u"))])
         met = places.join(leads, "token").where("key != u").withColumn("meets", F.expr(f"component != component_u and {_can_link('n', 'm', 'rest', 'other', percent)}"))
         met = stash(met.select(*columns, "component", "u", "meets"), "met")
-        pairs = stash(met.where("meets").select("u", F.col("key").alias("v")).distinct(), "pairs")
+        pairs = stash(gathered(met).where("meets").select("u", F.col("key").alias("v")).distinct(), "pairs")
         found = verified(pairs, sets, percent, kind)
         # What hangs together so far goes on as stars, which settle fast.
         labels = stash(components(found if links is None else links.unionByName(found)), "labels")
         links = labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         # A leader has met its whole group; what is left there must still span two components.
-        left = met.select(*columns).join(labels, met["key"] == labels["node"], "left").select(*columns, F.coalesce("component", "key").alias("component"))
+        left = gathered(met).select(*columns).join(gathered(labels), F.col("key") == F.col("node"), "left").select(*columns, F.coalesce("component", "key").alias("component"))
         left = stash(left.withColumn("most", F.expr(f"(100 + {percent}) * rest - {percent} * n")), "left")
         # Of any two that can link, `most` of each is at least percent * n of the other.
-        each = left.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("most").alias("most"), F.min("n").alias("n"))
+        each = gathered(left).groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("most").alias("most"), F.min("n").alias("n"))
         open_ = each.groupBy("token").agg(F.max("most").alias("most_of"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("parts"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
         open_ = stash(open_.where("parts > 1"), "open")
-        able = left.join(open_, "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
-        old, places = places, stash(able.select(*columns, "component"), "places")
-        rows, still = places.count(), open_.agg(F.sum("pairs")).first()[0] or 0
+        able = gathered(left).join(gathered(open_), "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
+        old, table = table, stash(able.select(*columns, "component"), "places")
+        rows, still = table.count(), open_.agg(F.sum("pairs")).first()[0] or 0
         dropped(old, met, pairs, found, left, open_)
         if not rows or not still:
             return links
         if still <= PAIRS_A_ROW * rows or (before and still > LEFT_A_ROUND * before):
             break
         before = still
+    places = gathered(table)
     other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("component").alias("component_v"))
     pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "rest", "other", percent))
     pairs = stash(pairs.select(F.col("key").alias("u"), "v").distinct(), "pairs")
