@@ -86,16 +86,18 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     past its size where the run ends and starts in the same document (words then
     count from 0 again). taken is passes * size plus that rest.
 
-    Rows with a null id are placed like any other. Empty documents get taken 0.
+    Rows with a null id are placed by their text. Empty documents get taken 0.
     Rows that repeat are separate rows; a `key_col` that tells them apart comes
     along. No rows give no rows.
     """
     keys = [F.col(key_col).alias("row_key")] if key_col else []
-    sized = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keys), "sizes")
+    # Rows without an id are told apart by their text, or all would fall into one shard.
+    salt = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0)
+    sized = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), salt.alias("salt"), *keys), "sizes")
     targets = stash(source_targets(sized, weights), "targets")
     shards = F.greatest(F.ceil(F.col("source_size") / shard_tokens), F.lit(1))
     placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), shards)).withColumn("order", F.xxhash64("id", F.lit(seed + 1)))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)).bitwiseXOR(F.col("salt")), shards)).withColumn("order", F.xxhash64("id", F.lit(seed + 1)).bitwiseXOR(F.col("salt")))
 
     blocks = F.ceil(F.col("shard_size") / block_tokens)
     by_shard = stash(placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("target")), "shards")

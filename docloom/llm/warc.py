@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import shared_dir, stash
 
 CRLF = "\r\n"
-RECORDS_PER_FILE = 2000
+#: (payload bytes up to, records a file): a file has some 128 MB before compression, or one record.
+FILES = ((1 << 16, 2000), (1 << 20, 128), (1 << 24, 8), (1 << 62, 1))
 READ = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PARSED = "id long, record_type string, uri string, digest_said string, refers_to_said long, payload binary"
@@ -69,16 +70,25 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Payloads are in UTF-8; null counts as empty. A null url is written empty;
     white space and control characters in one become %20. Rows that repeat both
-    id and payload are written once each. No rows give an empty folder.
+    id and payload are written once each, under one record id. No rows give an
+    empty folder. Records are written by the class of their payload's size (FILES), each
+    class with so many records a file that no file holds more than some 128 MB, but
+    for a single longer record; a class that has no records is passed over.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     headers = pages.select(F.col(id_col).alias("id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     decided = resolve_revisits(headers, min_bytes)
     # Repeated rows meet themselves in the join; the count of rows is restored by numbering them alike.
     decided = decided.distinct()
-    records = warc_records(pages, decided, id_col, url_col, payload_col)
-    # Each record ends in CRLF, and so does each line that the writer adds: two of them close a record.
-    records.write.option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    size, below = F.octet_length(payload), 0
+    there = headers.agg(*[F.max((F.col("bytes") > low) & (F.col("bytes") <= most)) for (low, _), (most, _) in zip(((-1, 0), *FILES), FILES)]).first()
+    for (most, records_per_file), some in zip(FILES, there):
+        if some or not below:
+            own = pages.where((size > below if below else F.lit(True)) & (size <= most))
+            records = warc_records(own, decided.where((F.col("bytes") > below if below else F.lit(True)) & (F.col("bytes") <= most)), id_col, url_col, payload_col)
+            # Each record ends in CRLF, and so does each line that the writer adds: two of them close a record.
+            records.write.mode("append").option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+        below = most
 
 
 def _inflated(data: memoryview) -> Iterator[bytes]:
@@ -147,7 +157,7 @@ _ARROW = pa.schema([("id", pa.int64()), ("record_type", pa.string()), ("uri", pa
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under `path`, payloads as they stand there (null for revisits).
 
-    Files are bounded by the number of records the writer puts in one.
+    Files are bounded by the number of records that the writer puts in one for their size.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parse_files, _PARSED)

@@ -399,3 +399,39 @@ def test_native_operators_use_no_python(spark, sf):
     for name in ("op2_exact_dedup", "op9_url_filters"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|MapPartitions", plan)
+
+
+# --- files by bytes, rows without ids ---------------------------------------
+
+
+def test_archive_files_are_bounded_by_bytes(table, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILES", ((100, 5), (1000, 2), (1 << 62, 1)))
+    rng = random.Random(2)
+    rows = [(i, f"http://h/{i}", "x" * rng.choice([0, 50, 100, 101, 700, 1000, 1001, 30_000]) + str(i % 40)) for i in range(80)] + [(3, "http://h/3", None)]
+    pages = table(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"), min_bytes=200)
+    sizes = []
+    for name in (tmp_path / "w").glob("*.gz"):
+        kinds = [f["warc-type"] == "response" and int(f["content-length"]) for f, _ in warc.parse_warc(warc._inflated(memoryview(name.read_bytes())))]
+        sizes.append(len(kinds))
+        assert len(kinds) <= 5 and (len(kinds) == 1 or max(kinds) < 1200)
+    assert sum(sizes) == len(rows)
+    got = Counter(tuple(r) for r in warc.resolved(warc.read_warc(pages.sparkSession, str(tmp_path / "w"))).collect())
+    want = Counter()
+    best = {}
+    for i, _, html in rows:
+        best[html or ""] = max(best.get(html or "", -1), i)
+    for i, _, html in rows:
+        html = html or ""
+        revisit = len(html) >= 200 and best[html] != i
+        want[(i, len(html), hashlib.sha1(html.encode()).hexdigest(), "revisit" if revisit else "response", best[html] if revisit else None)] += 1
+    assert got == want
+
+
+def test_rows_without_ids_are_spread(table):
+    rows = [(None, f"w{i} " * 50, "s") for i in range(400)]
+    docs = table(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(docs, shard_tokens=1000)
+    assert sum(r.taken for r in plan.collect()) == pytest.approx(400 * 50 * 1.5, rel=0.05)  # blocks of 64 words in shards of 1000
+    salted = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(17)).bitwiseXOR(F.xxhash64("text")), F.lit(20)).alias("shard")).groupBy("shard").count()
+    assert salted.count() == 20
