@@ -1,225 +1,314 @@
-"""Texts into chunks. Packing is a fold over parts, so it runs in Arrow batches; all else is in Spark.
+"""Texts into chunks: texts are cut, measured and joined by SQL functions; only the sizes of parts go through a fold.
 
-Chunks are array<struct<content, heading_path, chunk_index, token_count>>; their
-hash is a column function on the exploded rows.
+A fold over sizes (whole numbers, in Arrow batches) says which parts make a
+chunk; no text leaves the JVM, and nothing is shuffled: all parts of a text stay in
+its row until they are exploded in order.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import content_hash
 
-SCHEMA = "array<struct<content:string,heading_path:string,chunk_index:int,token_count:int>>"
+_RUNS = "array<struct<first:int,last:int,named:int>>"
 
 
-def size_of(text: str) -> int:
-    return max(1, len(text) // 4)
+def tokens(text: Column) -> Column:
+    """A quarter of the characters, 1 at least."""
+    return F.greatest(F.lit(1), (F.length(text) / 4).cast("int"))
 
 
-def packed(parts: list[str], joint: str, limit: int, overlap: int, oversize: Callable[[str], list[str]], seed: int = 0, first: int = 0, strict: bool = True) -> Iterator[tuple[str, bool]]:
-    """(chunk, whether it was packed): parts in order, packed up to `limit` tokens.
+# --- folds over sizes --------------------------------------------------------
 
-    A closed chunk's last parts, up to `overlap` tokens, begin the next one, which
-    counts `seed` more tokens. A part over the limit is handed to `oversize`; with
-    `strict` it first closes what is open, without it only an empty buffer does so.
+#: What becomes of a part over the limit: it is cut further after what is open was closed (STRICT), only where nothing is open (LOOSE), or never (NEVER).
+STRICT, LOOSE, NEVER = 0, 1, 2
+
+
+def runs_of(sizes: Iterable[int], limit: int, overlap: int, seed: int, how: int) -> list[tuple[int, int, int]]:
+    """(first, last, 1 if the part is to be cut further): parts packed in order up to `limit`.
+
+    A closed chunk's last parts, up to `overlap`, begin the next one, which counts
+    `seed` more.
     """
-    held: list[str] = []
-    used = first
-    for part in parts:
-        n = size_of(part)
-        if n > limit and (strict or not held):
+    sizes, out = list(sizes), []
+    first, used = 0, 0
+    held = 0  # parts of the open chunk, that end before i
+    for i, n in enumerate(sizes):
+        if n > limit and (how == STRICT or how == LOOSE and not held):
             if held:
-                yield joint.join(held), True
-            held, used = [], 0
-            for piece in oversize(part):
-                yield piece, False
+                out.append((first, i - 1, 0))
+            out.append((i, i, 1))
+            held, used = 0, 0
             continue
         if held and used + n > limit:
-            yield joint.join(held), True
-            tail: list[str] = []
-            spare = overlap
-            for back in reversed(held):
-                if size_of(back) > spare:
-                    break
-                tail.insert(0, back)
-                spare -= size_of(back)
-            held, used = tail, overlap - spare + seed
-        held.append(part)
+            out.append((first, i - 1, 0))
+            spare, start = overlap, i
+            while start > first and sizes[start - 1] <= spare:
+                start -= 1
+                spare -= sizes[start]
+            held, first, used = i - start, start, overlap - spare + seed
+        if not held:
+            first = i
+        held += 1
         used += n
     if held:
-        yield joint.join(held), True
+        out.append((first, len(sizes) - 1, 0))
+    return out
 
 
-def windows(text: str, limit: int) -> list[str]:
-    return [text[i : i + 4 * limit] for i in range(0, len(text), 4 * limit)]
+def merged_sections(lengths: Iterable[int], least: int, limit: int) -> list[tuple[int, int, int]]:
+    """(first, last, the section that names it): one that is under `least` when it comes takes in the next ones while they fit."""
+    size = lambda n: max(1, n // 4)
+    out: list[list[int]] = []
+    joined, open_ = 0, False
+    for i, n in enumerate(lengths):
+        if open_ and size(joined + 2 + n) <= limit:
+            if size(n) > size(joined):
+                out[-1][2] = i
+            out[-1][1] = i
+            joined += 2 + n
+            continue
+        out.append([i, i, i])
+        joined, open_ = n, size(n) < least
+    return [tuple(r) for r in out]
+
+
+def neighbours(lengths: Iterable[int], limit: int) -> list[tuple[int, int, int]]:
+    """(first, last, 0): neighbours joined while they fit together."""
+    out: list[list[int]] = []
+    joined = 0
+    for i, n in enumerate(lengths):
+        if out and max(1, (joined + 2 + n) // 4) <= limit:
+            out[-1][1] = i
+            joined += 2 + n
+        else:
+            out.append([i, i, 0])
+            joined = n
+    return [tuple(r) for r in out]
+
+
+def ancestors(levels: Iterable[int]) -> list[list[int]]:
+    """For each section the sections whose headings are above it and its own, -1 for a level that none has; level 0 is no heading."""
+    stack: list[int] = []
+    out = []
+    for i, level in enumerate(levels):
+        if level:
+            stack = (stack + [-1] * level)[: level - 1] + [i]
+        out.append(list(stack))
+    return out
 
 
-def by_sentences(text: str, limit: int, overlap: int) -> list[str]:
-    parts = re.split(r"(?<=[.?!])\s+", text)
-    if len(parts) < 2:
-        return windows(text, limit)
-    return [c for c, _ in packed(parts, " ", limit, overlap, lambda s: windows(s, limit), strict=False)]
+def _fold(kind: str, fold, *options):
+    """A column function of an array of numbers (null: nothing)."""
 
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            found = None if v is None else fold([int(x) for x in v], *options)
+            out.append([dict(zip(("first", "last", "named"), r)) for r in found] if found is not None and kind == _RUNS else found)
+        return pd.Series(out, dtype=object)
 
-def by_paragraphs(text: str, limit: int, overlap: int) -> list[str]:
-    sentences = lambda p: by_sentences(p, limit, overlap)
-    chunks = list(packed(re.split(r"\n\n+", text), "\n\n", limit, overlap, sentences))
-    if chunks and chunks[-1][1] and size_of(chunks[-1][0]) > limit:
-        return [c for c, _ in chunks[:-1]] + sentences(chunks[-1][0])
-    return [c for c, _ in chunks]
+    return run
 
 
-def sections(markdown: str) -> list[tuple[str, str]]:
-    """(heading path, text with its heading) of a Markdown text; `Introduction` before the first heading."""
-    stack: list[str] = []
-    out: list[tuple[str, str]] = []
-    lines: list[str] = []
+# --- cutting -----------------------------------------------------------------
 
-    def close() -> None:
-        text = "\n".join(lines).strip()
-        if text:
-            out.append((" > ".join(stack) or "Introduction", text))
 
-    for line in markdown.split("\n"):
-        found = re.match(r"^(#{1,6})\s+(.+)$", line)
-        if found:
-            close()
-            level = len(found[1])
-            stack = (stack + [""] * level)[: level - 1] + [found[2].strip()]
-            lines = []
-        lines.append(line)
-    close()
-    return out
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def document_chunks(markdown: str, title: str = "", least: int = 200, limit: int = 1500, overlap: int = 100) -> list[tuple[str, str]]:
-    """(content, heading path): sections, small ones merged forward while they fit, large ones cut."""
-    merged: list[tuple[str, str]] = []
-    open_ = False
-    for path, text in sections(markdown):
-        if open_:
-            old_path, old = merged[-1]
-            both = f"{old}\n\n{text}"
-            if size_of(both) <= limit:
-                merged[-1] = (path if size_of(text) > size_of(old) else old_path, both)
-                continue
-        merged.append((path, text))
-        open_ = size_of(text) < least
-    out = []
-    for path, text in merged:
-        full = path if not title or path.startswith(title) else f"{title} > {path}"
-        out += [(text, full)] if size_of(text) <= limit else [(c, full) for c in by_paragraphs(text, limit, overlap)]
-    return out
+def _joined(parts: Column, run: Column, joint: str) -> Column:
+    return F.array_join(F.slice(parts, run["first"] + 1, run["last"] - run["first"] + 1), joint)
+
+
+def _windows(text: Column, limit: int) -> Column:
+    """A text in pieces of 4 * limit characters."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(4 * limit)), lambda i: F.substring(text, i + 1, F.lit(4 * limit)))
+
+
+def _exploded(rows: DataFrame, pieces: Column, level: str, flag: str) -> DataFrame:
+    """Rows (_text, ...) with a row a piece (content, more) in place of the text; `level` is its place."""
+    others = [c for c in rows.columns if c not in ("_text", flag)]
+    return rows.select(*others, F.posexplode(pieces).alias(level, "_p")).select(*others, level, F.col("_p.content").alias("_text"), F.col("_p.more").alias(flag))
+
+
+def _cut(rows: DataFrame, long: Column, limit: int, overlap: int, seed: Column | None = None, recheck: bool = True) -> DataFrame:
+    """Rows (_text) where `long` ones are cut by paragraphs, paragraphs over the limit by sentences, sentences over it by length; _a, _b, _c are the places.
+
+    With `recheck` a last chunk that its overlap brought over the limit is cut by
+    sentences too. `seed` is what all chunks but the first count more.
+    """
+    piece = lambda content, more: F.struct(content.alias("content"), more.alias("more"))
+    one = lambda text: F.array(piece(text, F.lit(False)))
+    rows = rows.withColumn("_long", long).withColumn("_parts", F.when(F.col("_long"), F.split("_text", r"\n\n+")))
+    sizes = F.transform("_parts", tokens)
+    if seed is None:
+        rows = rows.withColumn("_runs", _fold(_RUNS, runs_of, limit, overlap, 0, STRICT)(sizes))
+    else:
+        rows = rows.withColumn("_runs", _seeded(limit, overlap)(sizes, seed))
+    last = F.size("_runs") - 1
+
+    def paragraph(run: Column, i: Column) -> Column:
+        text = _joined(F.col("_parts"), run, "\n\n")
+        over = (i == last) & (tokens(text) > limit) if recheck else F.lit(False)
+        return piece(text, (run["named"] == 1) | over)
+
+    rows = _exploded(rows, F.when(F.col("_long"), F.transform("_runs", paragraph)).otherwise(one(F.col("_text"))), "_a", "_more").drop("_long", "_parts", "_runs")
+    # Sentences of what is still too long; a text of one sentence is cut by its length.
+    rows = rows.withColumn("_parts", F.when(F.col("_more"), F.split("_text", r"(?<=[.?!])\s+")))
+    rows = rows.withColumn("_runs", _fold(_RUNS, runs_of, limit, overlap, 0, LOOSE)(F.when(F.size("_parts") > 1, F.transform("_parts", tokens))))
+    sentences = F.transform("_runs", lambda run: piece(_joined(F.col("_parts"), run, " "), run["named"] == 1))
+    sentences = F.when(~F.col("_more"), one(F.col("_text"))).when(F.size("_parts") > 1, sentences).otherwise(F.array(piece(F.col("_text"), F.lit(True))))
+    rows = _exploded(rows, sentences, "_b", "_more").drop("_parts", "_runs")
+    pieces = F.when(F.col("_more"), F.transform(_windows(F.col("_text"), limit), lambda w: piece(w, F.lit(False)))).otherwise(one(F.col("_text")))
+    return _exploded(rows, pieces, "_c", "_more").drop("_more")
+
+
+def _seeded(limit: int, overlap: int, how: int = STRICT):
+    """The fold of `runs_of` with a seed for each row."""
+
+    @F.pandas_udf(_RUNS)
+    def run(values: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [dict(zip(("first", "last", "named"), r)) for r in runs_of([int(x) for x in v], limit, overlap, int(n), how)] for v, n in zip(values, seeds)], dtype=object)
+
+    return run
+
 
+def _numbered(rows: DataFrame, others: list[str], row: str = "_row") -> DataFrame:
+    """Chunks of each row in order, with their place, size and hash."""
+    order = Window.partitionBy(row).orderBy("_s", "_a", "_b", "_c")
+    numbered = rows.withColumn("chunk_index", F.row_number().over(order) - 1)
+    return numbered.select(*others, F.col("_text").alias("content"), F.col("_path").alias("heading_path"), "chunk_index", tokens(F.col("_text")).alias("token_count"), content_hash(F.col("_text")).alias("content_hash"))
 
-def statute_chunks(text: str, citation: str, limit: int = 1500, overlap: int = 100) -> list[str]:
-    """A section whole, or packed by its subdivisions, with the citation before all chunks but the first."""
-    if not text.strip():
-        return []
-    if size_of(text) <= limit:
-        return [text]
-    parts = re.split(r"(?m)(?=^\([a-z]\)\s)", text)
-    if len(parts) < 2:
-        return by_paragraphs(text, limit, overlap)
-    head = f"[{citation}]\n\n"
-    lead = parts[0].strip()
-    chunks: list[str] = []
-    held, used = ([lead], size_of(lead)) if lead else ([], 0)
-    for part in parts[1:]:
-        if held and used + size_of(part) > limit:
-            chunks.append("\n\n".join(held))
-            held, used = [], size_of(head)
-        held.append(part)
-        used += size_of(part)
-    chunks.append("\n\n".join(held))
-    return chunks[:1] + [head + c for c in chunks[1:]]
-
-
-def opinion_chunks(text: str, citation: str, limit: int = 1500, overlap: int = 100) -> list[str]:
-    """An opinion whole, or packed by paragraphs with overlap, the citation before all chunks but the first."""
-    if not text.strip():
-        return []
-    if size_of(text) <= limit:
-        return [text]
-    head = f"[{citation}]\n\n"
-    chunks = [c for c, _ in packed(re.split(r"\n\n+", text), "\n\n", limit, overlap, lambda p: by_sentences(p, limit, overlap), seed=size_of(head))]
-    return chunks[:1] + [head + c for c in chunks[1:]]
-
-
-def page_chunks(text: str, name: str, limit: int = 1000, overlap: int = 100) -> list[tuple[str, str]]:
+
+def _rows(rows: DataFrame, text: str, name: str, key: str) -> tuple[DataFrame, list[str]]:
+    others = [c for c in rows.columns if c != text]
+    return rows.select(*others, F.col(key).alias("_row"), F.coalesce(F.col(name), F.lit("")).alias("_name"), F.coalesce(F.col(text), F.lit("")).alias("_text")), others
+
+
+def sections(rows: DataFrame, text: str = "_text") -> DataFrame:
+    """Rows with _sections: array of path and text of a Markdown text, cut before its headings; `Introduction` before the first."""
+    heading = r"#{1,6}[^\S\n][^\n]+"
+    pieces = F.split(text, rf"(?<=\n)(?={heading})")
+    line = lambda p: F.regexp_extract(p, rf"^({heading})", 1)
+    level = lambda p: F.when(line(p) == "", 0).otherwise(F.length(F.regexp_extract(line(p), r"^(#+)", 1)))
+    rows = rows.withColumn("_pieces", pieces)
+    rows = rows.withColumn("_above", _fold("array<array<int>>", ancestors)(F.transform("_pieces", level)))
+    title = lambda p: _stripped(F.regexp_extract(line(p), r"^#+\s+(.+)$", 1))
+    path = lambda i: F.array_join(F.transform(F.get("_above", i), lambda at: F.when(at < 0, "").otherwise(title(F.get("_pieces", at)))), " > ")
+    told = F.transform("_pieces", lambda p, i: F.struct(F.coalesce(F.nullif(path(i), F.lit("")), F.lit("Introduction")).alias("path"), _stripped(p).alias("text")))
+    return rows.withColumn("_sections", F.filter(told, lambda s: s["text"] != "")).drop("_pieces", "_above")
+
+
+def document_chunks(rows: DataFrame, text: str, title: str, key: str, least: int = 200, limit: int = 1500, overlap: int = 100) -> DataFrame:
+    """Chunks of Markdown texts: sections, small ones merged forward while they fit, large ones cut, the title before their path.
+
+    Result: the row's other columns, content, heading_path, chunk_index,
+    token_count, content_hash. `key` tells the rows apart. Null and blank texts have
+    no chunks.
+    """
+    given, others = _rows(rows, text, title, key)
+    cut = sections(given)
+    cut = cut.withColumn("_runs", _fold(_RUNS, merged_sections, least, limit)(F.transform("_sections", lambda s: F.length(s["text"]))))
+    run = F.col("_run")
+    each = cut.select(*others, "_row", "_name", "_sections", F.posexplode("_runs").alias("_s", "_run"))
+    path = F.get("_sections", run["named"])["path"]
+    full = F.when((F.col("_name") == "") | path.startswith(F.col("_name")), path).otherwise(F.concat("_name", F.lit(" > "), path))
+    each = each.select(*others, "_row", "_s", full.alias("_path"), _joined(F.transform("_sections", lambda s: s["text"]), run, "\n\n").alias("_text"))
+    return _numbered(_cut(each, tokens(F.col("_text")) > limit, limit, overlap), others)
+
+
+def statute_chunks(rows: DataFrame, text: str, citation: str, key: str, limit: int = 1500, overlap: int = 100) -> DataFrame:
+    """Sections of laws whole, or packed by their subdivisions `(a)`, the citation before all chunks but the first; without subdivisions cut by paragraphs.
+
+    heading_path is the citation. Blank texts have no chunks.
+    """
+    given, others = _rows(rows, text, citation, key)
+    given = given.where(_stripped(F.col("_text")) != "")
+    whole = tokens(F.col("_text")) <= limit
+    marked = F.col("_text").rlike(r"(?:^|\n)\([a-z]\)\s")
+    head = F.concat(F.lit("["), "_name", F.lit("]\n\n"))
+    pieces = F.split("_text", r"(?<=\n)(?=\([a-z]\)\s)")
+    lead = ~F.get(pieces, F.lit(0)).rlike(r"^\([a-z]\)\s")
+    stripped = F.filter(F.transform(pieces, lambda p, i: F.when((i == 0) & lead, _stripped(p)).otherwise(p)), lambda p: p != "")
+    given = given.withColumn("_by", marked & ~whole).withColumn("_parts", F.when(F.col("_by"), stripped).otherwise(F.array("_text")))
+    given = given.withColumn("_runs", _seeded(limit, 0, NEVER)(F.transform("_parts", tokens), tokens(head)))
+    each = given.select(*others, "_row", "_name", "_by", "_parts", F.posexplode("_runs").alias("_s", "_run"))
+    told = _joined(F.col("_parts"), F.col("_run"), "\n\n")
+    told = F.when(F.col("_by") & (F.col("_s") > 0), F.concat(F.concat(F.lit("["), "_name", F.lit("]\n\n")), told)).otherwise(told)
+    each = each.select(*others, "_row", "_s", "_by", F.col("_name").alias("_path"), told.alias("_text"))
+    return _numbered(_cut(each, ~F.col("_by") & (tokens(F.col("_text")) > limit), limit, overlap), others)
+
+
+def opinion_chunks(rows: DataFrame, text: str, citation: str, key: str, limit: int = 1500, overlap: int = 100) -> DataFrame:
+    """Opinions whole, or packed by paragraphs with overlap, the citation before all chunks but the first; heading_path is the citation."""
+    given, others = _rows(rows, text, citation, key)
+    given = given.where(_stripped(F.col("_text")) != "").select(*others, "_row", F.lit(0).alias("_s"), F.col("_name").alias("_path"), "_text")
+    head = F.concat(F.lit("["), "_path", F.lit("]\n\n"))
+    cut = _cut(given, tokens(F.col("_text")) > limit, limit, overlap, tokens(head), recheck=False)
+    later = (F.col("_a") > 0) | (F.col("_b") > 0) | (F.col("_c") > 0)
+    return _numbered(cut.withColumn("_text", F.when(later, F.concat(head, "_text")).otherwise(F.col("_text"))), others)
+
+
+def page_chunks(rows: DataFrame, text: str, name: str, key: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
     """Form-feed pages, small neighbours merged, with page ranges as headings; blank pages still count."""
-    pages = [(i, p.strip()) for i, p in enumerate(text.split("\f"), 1) if p.strip()]
-    heading = lambda a, b: f"{name} > Page {a}" if a == b else f"{name} > Pages {a}-{b}"
-    out: list[tuple[str, str]] = []
-    held: list[str] = []
-    first = last = 0
-    for i, page in [*pages, (0, "")]:
-        if held and (not page or size_of("\n\n".join([*held, page])) > limit):
-            whole = "\n\n".join(held)
-            out += [(c, heading(first, last)) for c in ([whole] if size_of(whole) <= limit else by_paragraphs(whole, limit, overlap))]
-            held = []
-        if page:
-            first = i if not held else first
-            last = i
-            held.append(page)
-    return out
+    given, others = _rows(rows, text, name, key)
+    pages = F.filter(F.transform(F.split("_text", "\f"), lambda p, i: F.struct((i + 1).alias("number"), _stripped(p).alias("text"))), lambda p: p["text"] != "")
+    given = given.withColumn("_pages", pages)
+    given = given.withColumn("_runs", _fold(_RUNS, neighbours, limit)(F.transform("_pages", lambda p: F.length(p["text"]))))
+    each = given.select(*others, "_row", "_name", "_pages", F.posexplode("_runs").alias("_s", "_run"))
+    number = lambda at: F.get("_pages", F.col("_run")[at])["number"]
+    pages_of = F.when(number("first") == number("last"), F.concat(F.lit(" > Page "), number("first").cast("string"))).otherwise(F.concat(F.lit(" > Pages "), number("first").cast("string"), F.lit("-"), number("last").cast("string")))
+    each = each.select(*others, "_row", "_s", F.concat("_name", pages_of).alias("_path"), _joined(F.transform("_pages", lambda p: p["text"]), F.col("_run"), "\n\n").alias("_text"))
+    return _numbered(_cut(each, tokens(F.col("_text")) > limit, limit, overlap), others)
 
 
-def sheet_chunks(text: str, name: str, limit: int = 1000, overlap: int = 100) -> list[tuple[str, str]]:
-    """`## ` sheets, and what stands before the first."""
-    out = []
-    for part in re.split(r"(?m)^(?=## )", text):
-        if part.strip():
-            sheet = re.match(r"## (.+)", part)
-            path = f"{name} > {sheet[1].strip()}" if sheet else name
-            out += [(c, path) for c in ([part.strip()] if size_of(part.strip()) <= limit else by_paragraphs(part.strip(), limit, overlap))]
-    return out
+def _divided(rows: DataFrame, parts: Column, path: Column, others: list[str], limit: int, overlap: int) -> DataFrame:
+    """Parts of texts (_part at _s of _n), blank ones left out, long ones cut."""
+    each = rows.withColumn("_all", parts).select(*others, "_row", "_name", F.size("_all").alias("_n"), F.posexplode("_all").alias("_s", "_part")).where(_stripped(F.col("_part")) != "")
+    each = each.select(*others, "_row", "_s", path.alias("_path"), _stripped(F.col("_part")).alias("_text"))
+    return _numbered(_cut(each, tokens(F.col("_text")) > limit, limit, overlap), others)
 
 
-def message_chunks(text: str, name: str, separator: str = "\n---\n", limit: int = 1000, overlap: int = 100) -> list[tuple[str, str]]:
-    """One chunk or more a message; the number counts blank messages too."""
-    parts = text.split(separator)
-    out = []
-    for i, part in enumerate(parts, 1):
-        if part.strip():
-            path = f"{name} > Message {i}" if len(parts) > 1 else name
-            out += [(c, path) for c in ([part.strip()] if size_of(part.strip()) <= limit else by_paragraphs(part.strip(), limit, overlap))]
-    return out
+def sheet_chunks(rows: DataFrame, text: str, name: str, key: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+    """`## ` sheets, and what stands before the first."""
+    given, others = _rows(rows, text, name, key)
+    sheet = _stripped(F.regexp_extract("_part", r"^## (.+)", 1))
+    path = F.when(F.col("_part").rlike(r"^## ."), F.concat("_name", F.lit(" > "), sheet)).otherwise(F.col("_name"))
+    return _divided(given, F.split("_text", r"(?<=\n)(?=## )"), path, others, limit, overlap)
 
 
-def file_chunks(text: str, name: str, kind: str, limit: int = 1000, overlap: int = 100) -> list[tuple[str, str]]:
-    """Chunks of a case file by its kind."""
-    if not text.strip():
-        return []
-    if kind == "pdf":
-        return page_chunks(text, name, limit, overlap)
-    if kind in ("xlsx", "csv", "tsv"):
-        return sheet_chunks(text, name, limit, overlap)
-    if kind in ("eml", "mbox", "msg"):
-        return message_chunks(text, name, limit=limit, overlap=overlap)
-    return [(c, name) for c in ([text] if size_of(text) <= limit else by_paragraphs(text, limit, overlap))]
+def message_chunks(rows: DataFrame, text: str, name: str, key: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+    """A chunk or more for each message between `---` lines; their numbers count blank messages too."""
+    given, others = _rows(rows, text, name, key)
+    path = F.when(F.col("_n") > 1, F.concat("_name", F.lit(" > Message "), (F.col("_s") + 1).cast("string"))).otherwise(F.col("_name"))
+    return _divided(given, F.split("_text", "\n---\n"), path, others, limit, overlap)
 
 
-def _udf(cut: Callable[..., list]):
-    @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for text, name in zip(texts, names):
-            found = [c if isinstance(c, tuple) else (c, name) for c in cut(text or "", name or "")]
-            out.append([{"content": c, "heading_path": p, "chunk_index": i, "token_count": size_of(c)} for i, (c, p) in enumerate(found)])
-        return pd.Series(out)
+def plain_chunks(rows: DataFrame, text: str, name: str, key: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+    """Other texts whole, or cut by paragraphs; heading_path is the name."""
+    given, others = _rows(rows, text, name, key)
+    given = given.where(_stripped(F.col("_text")) != "").select(*others, "_row", F.lit(0).alias("_s"), F.col("_name").alias("_path"), "_text")
+    return _numbered(_cut(given, tokens(F.col("_text")) > limit, limit, overlap), others)
 
-    return run
 
+#: How each kind of case file is cut; others are plain.
+BY_KIND = {"pdf": page_chunks, "xlsx": sheet_chunks, "csv": sheet_chunks, "tsv": sheet_chunks, "eml": message_chunks, "mbox": message_chunks, "msg": message_chunks}
 
-def chunked(rows: DataFrame, text: str, name: str, how: Callable[..., list] = document_chunks) -> DataFrame:
-    """One row per chunk of each row's text: the row's other columns, content, heading_path, chunk_index, token_count, content_hash."""
-    return (
-        rows.withColumn("_chunk", F.explode(_udf(how)(F.col(text), F.col(name)))).select(*[c for c in rows.columns if c != text], "_chunk.*").withColumn("content_hash", content_hash(F.col("content")))
-    )
+
+def file_chunks(rows: DataFrame, text: str, name: str, kind: str, key: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+    """Chunks of case files, each kind in its own way."""
+    ways: dict = {}
+    for k, cut in BY_KIND.items():
+        ways.setdefault(cut, []).append(k)
+    out = plain_chunks(rows.where(F.col(kind).isNull() | ~F.col(kind).isin(*BY_KIND)), text, name, key, limit, overlap)
+    for cut, kinds in ways.items():
+        out = out.unionByName(cut(rows.where(F.col(kind).isin(*kinds)), text, name, key, limit, overlap))
+    return out

@@ -552,7 +552,7 @@ def archive_unquote(spark, sf_dir):
 @query()
 def document_chunks(spark, sf_dir):
     pages = files.pages_as_markdown(table(spark, sf_dir, "pages"))
-    return chunking.chunked(pages, "markdown", "title").select("page_id", "chunk_index", "heading_path", "token_count", "content_hash")
+    return chunking.document_chunks(pages, "markdown", "title", "page_id").select("page_id", "chunk_index", "heading_path", "token_count", "content_hash")
 
 
 # --- citations ---------------------------------------------------------------

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import extension, retrieval, rules, shared, validation
+from docloom.operators import chunking, extension, retrieval, rules, shared, validation
 from docloom.plans.registry import query
 from docloom.plans.tables import CHUNKS_SQL, chunks, table
 from docloom.sources import contents, laws, listings
@@ -230,3 +230,35 @@ def keyword_documents(spark, sf_dir):
     return found.join(docs, "document_id").select("document_id", "chunk_index", F.round("score", 6).alias("score"), "lang", "source")
 
 
+
+
+# --- chunks of each kind -----------------------------------------------------
+
+
+@query()
+def statute_chunks_found(spark, sf_dir):
+    """Texts whose lines are subdivisions, packed by them (tests: against plain Python)."""
+    lines = F.regexp_replace("text", r"\n(?=\w)", "\n(b) ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("body"), F.concat(F.lit("Lab. Code § "), F.col("doc_id").cast("string")).alias("citation"))
+    return chunking.statute_chunks(rows, "body", "citation", "doc_id", limit=200, overlap=20).select("doc_id", "chunk_index", "heading_path", "token_count", "content_hash")
+
+
+@query()
+def opinion_chunks_found(spark, sf_dir):
+    """Texts whose lines are paragraphs, packed with overlap (tests: against plain Python)."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"), F.concat(F.lit("In re "), F.col("doc_id").cast("string")).alias("citation"))
+    return chunking.opinion_chunks(rows, "body", "citation", "doc_id", limit=200, overlap=20).select("doc_id", "chunk_index", "heading_path", "token_count", "content_hash")
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, coalesce(source, '') AS name, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, kind, name, p, i, len(ps) AS n FROM (SELECT *, CASE kind WHEN 1 THEN string_split(text, chr(10)) WHEN 2 THEN string_split(text, chr(10)) ELSE [text] END AS ps FROM d), unnest(ps) WITH ORDINALITY AS t(p, i)),
+b AS (SELECT *, regexp_replace(p, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s FROM p),
+c AS (SELECT doc_id, i, CASE WHEN kind = 1 AND n > 1 THEN name || ' > Message ' || i WHEN kind = 2 AND i > 1 THEN name || ' > S' ELSE name END AS heading_path, CASE WHEN kind = 2 AND i > 1 THEN '## S' || CASE WHEN s = '' THEN '' ELSE chr(10) || s END WHEN kind IN (0, 3) THEN p ELSE s END AS content FROM b WHERE s <> '' OR kind = 2 AND i > 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, heading_path, greatest(1, length(content) // 4) AS token_count, sha256(content) AS content_hash FROM c""")
+def file_chunks_found(spark, sf_dir):
+    """Mail, sheets and plain texts, each kind cut in its own way."""
+    kind = F.col("doc_id") % 4
+    body = F.when(kind == 1, F.replace("text", F.lit("\n"), F.lit("\n---\n"))).when(kind == 2, F.replace("text", F.lit("\n"), F.lit("\n## S\n"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), "source", F.when(kind == 1, "eml").when(kind == 2, "csv").when(kind == 3, "txt").alias("kind"))
+    found = chunking.file_chunks(rows, "body", "source", "kind", "doc_id", limit=1_000_000)
+    return found.select("doc_id", "chunk_index", "heading_path", "token_count", "content_hash")

@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import analytics, chunking, graph, retrieval, rules, store
+import plain_chunks as chunking
+from docloom.operators import analytics, graph, retrieval, rules, store
 from docloom.sources import files
 from docloom.streaming import limits
 
