@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import chunking, extension, retrieval, rules, shared, validation
+from docloom.functions import text
+from docloom.operators import chunking, citations, extension, retrieval, rules, shared, store, validation
 from docloom.plans.registry import query
 from docloom.plans.tables import CHUNKS_SQL, chunks, table
-from docloom.sources import contents, laws, listings
+from docloom.sources import contents, files, laws, listings
 from docloom.streaming.refresh import Refresh
 
 # --- validation and reports --------------------------------------------------
@@ -262,3 +263,68 @@ def file_chunks_found(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), "source", F.when(kind == 1, "eml").when(kind == 2, "csv").when(kind == 3, "txt").alias("kind"))
     found = chunking.file_chunks(rows, "body", "source", "kind", "doc_id", limit=1_000_000)
     return found.select("doc_id", "chunk_index", "heading_path", "token_count", "content_hash")
+
+
+# --- archives read from files, small operators -------------------------------
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE l_orderkey % 2 WHEN 0 THEN 'LAB' ELSE 'GOV' END AS law_code, l_partkey::VARCHAR AS section_num, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE '<p>' || l_suppkey || '</p>' END AS html
+FROM lineitem WHERE l_linenumber % 3 = 0 AND l_orderkey % 2 = 0 AND l_partkey % 3 = 1""")
+def archive_sections(spark, sf_dir):
+    """A tab-separated, backtick-quoted section table and its companion texts, written and read: active sections of one code and one division."""
+    s = lambda c: F.col(c).cast("string")
+    lines = table(spark, sf_dir, "lineitem")
+    quoted = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    cells = [F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")), F.when(F.col("l_orderkey") % 2 == 0, "LAB").otherwise("GOV"), s("l_partkey"), *[F.lit("")] * 5, F.concat((F.col("l_partkey") % 3).cast("string"), F.lit(".")), *[F.lit("")] * 5, F.concat(F.lit("L"), s("l_suppkey")), F.when(F.col("l_linenumber") % 3 == 0, "Y").otherwise("N"), F.lit("u"), F.lit("t")]
+    path = shared.temporary(spark, "archive")
+    lines.select(F.concat_ws("\t", *map(quoted, cells)).alias("value")).write.text(path)
+    lobs = lines.where("l_suppkey % 4 != 0").select(F.concat(F.lit("L"), s("l_suppkey")).alias("lob_file"), F.concat(F.lit("<p>"), s("l_suppkey"), F.lit("</p>")).alias("html")).distinct()
+    found = files.filtered_sections(files.law_sections(spark, path, lobs), ["lab"], ["1"])
+    return found.select("id", "law_code", "section_num", "html")
+
+
+@query(r"""SELECT doc_id, CASE WHEN coalesce(h, '') = '' THEN coalesce(text, '') ELSE h || chr(10) || coalesce(text, '') END AS told FROM
+(SELECT doc_id, text, concat_ws(' ', CASE WHEN doc_id % 3 = 0 THEN '[Lab. Code § ' || doc_id || ']' END, CASE WHEN doc_id % 2 = 0 THEN source END) AS h FROM documents)""")
+def searchable_texts(spark, sf_dir):
+    """What is embedded and searched: citation and heading before the text, where there are any."""
+    key = F.col("doc_id")
+    citation = F.when(key % 3 == 0, F.concat(F.lit("Lab. Code § "), key.cast("string"))).when(key % 3 == 1, "")
+    told = store.searchable(F.coalesce("text", F.lit("")), citation, F.when(key % 2 == 0, F.col("source")))
+    return table(spark, sf_dir, "documents").select("doc_id", told.alias("told"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('a' || chr(7) || coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {3,}', '  ', 'g'), ' ') AS told FROM documents WHERE nfc_normalize(coalesce(text, '')) = coalesce(text, '')""")
+def sanitized_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a\u0007"), F.coalesce("text", F.lit(""))).alias("raw"))
+    return rows.select("doc_id", text.sanitized(F.col("raw")).alias("told"))
+
+
+@query("""SELECT o_orderkey, 'Lab. Code § ' || o_custkey || '|' || CASE WHEN o_orderkey % 2 = 0 THEN 'Civ. Proc. Code §§ ' ELSE 'Gov. Code §' END || o_orderkey || '.5' AS found FROM orders""")
+def statute_mentions(spark, sf_dir):
+    """The statutes that a text names, in order."""
+    s = lambda c: F.col(c).cast("string")
+    told = F.concat(F.lit("Under Lab. Code § "), s("o_custkey"), F.lit(" and "), F.when(F.col("o_orderkey") % 2 == 0, "Civ. Proc. Code §§ ").otherwise("Gov. Code §"), s("o_orderkey"), F.lit(".5, not Code § 3; see sec. 4."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.statute_mentions(told), "|").alias("found"))
+
+
+@query("""SELECT c_custkey, 'The FEHA ' || upper(substr(lower(c_mktsegment), 1, 1)) || substr(lower(c_mktsegment), 2) || ' of the State' AS title FROM customer""")
+def titles(spark, sf_dir):
+    """Headings in capitals as titles: acronyms stay, small words are small."""
+    raw = F.concat(F.lit("THE feha "), F.upper("c_mktsegment"), F.lit(" OF THE STATE"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.title_case(raw, ("FEHA",), ("of", "the")).alias("title"))
+
+
+@query("SELECT o_orderkey AS query_id, o_custkey AS chunk_id, '' AS claim_text, 'u' || o_custkey AS source_url, 'c' || o_custkey AS citation, o_orderstatus AS content_category FROM orders")
+def fallback_citations(spark, sf_dir):
+    """A citation for every row of a context, for answers that name none."""
+    s = F.col("o_custkey").cast("string")
+    context = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("chunk_id"), F.concat(F.lit("u"), s).alias("source_url"), F.concat(F.lit("c"), s).alias("citation"), F.col("o_orderstatus").alias("content_category"))
+    return citations.context_citations(context).select("query_id", "chunk_id", "claim_text", "source_url", "citation", "content_category")
+
+
+@query("""SELECT l_orderkey AS chunk_id, l_partkey::VARCHAR AS cited_text, min(l_linenumber) AS position FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 3 = 0 AND l_partkey % 2 = 0) GROUP BY 1, 2""")
+def inserted_links(spark, sf_dir):
+    """Links that are inserted: the first of each chunk and cited text that is not there."""
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").cast("string").alias("cited_text"), F.col("l_linenumber").alias("position"))
+    there = new.where("chunk_id % 3 = 0 and cast(cited_text as long) % 2 = 0").distinct()
+    return store.inserted(there, new, ["chunk_id", "cited_text"], "position").select("chunk_id", "cited_text", "position")
