@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
@@ -107,3 +107,26 @@ def joined_defaults(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with their document's url, language and source; `""`, `en` and 0 where there is none."""
     docs = documents.select(F.col("id").alias("document_id"), "source_url", "language", "source_id")
     return chunks.join(docs, "document_id", "left").fillna({"source_url": "", "language": "en", "source_id": 0})
+
+
+def directed_sections(cases: DataFrame, form: DataFrame, key: str, always: tuple[str, ...] = ("200.1", "216.1"), with_requests: str = "217.1") -> DataFrame:
+    """key, sections of the employment form to ask, sorted: those of the claims that are directed to the other side.
+
+    cases has key, sections (array, null as empty), plaintiff and has_requests; form has
+    section and directed_to (employer, employee or both). A plaintiff asks what is
+    directed to the employer, a defendant what is directed to the employee; some
+    sections are always asked, one with requests for admission only. Sections that
+    the form does not have are left out.
+    """
+    asked = cases.select(key, "plaintiff", F.explode("sections").alias("section")).distinct().join(form, "section")
+    fits = asked.where((F.col("directed_to") == "both") | (F.col("directed_to") == F.when(F.col("plaintiff"), "employer").otherwise("employee")))
+    own = fits.groupBy(key).agg(F.collect_set("section").alias("_own"))
+    base = F.array_union(F.coalesce("_own", F.array().cast("array<string>")), F.array(*map(F.lit, always)))
+    every = F.when(F.col("has_requests"), F.array_union(base, F.array(F.lit(with_requests)))).otherwise(base)
+    return cases.select(key, "has_requests").join(own, key, "left").select(key, F.array_sort(every).alias("sections"))
+
+
+def listed(rows: DataFrame, by: str, *order, where: Column | None = None) -> DataFrame:
+    """Rows with place, in the order of a list of each group (newest cases, files as uploaded, notes as written)."""
+    kept = rows if where is None else rows.where(where)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -177,3 +177,20 @@ def shell_filled(markers: DataFrame, results: DataFrame, enabled: DataFrame, by:
     on = results.join(enabled, [by, "request_number"], "left").where(F.coalesce("is_enabled", F.lit(True))).select(by, "request_number").distinct()
     joined = markers.join(on.withColumn("_on", F.lit(True)), [by, "request_number"], "left")
     return joined.groupBy(by).agg(F.count(F.lit(1)).alias("n_markers"), F.count("_on").alias("n_filled"))
+
+
+def in_category(bank: DataFrame, categories: list[str], order: str = "ordinal") -> DataFrame:
+    """Rows of the given categories with place: categories in the order given, rows in the bank's order; a category given twice counts once."""
+    ranks = F.create_map(*[x for i, c in enumerate(dict.fromkeys(categories)) for x in (F.lit(c), F.lit(i))])
+    kept = bank.where(F.col("category").isin(categories)).withColumn("rank", F.try_element_at(ranks, F.col("category")))
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(order)))
+
+
+def ground(grounds: DataFrame, wanted: DataFrame, key: str = "ground_id") -> DataFrame:
+    """wanted (key) with the ground of that key, null where there is none."""
+    return wanted.join(grounds, key, "left")
+
+
+def ground_index(grounds: DataFrame, key: str = "ground_id") -> DataFrame:
+    """category, n, keys: how many grounds each category has, and their keys in order."""
+    return grounds.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("keys"))

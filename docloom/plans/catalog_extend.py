@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import chunking, citations, extension, retrieval, rules, shared, store, validation
+from docloom.operators import cases, chunking, citations, extension, requests, retrieval, rules, shared, store, validation
 from docloom.plans.registry import query
 from docloom.plans.tables import CHUNKS_SQL, chunks, table
 from docloom.sources import contents, files, laws, listings
@@ -328,3 +328,46 @@ def inserted_links(spark, sf_dir):
     new = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").cast("string").alias("cited_text"), F.col("l_linenumber").alias("position"))
     there = new.where("chunk_id % 3 = 0 and cast(cited_text as long) % 2 = 0").distinct()
     return store.inserted(there, new, ["chunk_id", "cited_text"], "position").select("chunk_id", "cited_text", "position")
+
+
+# --- banks, grounds, lists ---------------------------------------------------
+
+
+@query("""WITH f AS (SELECT s_suppkey::VARCHAR AS section, CASE s_suppkey % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'employer' ELSE 'employee' END AS d FROM supplier),
+c AS (SELECT o_orderkey AS k, o_custkey % 2 = 0 AS p, o_custkey % 5 = 0 AS r FROM orders),
+s AS (SELECT k, p, l_suppkey::VARCHAR AS section FROM c JOIN lineitem ON l_orderkey = k),
+a AS (SELECT k, section FROM s JOIN f USING (section) WHERE d = 'both' OR d = CASE WHEN p THEN 'employer' ELSE 'employee' END UNION SELECT k, unnest(['200.1', '216.1']) FROM c UNION SELECT k, '217.1' FROM c WHERE r)
+SELECT k, string_agg(DISTINCT section, ' ' ORDER BY section) AS sections FROM a GROUP BY k""")
+def directed_sections(spark, sf_dir):
+    """The sections of a form that each side may ask of the other."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey").cast("string")).alias("sections"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 2 == 0).alias("plaintiff"), (F.col("o_custkey") % 5 == 0).alias("has_requests"))
+    key = F.col("s_suppkey")
+    form = table(spark, sf_dir, "supplier").select(key.cast("string").alias("section"), F.when(key % 3 == 0, "both").when(key % 3 == 1, "employer").otherwise("employee").alias("directed_to"))
+    found = cases.directed_sections(orders.join(rows, orders["k"] == rows["l_orderkey"], "left").drop("l_orderkey"), form, "k")
+    return found.select("k", F.array_join("sections", " ").alias("sections"))
+
+
+@query("""SELECT c_custkey, c_mktsegment AS category, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 ELSE 1 END AS rank, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS place FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')""")
+def bank_in_category(spark, sf_dir):
+    bank = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("category"))
+    return requests.in_category(bank, ["MACHINERY", "BUILDING", "MACHINERY"], "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey AS ground_id, c_name AS label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 > 0) ON c_custkey = o_custkey")
+def ground_lookup(spark, sf_dir):
+    grounds = table(spark, sf_dir, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("ground_id"), F.col("c_name").alias("label"))
+    return requests.ground(grounds, table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("ground_id"))).select("o_orderkey", "ground_id", "label")
+
+
+@query("SELECT c_mktsegment AS category, count(*) AS n, string_agg(c_custkey::VARCHAR, ' ' ORDER BY c_custkey) AS keys FROM customer GROUP BY c_mktsegment")
+def ground_index(spark, sf_dir):
+    found = requests.ground_index(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ground_id"), F.col("c_mktsegment").alias("category")))
+    return found.select("category", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), " ").alias("keys"))
+
+
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'""")
+def newest_cases(spark, sf_dir):
+    """The cases of one status, the last changed first."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    return cases.listed(rows, "o_custkey", F.desc("o_orderdate"), "o_orderkey", where=F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey", "place")
