@@ -98,13 +98,42 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
 
 
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Hashes of data[starts:ends]: a polynomial of the bytes, taken from running sums."""
+    """Hashes of data[starts:ends]: a polynomial of the bytes, taken from running sums.
+
+    Starts ascend. Longer data is taken in windows of some STEP_BYTES, and a span
+    that is longer itself in pieces, so tables and sums stay as small as for a step.
+    """
+    if len(data) > STEP_BYTES:
+        return _spans_of_long(data, starts, ends, fold)
     up, down = _tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((FOLDED_CODES if fold else BYTE_CODES)[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts], 1) + (ends - starts).astype(np.uint64)
 
 
+def _spans_of_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > STEP_BYTES // 2)
+    codes, (up, _) = FOLDED_CODES if fold else BYTE_CODES, _tables(1)
+    for i in long.tolist():
+        total, step = np.uint64(0), STEP_BYTES // 2
+        for at in range(int(starts[i]), int(ends[i]), step):
+            piece = data[at : min(at + step, int(ends[i]))]
+            with np.errstate(over="ignore"):
+                total += np.sum(codes[piece] * up[: len(piece)], dtype=np.uint64) * np.uint64(pow(_BASE, at - int(starts[i]), 1 << 64))
+        out[i] = mix(np.array([total]), 1)[0] + np.uint64(ends[i] - starts[i])
+    short = np.flatnonzero(ends - starts <= STEP_BYTES // 2)
+    at = 0
+    while at < len(short):
+        low = int(starts[short[at]])
+        stop = max(at + 1, int(np.searchsorted(starts[short], low + STEP_BYTES // 2)))
+        own = short[at:stop]
+        high = int(ends[own].max())
+        out[own] = spans(data[low:high], starts[own] - low, ends[own] - low, fold)
+        at = stop
+    return out
+
+
 def shingles(found: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owner): every run of `size` words, and the text it is in; not distinct.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprints, mixing, packing, quality, urls, warc
+from docloom.llm import fingerprints, mixing, packing, quality, tokens, urls, warc
 
 DOCS = "doc_id long, text string"
 SPACE = "\x20\t\n\x0b\x0c\r"
@@ -435,3 +435,36 @@ def test_rows_without_ids_are_spread(table):
     assert sum(r.taken for r in plan.collect()) == pytest.approx(400 * 50 * 1.5, rel=0.05)  # blocks of 64 words in shards of 1000
     salted = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(17)).bitwiseXOR(F.xxhash64("text")), F.lit(20)).alias("shard")).groupBy("shard").count()
     assert salted.count() == 20
+
+
+def test_hashes_of_long_data_are_those_of_short_data(monkeypatch):
+    """Windows and pieces of long texts give the same words and sketches, with tables of a step's size."""
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["ab", "Cd" * 40, "é", "x" * 3000]) * rng.randint(1, 3) for _ in range(3000)) + " " + "Long" * 20_000
+    data, offsets = tokens.utf8(pa.array([text, "second text"]))
+    whole = tokens.words(data, offsets)
+    monkeypatch.setattr(tokens, "STEP_BYTES", 4096)
+    monkeypatch.setattr(tokens, "_CACHE", {})
+    cut = tokens.words(data, offsets)
+    assert (whole.hashes == cut.hashes).all() and (whole.starts == cut.starts).all()
+    assert len(tokens._CACHE["up"]) <= 4097
+    starts = np.array([0, 5, 5, 9000, 20_000])
+    ends = np.array([10_000, 9, 30_000, 9001, 90_000])
+    monkeypatch.setattr(tokens, "STEP_BYTES", 4 << 20)
+    plain = tokens.spans(data, starts, ends, True)
+    monkeypatch.setattr(tokens, "STEP_BYTES", 4096)
+    assert (plain == tokens.spans(data, starts, ends, True)).all()
+
+
+def test_memory_of_a_very_long_text():
+    """Hashing 40 MB keeps to a few times the text."""
+    import tracemalloc
+
+    text = pa.array(["lorem ipsum dolor " * 2_300_000])
+    data, offsets = tokens.utf8(text)
+    tokens._tables(tokens.STEP_BYTES + 1)
+    tracemalloc.start()
+    tokens.words(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(data)
