@@ -52,13 +52,13 @@ def dropped(*tables: DataFrame) -> None:
 LITTLE = 8 << 20
 
 
-def gathered(table: DataFrame, most: int = LITTLE) -> DataFrame:
-    """A table of `stash` in one partition if it takes up to `most` bytes, so that joins and groups on it need no shuffle; a larger one as it is.
+def gathered(table: DataFrame, most: int) -> DataFrame:
+    """A table of `stash` in one partition if it takes up to `most` bytes (0: never), so that joins and groups on it need no shuffle; a larger one as it is.
 
     Rounds over links end with tables of a few rows; dealt out, each of their
     steps would cost a task for every shuffle partition.
     """
-    return table.coalesce(1) if bytes_of(table) <= most else table
+    return table.coalesce(1) if most and bytes_of(table) <= most else table
 
 
 def bytes_of(table: DataFrame) -> int:
@@ -67,9 +67,9 @@ def bytes_of(table: DataFrame) -> int:
     return path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
-def sent(table: DataFrame, of: DataFrame | None = None, most: int = LITTLE // 8) -> DataFrame:
-    """`table`, marked to be broadcast if it (or the table of `stash` that it was made `of`) takes up to `most` bytes; else it is shuffled."""
-    return F.broadcast(table) if bytes_of(table if of is None else of) <= most else table
+def sent(table: DataFrame, most: int, of: DataFrame | None = None) -> DataFrame:
+    """`table`, marked to be broadcast if it (or the table of `stash` that it was made `of`) takes up to `most` bytes (0: never); else it is shuffled."""
+    return F.broadcast(table) if most and bytes_of(table if of is None else of) <= most else table
 
 
 def ascii_lower(text: Column) -> Column:

@@ -190,24 +190,24 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int, kind: type) -> Iter
         yield batch.select(["u", "v"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, kind: type = np.int64, little: int = 0) -> DataFrame:
     """The pairs (u, v: keys of `sets`) that pass every order's filter and the exact test; tokens are of the given kind.
 
     The filter of the first order is what made the pairs, so its prefixes stay behind. Sets in no pair are left out
     before the pairs meet them.
     """
-    asked = gathered(pairs).select(F.explode(F.array("u", "v")).alias("asked")).distinct()
-    some = sets.join(sent(asked, pairs), sets["key"] == F.col("asked"), "left_semi")
+    asked = gathered(pairs, little).select(F.explode(F.array("u", "v")).alias("asked")).distinct()
+    some = sets.join(sent(asked, little // 8, pairs), sets["key"] == F.col("asked"), "left_semi")
     some = stash(some.select("key", "n", "tokens", F.slice("prefixes", 2, 1_000).alias("prefixes")), "asked")
     other = some.select(*[F.col(c).alias(c if c == "key" else f"{c}_b") for c in some.columns])
-    both = other.join(sent(pairs), F.col("key") == F.col("v")).drop("key")
-    both = both.join(sent(some), both["u"] == some["key"]).drop("key")
+    both = other.join(sent(pairs, little // 8), F.col("key") == F.col("v")).drop("key")
+    both = both.join(sent(some, little // 8), both["u"] == some["key"]).drop("key")
     found = stash(both.mapInArrow(lambda b: _verify(b, percent, kind), "u long, v long"), "near")
     dropped(some)
     return found
 
 
-def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -> DataFrame:
+def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64, little: int = 0) -> DataFrame:
     """Links (u, v) of representatives in `sets`, enough to join all that hang together.
 
     Documents that share a prefix shingle form a group. In each round the
@@ -219,7 +219,7 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
     more than the rows; the rest then meets pairwise. Both kinds of pairs need
     enough shared shingles from the one where they meet onwards. So no link
     between components is lost, and a group of near copies costs its size, not
-    its square.
+    its square. Tables of up to `little` bytes are taken by one task.
     """
     columns = ("token", "key", "n", "rest", "rank")
     places = sets.select("key", "n", "shared", "rank", "prefixes").mapInArrow(_explode, ", ".join(f"{c} long" for c in columns))
@@ -228,24 +228,24 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
     table = stash(places.join(groups, "token").withColumn("component", F.col("key")), "places")
     links, before = None, None
     while True:
-        places = gathered(table)
+        places = gathered(table, little)
         leads = places.groupBy("token").agg(F.min(F.struct("rank", "key", "n", "rest", "component")).alias("lead"))
         leads = leads.select("token", *[F.col("lead")[c].alias(a) for c, a in (("key", "u"), ("n", "m"), ("rest", "other"), ("component", "component_u"))])
         met = places.join(leads, "token").where("key != u").withColumn("meets", F.expr(f"component != component_u and {_can_link('n', 'm', 'rest', 'other', percent)}"))
         met = stash(met.select(*columns, "component", "u", "meets"), "met")
-        pairs = stash(gathered(met).where("meets").select("u", F.col("key").alias("v")).distinct(), "pairs")
-        found = verified(pairs, sets, percent, kind)
+        pairs = stash(gathered(met, little).where("meets").select("u", F.col("key").alias("v")).distinct(), "pairs")
+        found = verified(pairs, sets, percent, kind, little)
         # What hangs together so far goes on as stars, which settle fast.
-        labels = stash(components(found if links is None else links.unionByName(found)), "labels")
+        labels = stash(components(found if links is None else links.unionByName(found), little=little), "labels")
         links = labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         # A leader has met its whole group; what is left there must still span two components.
-        left = gathered(met).select(*columns).join(gathered(labels), F.col("key") == F.col("node"), "left").select(*columns, F.coalesce("component", "key").alias("component"))
+        left = gathered(met, little).select(*columns).join(gathered(labels, little), F.col("key") == F.col("node"), "left").select(*columns, F.coalesce("component", "key").alias("component"))
         left = stash(left.withColumn("most", F.expr(f"(100 + {percent}) * rest - {percent} * n")), "left")
         # Of any two that can link, `most` of each is at least percent * n of the other.
-        each = gathered(left).groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("most").alias("most"), F.min("n").alias("n"))
+        each = gathered(left, little).groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("most").alias("most"), F.min("n").alias("n"))
         open_ = each.groupBy("token").agg(F.max("most").alias("most_of"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("parts"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
         open_ = stash(open_.where("parts > 1"), "open")
-        able = gathered(left).join(gathered(open_), "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
+        able = gathered(left, little).join(gathered(open_, little), "token").where(f"most_of >= {percent} * n and most >= {percent} * least_n")
         old, table = table, stash(able.select(*columns, "component"), "places")
         rows, still = table.count(), open_.agg(F.sum("pairs")).first()[0] or 0
         dropped(old, met, pairs, found, left, open_)
@@ -254,11 +254,11 @@ def near_links(sets: DataFrame, percent: int = PERCENT, kind: type = np.int64) -
         if still <= PAIRS_A_ROW * rows or (before and still > LEFT_A_ROUND * before):
             break
         before = still
-    places = gathered(table)
+    places = gathered(table, little)
     other = places.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("component").alias("component_v"))
     pairs = places.join(other, "token").where("key < v and component != component_v").where(_can_link("n", "m", "rest", "other", percent))
     pairs = stash(pairs.select(F.col("key").alias("u"), "v").distinct(), "pairs")
-    return links.unionByName(verified(pairs, sets, percent, kind))
+    return links.unionByName(verified(pairs, sets, percent, kind, little))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import packed, tokens
 from docloom.llm.buckets import NO_ID, dealt, each_row, skipped, texts_of
-from docloom.llm.common import dropped, stash
+from docloom.llm.common import LITTLE, dropped, stash
 from docloom.llm.components import components
 from docloom.llm.jaccard_join import near_links
 
@@ -282,7 +282,7 @@ def repeated_paragraphs(texts: DataFrame, copies: DataFrame, parts: int, percent
     rows = stash(sets.select("key", "id", "chunk", "who", "spans"), "rows")
     old, firsts = firsts, stash(with_rarest(firsts, percent), "firsts")
     dropped(old, sets, classes)
-    near = components(stash(near_links(firsts, percent, np.uint32), "near"))
+    near = components(stash(near_links(firsts, percent, np.uint32, LITTLE), "near"), little=LITTLE)
     of_same = same.join(near, same["u"] == near["node"], "left").select(F.col("v").alias("node"), F.coalesce("component", "u").alias("component"))
     of_first = same.select("u").distinct().join(near, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
     labels = stash(near.unionByName(of_same).unionByName(of_first), "labels")
