@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.retrieval import ranked
+from docloom.operators.retrieval import nearest_of, ranked
 from docloom.operators.shared import written
 
 #: Vectors that centroids are fitted on: those with the least hashes of their ids. All that reaches the driver.
@@ -22,6 +22,8 @@ MOST_CELLS = 4096
 TRIALS, NEIGHBOURS = 500, 50
 #: Vectors of a cell's shard at most, before it is split; of a written block; questions of a block.
 SHARD_ROWS, BLOCK_ROWS, BLOCK_QUESTIONS = 65_536, 4096, 1024
+#: Rows that a task makes at once of vectors and the cells that they go to.
+CELL_ROWS = 16_384
 
 _CELLS = "cell int, id long, vector array<float>"
 _BLOCKS = "cell int, shard int, ids binary, rows binary"
@@ -100,16 +102,17 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, recall: float) -> int:
 
 
 def _in_cells(rows: DataFrame, name: str, centroids: np.ndarray, cells: int) -> DataFrame:
-    """cell, id, vector: a row for each of the `cells` nearest centroids of a vector; null vectors are left out."""
+    """cell, id, vector: a row for each of the `cells` nearest centroids of a vector, CELL_ROWS at a time; null vectors are left out."""
+    step = max(1, CELL_ROWS // max(cells, len(centroids) // 8))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                unit = _unit(_matrix(batch.column("vector")))
-                near = unit @ centroids.T
-                best = np.argsort(-near, axis=1, kind="stable")[:, :cells] if cells < len(centroids) else np.tile(np.arange(len(centroids)), (len(unit), 1))
-                row = np.repeat(np.arange(len(unit)), best.shape[1])
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(best.ravel().astype(np.int32)), "id": batch.column("id").take(pa.array(row)), "vector": batch.column("vector").take(pa.array(row))})
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                near = _unit(_matrix(part.column("vector"))) @ centroids.T
+                best = np.argsort(-near, axis=1, kind="stable")[:, :cells] if cells < len(centroids) else np.tile(np.arange(len(centroids)), (len(near), 1))
+                row = np.repeat(np.arange(len(near)), best.shape[1])
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(best.ravel().astype(np.int32)), "id": part.column("id").take(pa.array(row)), "vector": part.column("vector").take(pa.array(row))})
 
     some = rows.select(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")).where("vector is not null")
     return some.mapInArrow(work, _CELLS)
@@ -236,11 +239,10 @@ def search(index: VectorIndex, queries: DataFrame, top_k: int = 50, probes: int
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_rows, ids, rows in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_rows", "ids", "rows"))):
-                who, own = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                near = _unit(np.frombuffer(q_rows, np.float32).reshape(-1, width).astype(np.float64)) @ _unit(np.frombuffer(rows, np.float32).reshape(-1, width).astype(np.float64)).T
-                tops = [np.lexsort((own, -row))[:top_k] for row in near]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(who, [len(t) for t in tops]), "id": np.concatenate([own[t] for t in tops]), "similarity": np.concatenate([row[t] for row, t in zip(near, tops)])})
+            for i in range(batch.num_rows):
+                q_ids, q_rows, ids, rows = (batch.column(c)[i].as_buffer() for c in ("q_ids", "q_rows", "ids", "rows"))
+                asked, own = (_unit(np.frombuffer(x, np.float32).reshape(-1, width).astype(np.float64)) for x in (q_rows, rows))
+                yield nearest_of(np.frombuffer(q_ids, np.int64), asked, np.frombuffer(ids, np.int64), own, top_k)
 
     blocks = index.blocks(spark).where(F.octet_length("ids") > 0)
     near = blocks.join(asked, ["cell", "shard"]).mapInArrow(best, _NEAR)

@@ -118,8 +118,8 @@ def vector_index_changed(spark, sf_dir):
     """An index after a tenth of its vectors was replaced and another tenth deleted, read as a whole."""
     index, vectors, asked = _vector_index(spark, sf_dir)
     n = vectors.count()
-    other = vectors.select(((F.col("id") + n - 1) % n).alias("id"), "vector").where("id % 10 = 3")
-    index = vector_index.update(index, spark, other, vectors.where("id % 10 = 7").select("id"))
+    other = vectors.where("id % 10 = 3").select("id", ((F.col("id") + 1) % n).alias("of")).join(vectors.select(F.col("id").alias("of"), "vector"), "of").select("id", "vector")
+    index = vector_index.update(index, spark, other, vectors.where("id % 10 in (3, 7)").select("id"))
     return vector_index.search(index, asked, probes=len(index.centroids)).withColumn("similarity", F.round("similarity", 5))
 
 
