@@ -39,11 +39,12 @@ SUPRA = rf"\b(?!(?:{_LEAD})\b){_NAME}(?: {_NAME}){{0,3}}, supra(?:,? at \d{{1,5}
 ID = r"\b(?:[Ii]d\.|[Ii]bid\.)(?:,? at \d{1,5}\b)?"
 TOKEN = "|".join((SHORT, FULL, STATUTE, SUPRA, ID))
 
-#: What stands around a full citation: names and year before it, pin and court and year after it.
-_BEFORE = rf"((?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.)(?: (?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.))*) v\. ([A-Z][^;()]*?),?(?: \((?:[^()]* )?(\d{{4}})\))? $"
+#: What stands around a full citation: names and year before it, pin and court and year after it. Runs of words are
+#: possessive: no shorter run could fit, and a run that could be given back takes the stack a level deeper a word.
+_BEFORE = rf"((?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.)(?: (?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.))*+) v\. ([A-Z][^;()]*?),?(?: \((?:[^()]* )?(\d{{4}})\))? $"
 _YEAR_BEFORE = r"\((?:[^()]* )?(\d{4})\) $"
 _AFTER = r"^(?:, (\d{1,5}(?:-\d{1,5})?))?(?: \(((?:[^()]*[^() ])?) ?(\d{4})\))?"
-_LEADS = rf"^(?:(?:{_LEAD}|also|noted|court)\.? )+"
+_LEADS = rf"^(?:(?:{_LEAD}|also|noted|court)\.? )++"
 
 
 def _clean(text: Column) -> Column:

@@ -81,3 +81,10 @@ def test_filters(spark):
     assert texts(citation_forms.cases_only(out)) == ["15 Cal.3d 100", "531 U.S. 98", "Id.", "Bush, supra"]
     assert texts(citation_forms.statutes_only(out)) == ["Pen. Code § 5"]
     assert texts(citation_forms.of_the_state(out)) == ["15 Cal.3d 100", "Pen. Code § 5", "Id."]
+
+
+def test_long_runs_of_names_need_no_deep_stack(spark):
+    run = "Aa of " * 3000
+    out = found(spark, run + "; In Doe v. State (1999) 5 U.S. 10.", run + "Doe v. State (1999) 5 U.S. 10.")
+    assert [(r.plaintiff[-3:], r.defendant, r.year) for r in out] == [("Doe", "State", "1999")] * 2
+    assert [len(r.plaintiff) for r in out] == [3, len(run) + 3]
