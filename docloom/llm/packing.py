@@ -24,6 +24,8 @@ PIECE_BYTES = 1536
 GROUP_PIECES = 1024
 #: Units whose ids a worker remembers (about 50 bytes each), and how many are new to the tokenizer at once.
 MOST_UNITS, NEW_UNITS = 1_000_000, 4096
+#: Bytes of text that are tokenized at once; some twenty arrays of numbers are made of them.
+STEP_BYTES = 1 << 19
 #: Fixed value: how a tokenizer of English words cuts texts; what it matches, lower-cased, is tokenized by itself.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
@@ -145,7 +147,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece:
     _TOKENIZERS[path] = tokenizer
     for batch in batches:
         texts = batch.column("text")
-        for a, b in tokens.steps(texts):
+        for a, b in tokens.steps(texts, STEP_BYTES):
             flat, offsets = tokenizer.encode(texts.slice(a, b - a))
             at, spans = [], []
             for i in range(b - a):

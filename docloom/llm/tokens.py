@@ -175,11 +175,11 @@ def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
-def steps(texts: pa.Array):
-    """Slices (start, stop) of a string array of about STEP_BYTES each, or one longer text."""
+def steps(texts: pa.Array, size: int = STEP_BYTES):
+    """Slices (start, stop) of a string array of about `size` bytes each, or one longer text."""
     _, offsets = utf8(texts)
     at, n = 0, len(texts)
     while at < n:
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, min(stop, n)
         at = min(stop, n)

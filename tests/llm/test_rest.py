@@ -468,3 +468,15 @@ def test_memory_of_a_very_long_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12 * len(data)
+
+
+def test_packing_tokenizes_little_text_at_once():
+    """A step makes some twenty arrays of its text; the pieces don't depend on its size."""
+    import pyarrow as pa
+
+    from docloom.llm import packing, tokens
+
+    n = 2 * packing.STEP_BYTES // 1000
+    texts = pa.array([f"word{i} " * (1000 // len(f"word{i} ")) for i in range(n)])
+    taken = [sum(len(t.as_py()) for t in texts.slice(a, b - a)) for a, b in tokens.steps(texts, packing.STEP_BYTES)]
+    assert len(taken) >= 2 and max(taken) <= packing.STEP_BYTES <= tokens.STEP_BYTES // 8
