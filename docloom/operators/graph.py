@@ -6,25 +6,45 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from docloom.operators.shared import temporary
+
+
+#: Nodes of a level up to which it is broadcast to the links; of more, both are shuffled.
+SMALL_LEVEL = 100_000
 
 
 def frontier(links: DataFrame, seeds: DataFrame, allowed: Column | None = None, most_levels: int | None = None) -> DataFrame:
     """node, level of what is reached from `seeds` (node) over `links` (src, dst), level by level.
 
     Each level is one join and one anti join with what was visited, and is
-    checkpointed, so the plan does not grow with the depth. It goes on until
-    nothing new is found, or for `most_levels` where a crawl has such a limit.
+    written once, so neither the plan nor what is written again grows with the
+    depth. It goes on until nothing new is found, or for `most_levels` where a
+    crawl has such a limit.
     """
-    visited = seeds.select("node").distinct().withColumn("level", F.lit(0))
+    spark = seeds.sparkSession
     edge = links.where(allowed) if allowed is not None else links
-    now = visited
-    for level in count(1) if most_levels is None else range(1, most_levels + 1):
-        found = edge.join(now, edge["src"] == now["node"]).select(F.col("dst").alias("node")).distinct()
-        now = kept(found.join(visited, "node", "left_anti").withColumn("level", F.lit(level)))
-        if now.isEmpty():
+    edge = edge.select("src", F.col("dst").alias("node"))
+    path = temporary(spark, "frontier")
+    kind = StructType([seeds.select("node").union(edge.select("node")).schema["node"]])
+    to = lambda level: f"{path}/level={level}"
+    seeds.select(F.col("node").cast(kind["node"].dataType)).distinct().write.parquet(to(0))
+    for level in count(0) if most_levels is None else range(most_levels):
+        now = spark.read.schema(kind).parquet(to(level))
+        n = now.count()
+        if not n:
             break
-        visited = kept(visited.unionByName(now))
-    return visited
+        visited = spark.read.schema(StructType([*kind, StructField("level", IntegerType())])).parquet(path)
+        reached(edge, now, visited, n <= SMALL_LEVEL).write.parquet(to(level + 1))
+    return spark.read.schema(StructType([*kind, StructField("level", IntegerType())])).parquet(path)
+
+
+def reached(edge: DataFrame, now: DataFrame, visited: DataFrame, small: bool) -> DataFrame:
+    """The nodes that links (src, node) lead to from `now` and that were not visited; of all joined only a small `now` goes through the driver."""
+    now = now.select(F.col("node").alias("_from"))
+    found = edge.join(F.broadcast(now) if small else now.hint("merge"), edge["src"] == now["_from"]).select("node").distinct()
+    return found.join(visited.select("node").hint("merge"), "node", "left_anti")
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -115,6 +115,16 @@ def test_spacing_and_frontier(spark):
     assert {r.node: r.level for r in graph.frontier(links, spark.createDataFrame([(1,)], "node long")).collect()} == {1: 0, 2: 1, 3: 2}
 
 
+def test_large_levels_of_a_frontier_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL_LEVEL", 0)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 2), (8, 9)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,), (1,)], "node long")
+    assert {tuple(r) for r in graph.frontier(links, seeds).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert {tuple(r) for r in graph.frontier(links, seeds, most_levels=1).collect()} == {(1, 0), (2, 1)}
+    plan = graph.reached(links.withColumnRenamed("dst", "node"), seeds, seeds, small=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_page_markdown():
     title, body = files.page_markdown("<title> T </title><nav>n</nav><h2>A</h2><p>x <b>y</b> <a href='/z'>z</a></p><ol><li>p<li>q</ol><table><tr><th>h</th><th>i</th></tr><tr><td>1|2</td></tr></table>")
     assert title == "T" and body == "## A\n\nx **y** [z](/z)\n\n1. p\n2. q\n\n| h | i |\n| --- | --- |\n| 1\\|2 |  |"
