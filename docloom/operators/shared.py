@@ -28,5 +28,5 @@ def temporary(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """`df` written to a temporary path and read again: the lineage is cut and a lost executor costs its tasks only."""
     path = temporary(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

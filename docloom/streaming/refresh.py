@@ -17,6 +17,8 @@ _CHUNKS = "bucket int, source_url string, chunk_id long, chunk_index int, conten
 _EMBEDDED = "bucket int, source_url string, chunk_id long, content_hash string, vector array<float>"
 _LEDGER = "batch long, buckets array<int>, new long, updated long, unchanged long, embedded long, removed long"
 
+_SCHEMAS = {"documents": _DOCUMENTS, "chunks": _CHUNKS, "embedded": _EMBEDDED}
+
 
 def lines(documents: DataFrame) -> DataFrame:
     """Documents (source_url, text) as chunks: a line that is not blank is one."""
@@ -54,7 +56,7 @@ class Refresh:
 
     def table(self, spark: SparkSession, name: str, before: int | None = None, only: list[int] | None = None) -> DataFrame:
         """The rows of documents, chunks or embedded after all committed batches, or those before one."""
-        schema = {"documents": _DOCUMENTS, "chunks": _CHUNKS, "embedded": _EMBEDDED}[name]
+        schema = _SCHEMAS[name]
         version = {b: r["batch"] for r in self.ledger(spark) if before is None or r["batch"] < before for b in r["buckets"]}
         paths = [f"{self.path}/{name}/{v}/bucket={b}" for b, v in sorted(version.items()) if only is None or b in only]
         if not paths:
@@ -62,45 +64,63 @@ class Refresh:
         # The folder of a bucket holds its rows without the bucket's number.
         plain = schema.replace("bucket int, ", "")
         rows = spark.read.schema(plain).parquet(*paths)
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("source_url"), self.buckets).cast("int")).select(*[c.split()[0] for c in schema.split(", ")])
+        return self._in_buckets(rows).select(*[c.split()[0] for c in schema.split(", ")])
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One batch of staged rows (source_url, text and the order's column): the function for foreachBatch."""
         spark = batch.sparkSession
         if any(r["batch"] == batch_id for r in self.ledger(spark)):
             return
-        staged = store.latest(batch.where("source_url is not null"), "source_url", F.desc(self.order), F.desc("text"))
-        staged = staged.select(F.pmod(F.xxhash64("source_url"), self.buckets).cast("int").alias("bucket"), "source_url", F.xxhash64("source_url").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        staged = written(staged.withColumn("content_hash", content_hash(F.col("text"))), "staged")
-        touched = sorted(r["bucket"] for r in staged.select("bucket").distinct().collect())
+        staged = store.latest(batch.where("source_url is not null").select("source_url", "text", self.order), "source_url", F.desc(self.order), F.desc("text"))
+        staged = staged.select("source_url", F.xxhash64("source_url").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        # The status comes by the shuffle that finds the last text, so texts are moved once.
+        staged = store.upsert_status(self.table(spark, "documents", batch_id), staged.withColumn("content_hash", content_hash(F.col("text"))))
+        staged = written(self._in_buckets(staged).withColumn("text", F.when(F.col("status") != "unchanged", F.col("text"))), "staged")
+        found = staged.groupBy("bucket", "status").count().collect()
+        touched = sorted({r["bucket"] for r in found})
+        counts = {s: sum(r["count"] for r in found if r["status"] == s) for s in ("new", "updated", "unchanged")}
         old = {name: self.table(spark, name, batch_id, touched) for name in ("documents", "chunks", "embedded")}
-        status = written(store.upsert_status(old["documents"], staged).select("source_url", "status"), "status")
-        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        changed = staged.join(status.where("status != 'unchanged'"), "source_url", "left_semi")
-
-        documents = store.upserted(old["documents"], staged)
-        # Chunks of what changed: the old ones are switched off, those of the new text are inserted or switched on.
-        fresh = self.split(changed).select("bucket", "source_url", F.xxhash64("source_url", "chunk_index", "content").alias("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content", content_hash(F.col("content")).alias("content_hash"), estimate_tokens(F.col("content")).cast("int").alias("token_count"), F.lit(True).alias("is_active"))
-        stale = old["chunks"].join(changed.select("source_url").withColumn("_changed", F.lit(True)), "source_url", "left")
-        stale = store.deactivated(stale, F.col("_changed").isNotNull()).drop("_changed")
-        chunks = written(store.merged(stale.select(*fresh.columns), fresh, "chunk_id"), "chunks")
+        changed = staged.where("status != 'unchanged'").drop("status")
+
+        self._write(store.merged(old["documents"], changed.select(*old["documents"].columns), "source_url"), "documents", batch_id, touched)
+        # Chunks of what changed: the old ones are switched off, those of the new text are inserted or switched on. What
+        # happens to an old one is found by its keys, so that contents are moved once; digests are made again, not moved.
+        fresh = self.split(changed).select("bucket", "source_url", F.xxhash64("source_url", "chunk_index", "content").alias("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content", estimate_tokens(F.col("content")).cast("int").alias("token_count"), F.lit(True).alias("is_active"))
+        stale = old["chunks"].select("source_url", "chunk_id").join(changed.select("source_url"), "source_url", "left_semi")
+        marks = stale.select("chunk_id", F.lit(False).alias("_again")).unionByName(fresh.select("chunk_id", F.lit(True).alias("_again"))).groupBy("chunk_id").agg(F.bool_or("_again").alias("_again"))
+        before = store.deactivated(old["chunks"].join(marks, "chunk_id", "left").where("not coalesce(_again, false)"), F.col("_again").isNotNull())
+        hashed = lambda rows: rows.withColumn("content_hash", content_hash(F.col("content")))
+        chunks = self._write(hashed(before.select(*fresh.columns).unionByName(fresh)), "chunks", batch_id, touched)
         removed = store.to_remove(chunks, old["embedded"]).select("chunk_id")
         kept = store.deleted(old["embedded"], removed, "chunk_id")
-        # A text that is embedded in this address already is not embedded again.
-        missing = chunks.where("is_active").join(kept.select("chunk_id"), "chunk_id", "left_anti")
-        vectors = self.embed(missing).select("bucket", "source_url", "chunk_id", "content_hash", F.col("vector").cast("array<float>").alias("vector"))
-        embedded = written(kept.select(*vectors.columns).unionByName(vectors), "embedded")
-        facts = (batch_id, touched, *[counts.get(s, 0) for s in ("new", "updated", "unchanged")], missing.count(), removed.count())
-        for name, rows in (("documents", documents), ("chunks", chunks), ("embedded", embedded)):
-            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/{batch_id}")
-            self._fill(spark, name, batch_id, touched, rows)
+        # A text that is embedded in this address already is not embedded again. Only fresh chunks lack a vector, unless an
+        # earlier batch got fewer than it asked for.
+        lacking = written(chunks.where("is_active").select("chunk_id").join(kept.select("chunk_id"), "chunk_id", "left_anti"), "lacking")
+        missing = fresh.join(kept.select("chunk_id"), "chunk_id", "left_anti")
+        n_missing = lacking.count()
+        if n_missing > missing.count():
+            missing = chunks.where("is_active").join(lacking, "chunk_id", "left_semi")
+        vectors = self.embed(hashed(missing)).select("bucket", "source_url", "chunk_id", "content_hash", F.col("vector").cast("array<float>").alias("vector"))
+        self._write(kept.select(*vectors.columns).unionByName(vectors), "embedded", batch_id, touched)
+        facts = (batch_id, touched, *counts.values(), n_missing, removed.count())
         spark.createDataFrame([facts], _LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ledger/{batch_id}")
 
+    def _in_buckets(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("source_url"), self.buckets).cast("int"))
+
+    def _write(self, rows: DataFrame, name: str, batch_id: int, touched: list[int]) -> DataFrame:
+        """A batch's version of a table, from the tasks that have its rows, and read again."""
+        path = f"{self.path}/{name}/{batch_id}"
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+        read = rows.sparkSession.read.schema(_SCHEMAS[name])
+        self._fill(rows.sparkSession, name, batch_id, touched, read.parquet(path))
+        return read.parquet(path)
+
     def _fill(self, spark: SparkSession, name: str, batch_id: int, touched: list[int], rows: DataFrame) -> None:
         """Buckets that the batch left without rows get an empty file, so that every version of the ledger can be read."""
         there = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
         for bucket in set(touched) - there:
-            schema = {"documents": _DOCUMENTS, "chunks": _CHUNKS, "embedded": _EMBEDDED}[name].replace("bucket int, ", "")
+            schema = _SCHEMAS[name].replace("bucket int, ", "")
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{name}/{batch_id}/bucket={bucket}")
 
     def start(self, staged: DataFrame, checkpoint: str):

@@ -141,3 +141,21 @@ def test_sessions_in_any_order(spark, tmp_path, rocks):
 def test_the_state_store_is_checked(spark):
     with pytest.raises(ValueError, match="RocksDB"):
         stateful.sessions(spark.createDataFrame([], "session_id string, turn long, mode string, at timestamp"), 1, "1 second")
+
+
+def test_contents_are_written_aside_once_and_lost_vectors_are_made_later(spark, monkeypatch):
+    """A batch keeps whole texts aside only as staged; vectors that `embed` did not give come with the next batch of their bucket."""
+    from docloom.streaming import refresh as module
+
+    aside = []
+    monkeypatch.setattr(module, "written", lambda df, name="table": aside.append((name, df.columns)) or shared.written(df, name))
+    lost = []
+    refresh = Refresh(shared.temporary(spark, "refresh"), lambda rows: lengths(rows if lost else rows.where("content != 'b2'")), buckets=1)
+    refresh.apply(spark.createDataFrame([("a", "a1\na2", 0), ("b", "b1\nb2", 0)], STAGED), 0)
+    lost.append(1)
+    refresh.apply(spark.createDataFrame([("a", "a1\na3", 1), ("b", "b1\nb2", 1)], STAGED), 1)
+    assert [name for name, columns in aside if {"text", "content"} & set(columns)] == ["staged", "staged"]
+    assert [(r.embedded, r.removed) for r in refresh.ledger(spark)] == [(4, 0), (2, 1)]
+    chunks = {(r.content, r.is_active) for r in refresh.table(spark, "chunks").collect()}
+    assert chunks == {("a1", True), ("a2", False), ("a3", True), ("b1", True), ("b2", True)}
+    assert refresh.table(spark, "embedded").count() == 4
