@@ -1,120 +1,40 @@
 """Texts into chunks: texts are cut, measured and joined by SQL functions; only the sizes of parts go through a fold.
 
-A fold over sizes (whole numbers, in Arrow batches) says which parts make a
+A fold over sizes (whole numbers) says which parts make a
 chunk; no text leaves the JVM, and nothing is shuffled: all parts of a text stay in
 its row until they are exploded in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.folds import LOOSE, NEVER, RUNS, STRICT, ancestors, merged_sections, named, neighbours, runs_of
 from docloom.functions.text import content_hash
 
-_RUNS = "array<struct<first:int,last:int,named:int>>"
-
 
 def tokens(text: Column) -> Column:
     """A quarter of the characters, 1 at least."""
     return F.greatest(F.lit(1), (F.length(text) / 4).cast("int"))
 
 
-# --- folds over sizes --------------------------------------------------------
-
-#: What becomes of a part over the limit: it is cut further after what is open was closed (STRICT), only where nothing is open (LOOSE), or never (NEVER).
-STRICT, LOOSE, NEVER = 0, 1, 2
+def _fold(fold, *options):
+    """A column function of an array of numbers that gives runs (null: nothing).
 
-
-def runs_of(sizes: Iterable[int], limit: int, overlap: int, seed: int, how: int) -> list[tuple[int, int, int]]:
-    """(first, last, 1 if the part is to be cut further): parts packed in order up to `limit`.
-
-    A closed chunk's last parts, up to `overlap`, begin the next one, which counts
-    `seed` more.
+    A plan has several, and each has a worker of its own in every task: plain
+    functions, whose workers hold a few rows and load neither pandas nor Arrow.
     """
-    sizes, out = list(sizes), []
-    first, used = 0, 0
-    held = 0  # parts of the open chunk, that end before i
-    for i, n in enumerate(sizes):
-        if n > limit and (how == STRICT or how == LOOSE and not held):
-            if held:
-                out.append((first, i - 1, 0))
-            out.append((i, i, 1))
-            held, used = 0, 0
-            continue
-        if held and used + n > limit:
-            out.append((first, i - 1, 0))
-            spare, start = overlap, i
-            while start > first and sizes[start - 1] <= spare:
-                start -= 1
-                spare -= sizes[start]
-            held, first, used = i - start, start, overlap - spare + seed
-        if not held:
-            first = i
-        held += 1
-        used += n
-    if held:
-        out.append((first, len(sizes) - 1, 0))
-    return out
+    return F.udf(lambda values: named(None if values is None else fold(values, *options)), RUNS, useArrow=False)
 
 
-def merged_sections(lengths: Iterable[int], least: int, limit: int) -> list[tuple[int, int, int]]:
-    """(first, last, the section that names it): one that is under `least` when it comes takes in the next ones while they fit."""
-    size = lambda n: max(1, n // 4)
-    out: list[list[int]] = []
-    joined, open_ = 0, False
-    for i, n in enumerate(lengths):
-        if open_ and size(joined + 2 + n) <= limit:
-            if size(n) > size(joined):
-                out[-1][2] = i
-            out[-1][1] = i
-            joined += 2 + n
-            continue
-        out.append([i, i, i])
-        joined, open_ = n, size(n) < least
-    return [tuple(r) for r in out]
-
-
-def neighbours(lengths: Iterable[int], limit: int) -> list[tuple[int, int, int]]:
-    """(first, last, 0): neighbours joined while they fit together."""
-    out: list[list[int]] = []
-    joined = 0
-    for i, n in enumerate(lengths):
-        if out and max(1, (joined + 2 + n) // 4) <= limit:
-            out[-1][1] = i
-            joined += 2 + n
-        else:
-            out.append([i, i, 0])
-            joined = n
-    return [tuple(r) for r in out]
-
-
-def ancestors(levels: Iterable[int]) -> list[list[int]]:
-    """For each section the sections whose headings are above it and its own, -1 for a level that none has; level 0 is no heading."""
-    stack: list[int] = []
-    out = []
-    for i, level in enumerate(levels):
-        if level:
-            stack = (stack + [-1] * level)[: level - 1] + [i]
-        out.append(list(stack))
-    return out
-
-
-def _fold(kind: str, fold, *options):
-    """A column function of an array of numbers (null: nothing)."""
+def _ancestors(levels: Column) -> Column:
+    @F.arrow_udf("array<array<int>>")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array((None if v is None else ancestors(v) for v in (x.as_py() for x in values)), pa.list_(pa.list_(pa.int32())))
 
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            found = None if v is None else fold([int(x) for x in v], *options)
-            out.append([dict(zip(("first", "last", "named"), r)) for r in found] if found is not None and kind == _RUNS else found)
-        return pd.Series(out, dtype=object)
-
-    return run
+    return run(levels)
 
 
 # --- cutting -----------------------------------------------------------------
@@ -150,7 +70,7 @@ def _cut(rows: DataFrame, long: Column, limit: int, overlap: int, seed: Column |
     rows = rows.withColumn("_long", long).withColumn("_parts", F.when(F.col("_long"), F.split("_text", r"\n\n+")))
     sizes = F.transform("_parts", tokens)
     if seed is None:
-        rows = rows.withColumn("_runs", _fold(_RUNS, runs_of, limit, overlap, 0, STRICT)(sizes))
+        rows = rows.withColumn("_runs", _fold(runs_of, limit, overlap, 0, STRICT)(sizes))
     else:
         rows = rows.withColumn("_runs", _seeded(limit, overlap)(sizes, seed))
     last = F.size("_runs") - 1
@@ -163,7 +83,7 @@ def _cut(rows: DataFrame, long: Column, limit: int, overlap: int, seed: Column |
     rows = _exploded(rows, F.when(F.col("_long"), F.transform("_runs", paragraph)).otherwise(one(F.col("_text"))), "_a", "_more").drop("_long", "_parts", "_runs")
     # Sentences of what is still too long; a text of one sentence is cut by its length.
     rows = rows.withColumn("_parts", F.when(F.col("_more"), F.split("_text", r"(?<=[.?!])\s+")))
-    rows = rows.withColumn("_runs", _fold(_RUNS, runs_of, limit, overlap, 0, LOOSE)(F.when(F.size("_parts") > 1, F.transform("_parts", tokens))))
+    rows = rows.withColumn("_runs", _fold(runs_of, limit, overlap, 0, LOOSE)(F.when(F.size("_parts") > 1, F.transform("_parts", tokens))))
     sentences = F.transform("_runs", lambda run: piece(_joined(F.col("_parts"), run, " "), run["named"] == 1))
     sentences = F.when(~F.col("_more"), one(F.col("_text"))).when(F.size("_parts") > 1, sentences).otherwise(F.array(piece(F.col("_text"), F.lit(True))))
     rows = _exploded(rows, sentences, "_b", "_more").drop("_parts", "_runs")
@@ -173,12 +93,7 @@ def _cut(rows: DataFrame, long: Column, limit: int, overlap: int, seed: Column |
 
 def _seeded(limit: int, overlap: int, how: int = STRICT):
     """The fold of `runs_of` with a seed for each row."""
-
-    @F.pandas_udf(_RUNS)
-    def run(values: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else [dict(zip(("first", "last", "named"), r)) for r in runs_of([int(x) for x in v], limit, overlap, int(n), how)] for v, n in zip(values, seeds)], dtype=object)
-
-    return run
+    return F.udf(lambda values, seed: named(None if values is None else runs_of(values, limit, overlap, seed, how)), RUNS, useArrow=False)
 
 
 def _numbered(rows: DataFrame, others: list[str], row: str = "_row") -> DataFrame:
@@ -200,7 +115,7 @@ def sections(rows: DataFrame, text: str = "_text") -> DataFrame:
     line = lambda p: F.regexp_extract(p, rf"^({heading})", 1)
     level = lambda p: F.when(line(p) == "", 0).otherwise(F.length(F.regexp_extract(line(p), r"^(#+)", 1)))
     rows = rows.withColumn("_pieces", pieces)
-    rows = rows.withColumn("_above", _fold("array<array<int>>", ancestors)(F.transform("_pieces", level)))
+    rows = rows.withColumn("_above", _ancestors(F.transform("_pieces", level)))
     title = lambda p: _stripped(F.regexp_extract(line(p), r"^#+\s+(.+)$", 1))
     path = lambda i: F.array_join(F.transform(F.get("_above", i), lambda at: F.when(at < 0, "").otherwise(title(F.get("_pieces", at)))), " > ")
     told = F.transform("_pieces", lambda p, i: F.struct(F.coalesce(F.nullif(path(i), F.lit("")), F.lit("Introduction")).alias("path"), _stripped(p).alias("text")))
@@ -216,7 +131,7 @@ def document_chunks(rows: DataFrame, text: str, title: str, key: str, least: int
     """
     given, others = _rows(rows, text, title, key)
     cut = sections(given)
-    cut = cut.withColumn("_runs", _fold(_RUNS, merged_sections, least, limit)(F.transform("_sections", lambda s: F.length(s["text"]))))
+    cut = cut.withColumn("_runs", _fold(merged_sections, least, limit)(F.transform("_sections", lambda s: F.length(s["text"]))))
     run = F.col("_run")
     each = cut.select(*others, "_row", "_name", "_sections", F.posexplode("_runs").alias("_s", "_run"))
     path = F.get("_sections", run["named"])["path"]
@@ -262,7 +177,7 @@ def page_chunks(rows: DataFrame, text: str, name: str, key: str, limit: int = 10
     given, others = _rows(rows, text, name, key)
     pages = F.filter(F.transform(F.split("_text", "\f"), lambda p, i: F.struct((i + 1).alias("number"), _stripped(p).alias("text"))), lambda p: p["text"] != "")
     given = given.withColumn("_pages", pages)
-    given = given.withColumn("_runs", _fold(_RUNS, neighbours, limit)(F.transform("_pages", lambda p: F.length(p["text"]))))
+    given = given.withColumn("_runs", _fold(neighbours, limit)(F.transform("_pages", lambda p: F.length(p["text"]))))
     each = given.select(*others, "_row", "_name", "_pages", F.posexplode("_runs").alias("_s", "_run"))
     number = lambda at: F.get("_pages", F.col("_run")[at])["number"]
     pages_of = F.when(number("first") == number("last"), F.concat(F.lit(" > Page "), number("first").cast("string"))).otherwise(F.concat(F.lit(" > Pages "), number("first").cast("string"), F.lit("-"), number("last").cast("string")))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking
+from docloom.sources import files
 
 
 def texts(seed, marks=(" ", " ", ". ", "? ", "\n", "\n\n", "\n\n\n")):
@@ -61,3 +62,15 @@ def test_no_text_leaves_for_python(spark):
     plan = chunking.document_chunks(rows, "body", "name", "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
     assert chunking.runs_of([5, 5, 5], 10, 5, 0, chunking.STRICT) == [(0, 1, 0), (1, 2, 0)]
+
+
+def test_workers_of_the_folds_load_little(spark):
+    """Each Python step has a worker in every task; only that of the headings above is an Arrow one, the modules of the folds load neither pandas nor Arrow."""
+    import subprocess
+    import sys
+
+    rows = spark.createDataFrame([(1, "# a\n\nb", "n")], "k long, html string, name string")
+    plan = chunking.document_chunks(files.pages_as_markdown(rows), "markdown", "name", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2 and plan.count("BatchEvalPython") >= 4
+    code = "import sys, docloom.functions.folds; assert not {'pandas', 'pyarrow'} & set(sys.modules)"
+    subprocess.run([sys.executable, "-c", code], check=True)
