@@ -88,9 +88,10 @@ coalesce(last_value(CASE WHEN lv = 4 THEN v END IGNORE NULLS) OVER (PARTITION BY
 def carried_levels(spark, sf_dir):
     """Headings of five levels carried forward; a higher one clears those below it."""
     level = F.try_element_at(F.array(*map(F.lit, contents.LEVELS)), (F.col("l_suppkey") % 6 + 1).cast("int"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("place"), level.alias("level"), F.col("l_partkey").cast("string").alias("value"))
-    return contents.carried_levels(rows, "l_orderkey", "place").select("l_orderkey", "place", *contents.LEVELS)
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *order, level.alias("level"), F.col("l_partkey").cast("string").alias("value"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(order))
+    return contents.carried_levels(rows, "l_orderkey", order).select("l_orderkey", place.alias("place"), *contents.LEVELS)
 
 
 @query("""SELECT page_id, i - 1 AS ordinal, CASE WHEN contains(h, '://') THEN h ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || h END AS url

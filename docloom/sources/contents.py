@@ -69,22 +69,23 @@ def contents_entries(pages: DataFrame, divisions: list[str] | None = None, marke
     return found.withColumns(named)
 
 
-def carried_levels(rows: DataFrame, by: str, order: str, level: str = "level", value: str = "value", levels: tuple[str, ...] = LEVELS) -> DataFrame:
+def carried_levels(rows: DataFrame, by: str, order: str | list[str], level: str = "level", value: str = "value", levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """Rows with a column for each of `levels`: the last value set so far, unless a higher level was set after it.
 
     `level` names the level that a row sets (null or another name: none). A
     heading of a level clears all below it, so what is carried is always one path
-    through the levels; it is '' where nothing is set.
+    through the levels; it is '' where nothing is set. All levels come from one
+    window, so the rows are sorted once.
     """
     ordered = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows
+    carried = {}
     for i, name in enumerate(levels):
-        above = F.sum(F.when(F.col(level).isin(*levels[:i]), 1).otherwise(0)).over(ordered) if i else F.lit(0)
-        out = out.withColumn(f"_since_{name}", above)
-    for name in levels:
-        own = Window.partitionBy(by, f"_since_{name}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_at_{name}", F.coalesce(F.last(F.when(F.col(level) == name, F.col(value)), True).over(own), F.lit("")))
-    return out.select(*rows.columns, *[F.col(f"_at_{name}").alias(name) for name in levels])
+        own = (F.col(level) == name) & F.col(value).isNotNull()
+        counts = own | F.col(level).isin(*levels[:i]) if i else own
+        # The last row that sets this level or clears it; a cleared one has no value.
+        last = F.last(F.when(counts, F.struct(F.when(own, F.col(value)).alias("v"))), True).over(ordered)
+        carried[name] = F.coalesce(last["v"], F.lit(""))
+    return rows.select("*", *[c.alias(name) for name, c in carried.items()])
 
 
 def page_headings(pages: DataFrame, by: str, html: str = "html") -> DataFrame:

@@ -165,3 +165,11 @@ def test_runs(spark):
     assert [tuple(r) for r in log.state(spark).collect()] == [(7, 3, "t0", None, "running", "{}")]
     log.append(changes.runs_completed(one, F.lit(2), F.lit(7), F.lit("t1"), F.lit("failed"), F.lit('{"e": 1}')))
     assert [tuple(r) for r in log.state(spark).collect()] == [(7, 3, "t0", "t1", "failed", '{"e": 1}')]
+
+
+def test_levels_are_carried_by_one_sort(spark):
+    rows = spark.createDataFrame([("p", 1, "division", "D1"), ("p", 2, "part", "P1"), ("p", 3, "part", None), ("p", 4, None, "x"), ("p", 5, "title", "T"), ("p", 6, "division", "D2")], "page string, i long, level string, value string")
+    found = contents.carried_levels(rows, "page", ["i"])
+    got = [(r.i, r.division, r.title, r.part) for r in found.orderBy("i").collect()]
+    assert got == [(1, "D1", "", ""), (2, "D1", "", "P1"), (3, "D1", "", "P1"), (4, "D1", "", "P1"), (5, "D1", "T", ""), (6, "D2", "", "")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
