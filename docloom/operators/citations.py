@@ -47,14 +47,17 @@ def resolved(links_: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     keyed = chunks.where("is_active").select("chunk_id", F.explode(section_prefixes(F.col("citation"))).alias("section")).where("section != ''")
     least = keyed.groupBy("section").agg(F.min("chunk_id").alias("target_chunk_id"))
-    return links_.join(least, "section", "left")
+    return links_.join(least.hint("merge"), "section", "left")
 
 
 def best_chunk(links_: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per section the chunk to quote: active ones first, then the least id; with whether it is active."""
-    keyed = chunks.select("chunk_id", "is_active", F.explode(section_prefixes(F.col("citation"))).alias("section"))
-    best = keyed.groupBy("section").agg(F.min(F.struct((~F.col("is_active")).alias("inactive"), "chunk_id")).alias("best"))
-    return links_.join(best.select("section", F.col("best.chunk_id").alias("chunk_id"), (~F.col("best.inactive")).alias("found_active")), "section", "left")
+    # Two plain minima instead of one of structs, which would have to be sorted. The prefixes are many times the rows that
+    # their size is estimated by: without the hint they would be broadcast.
+    active = F.coalesce(F.col("is_active"), F.lit(False))
+    keyed = chunks.select(F.when(active, F.col("chunk_id")).alias("_active"), F.when(~active, F.col("chunk_id")).alias("_other"), F.explode(section_prefixes(F.col("citation"))).alias("section"))
+    best = keyed.groupBy("section").agg(F.min("_active").alias("_active"), F.min("_other").alias("_other"))
+    return links_.join(best.select("section", F.coalesce("_active", "_other").alias("chunk_id"), F.col("_active").isNotNull().alias("found_active")).hint("merge"), "section", "left")
 
 
 def statute_status(found_active: Column, age_days: Column, most_age: int = 30) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 import plain_chunks as chunking
-from docloom.operators import analytics, graph, retrieval, rules, store
+from docloom.operators import analytics, citations, graph, retrieval, rules, store
 from docloom.sources import files
 from docloom.streaming import limits
 
@@ -175,3 +175,11 @@ def test_refresh_stream_and_windows(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
     events = spark.createDataFrame([("k", dt.datetime(2024, 1, 1, 0, 0, 5)), ("k", dt.datetime(2024, 1, 1, 0, 1, 5))], "key string, at timestamp")
     assert [r.n for r in limits.windowed_counts(events, "at", "1 minute", "1 minute", "key").orderBy("start").collect()] == [1, 1]
+
+
+def test_best_chunks_are_neither_broadcast_nor_found_by_sorted_structs(spark):
+    laws = spark.createDataFrame([(1, False, "Lab. Code § 12"), (2, True, "Lab. Code § 12.5"), (3, True, "Lab. Code § 12"), (4, False, "Lab. Code § 7"), (5, None, "Lab. Code § 8")], "chunk_id long, is_active boolean, citation string")
+    found = citations.best_chunk(spark.createDataFrame([("12",), ("7",), ("8",), ("9",)], "section string"), laws)
+    assert {tuple(r) for r in found.select("section", "chunk_id", "found_active").collect()} == {("12", 2, True), ("7", 4, False), ("8", 5, False), ("9", None, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortAggregate" not in plan
