@@ -51,6 +51,11 @@ BOILERPLATE = (
     r"(?im)(?:We use cookies|cookie policy|privacy policy).*$",
 )
 
+# Words of which a text must have one for a pattern to match; small letters stand for either case.
+BOILERPLATE_WORDS = dict(zip(BOILERPLATE, (("skip to ",), ("Search",), ("Menu",), ("Close",), ("800-884-1684", "contact.center@calcivilrights.ca.gov"), ("we use cookies", "cookie policy", "privacy policy"))))
+# Ranges (of a pattern's class) of characters that NFC neither changes, nor moves, nor joins to the one before.
+NFC_SAFE = r"\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2002}-\x{20CF}\x{3001}-\x{3029}\x{3030}-\x{3098}\x{309B}-\x{9FFF}\x{AC00}-\x{D7A3}\x{1F000}-\x{1FAFF}"
+
 # Signs of an attempt to override instructions, first match wins.
 INJECTION = (
     r"(?i)ignore\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|directions?)",

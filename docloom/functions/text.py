@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from unicodedata import normalize
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from docloom.functions import fixed
 
@@ -90,25 +89,40 @@ def cleaned(text: Column, boilerplate: Iterable[str] = fixed.BOILERPLATE) -> Col
     for bad, good in [*fixed.CHARACTERS.items(), *fixed.MOJIBAKE.items()]:
         out = F.replace(out, F.lit(bad), F.lit(good))
     for pattern in boilerplate:
-        out = F.regexp_replace(out, pattern, "")
+        out = _without(out, pattern, fixed.BOILERPLATE_WORDS.get(pattern))
 
     def line(raw: Column) -> Column:
-        bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
+        bare = _trimmed(raw)
         structured = bare.startswith("#") | bare.startswith("-") | bare.startswith("|") | bare.rlike(r"^\d+\.")
-        return F.when(structured, bare).otherwise(F.regexp_replace(bare, r"[ \t]+", " "))
+        spaced = bare.contains("  ") | bare.contains("\t")
+        return F.when(spaced & ~structured, F.regexp_replace(bare, r"[ \t]+", " ")).otherwise(bare)
 
     joined = F.array_join(F.transform(F.split(out, "\n"), line), "\n")
-    return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return _trimmed(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
+def _trimmed(text: Column) -> Column:
+    """Without the white space of a pattern's `\\s` at both ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def _without(text: Column, pattern: str, words: tuple[str, ...] | None) -> Column:
+    """Without what the pattern matches; with `words`, only a text that has one of them (small letters: in any case) is searched."""
+    if not words:
+        return F.regexp_replace(text, pattern, "")
+    some = lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(t) if w == w.lower() else t, F.lit(w)) for w in words])
+    # An array of one names the text, so that it is not made again wherever it is used.
+    return F.transform(F.array(text), lambda t: F.when(some(t), F.regexp_replace(t, pattern, "")).otherwise(t))[0]
 
 
 def sanitized(text: Column) -> Column:
-    """NFC, without control characters, at most two newlines or spaces in a row, trimmed."""
-    plain = F.regexp_replace(_nfc(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    """NFC, without control characters, at most two newlines or spaces in a row, trimmed.
+
+    Only texts with characters that NFC may change go to Python, a few rows at a time.
+    """
+    risky = text.rlike(rf"[^{fixed.NFC_SAFE}]")
+    composed = F.udf(lambda t: None if t is None else normalize("NFC", t), "string", useArrow=False)(F.when(risky, text))
+    plain = F.regexp_replace(F.coalesce(composed, text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r" {3,}", "  "))
 
 

@@ -1,12 +1,15 @@
 """Operators on small rows made by hand."""
 
 import datetime as dt
+import re
+import sys
 import time
+import unicodedata
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from docloom.functions import text
+from docloom.functions import fixed, text
 import plain_chunks as chunking
 from docloom.operators import analytics, citations, graph, retrieval, rules, store
 from docloom.sources import files
@@ -183,3 +186,22 @@ def test_best_chunks_are_neither_broadcast_nor_found_by_sorted_structs(spark):
     assert {tuple(r) for r in found.select("section", "chunk_id", "found_active").collect()} == {("12", 2, True), ("7", 4, False), ("8", 5, False), ("9", None, None)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortAggregate" not in plan
+
+
+def test_patterns_are_searched_only_where_a_word_is(spark):
+    said = ["SKIP to main content x", "Skip\u00a0to Content y", "a\n Search \nb", "a\nMenu\n\x0b\nb", "Close", "close\n", "Sacramento\nz 800-884-1684 q 711 r\ns", "ca 95814 CONTACT.center@calcivilrights.ca.gov Relay Service", "b Cookie Policy c\nd", "a \t b\x0bc  d\n- e  f", " \x1f x \u2003 "]
+    rows = spark.createDataFrame(list(enumerate(said)), "i long, t string")
+    found = rows.select("i", text.cleaned(F.col("t")).alias("a"), text.cleaned(F.col("t"), [f"(?:{p})" for p in fixed.BOILERPLATE]).alias("b"))
+    assert [r.a for r in found.orderBy("i").collect()] == [r.b for r in found.orderBy("i").collect()]
+    plan = found.select("a")._jdf.queryExecution().analyzed().toString().lower()
+    assert "contains(lower(" in plan and r"^\s+|\s+$" not in plan
+
+
+def test_only_texts_that_nfc_may_change_go_to_python(spark):
+    safe = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", fixed.NFC_SAFE) + "]")
+    joined = {chr(int(x, 16)) for c in map(chr, range(sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and not d.startswith("<") for x in d.split()[1:]} | set(map(chr, range(0x1161, 0x1200)))
+    assert not [c for c in map(chr, range(sys.maxunicode + 1)) if safe.match(c) and (not unicodedata.is_normalized("NFC", c) or unicodedata.combining(c) or c in joined)]
+    rows = spark.createDataFrame([("e\u0301 \u212b",), ("caf\u00e9 \u4e2d\U0001f600",), (None,)], "t string")
+    found = rows.select(text.sanitized(F.col("t")).alias("x"))
+    assert [r.x for r in found.collect()] == ["\u00e9 \u00c5", "caf\u00e9 \u4e2d\U0001f600", None]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
