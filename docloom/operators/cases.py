@@ -116,14 +116,15 @@ def directed_sections(cases: DataFrame, form: DataFrame, key: str, always: tuple
     section and directed_to (employer, employee or both). A plaintiff asks what is
     directed to the employer, a defendant what is directed to the employee; some
     sections are always asked, one with requests for admission only. Sections that
-    the form does not have are left out.
+    the form does not have are left out. Keys must be unique.
     """
-    asked = cases.select(key, "plaintiff", F.explode("sections").alias("section")).distinct().join(form, "section")
-    fits = asked.where((F.col("directed_to") == "both") | (F.col("directed_to") == F.when(F.col("plaintiff"), "employer").otherwise("employee")))
-    own = fits.groupBy(key).agg(F.collect_set("section").alias("_own"))
-    base = F.array_union(F.coalesce("_own", F.array().cast("array<string>")), F.array(*map(F.lit, always)))
+    asked = cases.select(key, "plaintiff", "has_requests", F.explode_outer("sections").alias("section")).join(form, "section", "left")
+    fits = (F.col("directed_to") == "both") | (F.col("directed_to") == F.when(F.col("plaintiff"), "employer").otherwise("employee"))
+    # Cases come through with their sections, so nothing is made distinct or joined again.
+    own = asked.groupBy(key, "has_requests").agg(F.collect_set(F.when(fits, F.col("section"))).alias("_own"))
+    base = F.array_union("_own", F.array(*map(F.lit, always)))
     every = F.when(F.col("has_requests"), F.array_union(base, F.array(F.lit(with_requests)))).otherwise(base)
-    return cases.select(key, "has_requests").join(own, key, "left").select(key, F.array_sort(every).alias("sections"))
+    return own.select(key, F.array_sort(every).alias("sections"))
 
 
 def listed(rows: DataFrame, by: str, *order, where: Column | None = None) -> DataFrame:

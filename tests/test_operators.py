@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed, text
 import plain_chunks as chunking
-from docloom.operators import analytics, citations, graph, retrieval, rules, store
+from docloom.operators import analytics, cases, citations, graph, retrieval, rules, store
 from docloom.sources import files
 from docloom.streaming import limits
 
@@ -205,3 +205,11 @@ def test_only_texts_that_nfc_may_change_go_to_python(spark):
     found = rows.select(text.sanitized(F.col("t")).alias("x"))
     assert [r.x for r in found.collect()] == ["\u00e9 \u00c5", "caf\u00e9 \u4e2d\U0001f600", None]
     assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_directed_sections_are_grouped_once(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "z"], True, True), (2, ["a", "b"], False, False), (3, None, True, False)], "k long, sections array<string>, plaintiff boolean, has_requests boolean")
+    form = spark.createDataFrame([("a", "employer"), ("b", "both"), ("c", "both")], "section string, directed_to string")
+    found = cases.directed_sections(rows, form, "k")
+    assert {r.k: r.sections for r in found.collect()} == {1: ["200.1", "216.1", "217.1", "a", "b"], 2: ["200.1", "216.1", "b"], 3: ["200.1", "216.1"]}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
