@@ -22,14 +22,24 @@ def extracted(rows: DataFrame, text: str) -> DataFrame:
     cases = F.transform(F.regexp_extract_all(F.col(text), F.lit(REPORTERS), F.lit(0)), lambda c: F.struct(F.lit("case").alias("citation_type"), c.alias("cited_text")))
     laws = F.transform(F.regexp_extract_all(F.col(text), F.lit(STATUTES), F.lit(0)), lambda c: F.struct(F.lit("statute").alias("citation_type"), c.alias("cited_text")))
     out = rows.select("*", F.posexplode(F.concat(cases, laws)).alias("position", "_c")).select(*[c for c in rows.columns if c != text], "position", "_c.*")
+    return _with_parts(out)
+
+
+def _with_parts(citations: DataFrame) -> DataFrame:
     part = lambda p, i: F.nullif(F.regexp_extract("cited_text", p, i), F.lit(""))
     case = F.col("citation_type") == "case"
-    return out.withColumns({"volume": F.when(case, part(REPORTERS, 1)), "reporter": F.when(case, part(REPORTERS, 2)), "page": F.when(case, part(REPORTERS, 3)), "section": F.when(~case, part(STATUTES, 2))})
+    return citations.withColumns({"volume": F.when(case, part(REPORTERS, 1)), "reporter": F.when(case, part(REPORTERS, 2)), "page": F.when(case, part(REPORTERS, 3)), "section": F.when(~case, part(STATUTES, 2))})
 
 
 def links(citations: DataFrame, source: str = "chunk_id") -> DataFrame:
-    """The first of each (source, cited text)."""
-    return latest(citations, [source, "cited_text"], "position")
+    """The first of each (source, cited text).
+
+    Where citations have nothing besides their source and what the cited text
+    tells, the least position is all that has to be found, and no row is sorted.
+    """
+    if set(citations.columns) != {source, "position", "citation_type", "cited_text", "volume", "reporter", "page", "section"}:
+        return latest(citations, [source, "cited_text"], "position")
+    return _with_parts(citations.groupBy(source, "citation_type", "cited_text").agg(F.min("position").alias("position"))).select(*citations.columns)
 
 
 def section_prefixes(citation: Column) -> Column:

@@ -213,3 +213,11 @@ def test_directed_sections_are_grouped_once(spark):
     found = cases.directed_sections(rows, form, "k")
     assert {r.k: r.sections for r in found.collect()} == {1: ["200.1", "216.1", "217.1", "a", "b"], 2: ["200.1", "216.1", "b"], 3: ["200.1", "216.1"]}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_links_without_other_columns_are_not_sorted(spark):
+    rows = spark.createDataFrame([(1, "Lab. Code \u00a7 5, 12 Cal. 4th 3 and Lab. Code \u00a7 5"), (1, "Lab. Code \u00a7 5"), (2, "none")], "chunk_id long, said string")
+    found = citations.links(citations.extracted(rows, "said"))
+    other = citations.links(citations.extracted(rows.withColumn("more", F.lit(1)), "said")).select(found.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, other.collect()), key=str) and found.count() == 2
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
