@@ -89,11 +89,14 @@ def parsed_requests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are left out. Null and empty texts have none; ids must be unique.
     """
     lines = _marked_lines(docs, id_col, text_col).where("not skipped")
+    # A text's lines meet in one row, where its headings are found, and part again: nothing is read or joined twice.
+    texts = lines.groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "line", "start", "request", "bare"))).alias("_lines"))
+    texts = texts.withColumn("is_bare", ~F.exists("_lines", lambda x: x["request"].isNotNull()))
+    number = lambda x: F.when(F.col("is_bare"), x["bare"]).otherwise(x["request"])
+    starts = F.transform(F.filter("_lines", lambda x: number(x).isNotNull()), lambda x: x["start"])
+    lines = texts.withColumn("kept", spaced(starts, gap)).select("id", "kind", "is_bare", "kept", F.explode("_lines").alias("_l"))
+    lines = lines.select("id", "kind", "is_bare", F.col("_l.place").alias("place"), F.col("_l.line").alias("line"), number(F.col("_l")).alias("number"), (number(F.col("_l")).isNotNull() & F.array_contains("kept", F.col("_l.start"))).alias("is_head"))
     every = Window.partitionBy("id")
-    has_own = F.max(F.col("request").isNotNull()).over(every)
-    lines = lines.withColumn("number", F.when(has_own, F.col("request")).otherwise(F.col("bare"))).withColumn("is_bare", ~has_own)
-    heads = lines.where("number is not null").groupBy("id").agg(spaced(F.array_sort(F.collect_list("start")), gap).alias("kept"))
-    lines = lines.join(heads, "id").withColumn("is_head", F.col("number").isNotNull() & F.array_contains("kept", F.col("start")))
     ordinal = F.sum(F.when(F.col("is_head"), 1).otherwise(0)).over(every.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("ordinal", ordinal).where("ordinal > 0")
     own = reduce(lambda rest, kv: F.when(F.col("kind") == kv[0], _without_heading(F.col("line"), kv[1])).otherwise(rest), fixed.REQUEST_HEADINGS.items(), F.col("line"))
@@ -102,10 +105,10 @@ def parsed_requests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = lines.groupBy("id", "kind", "is_bare", "ordinal").agg(F.max(F.when(F.col("is_head"), F.col("number"))).alias("request_number"), F.array_join(body, "\n").alias("body"))
     bare = F.regexp_replace(F.element_at(F.split("body", "(?m)" + fixed.RESPONSE_HEADING), 1), r"^\s+|\s+$", "")
     found = found.withColumn("request_text", bare).where("request_text != ''")
-    numbers = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "request_number"))), lambda x: x["request_number"])
-    ok = found.groupBy("id").agg(numbers.alias("numbers")).where(sequential(F.col("numbers"))).select("id")
-    kept = found.where("not is_bare").unionByName(found.where("is_bare").join(ok, "id", "left_semi"))
-    return kept.select(F.col("id").alias(id_col), "ordinal", "request_number", "request_text", "kind")
+    each = F.array_sort(F.collect_list(F.struct("ordinal", "request_number", "request_text")))
+    texts = found.groupBy("id", "kind", "is_bare").agg(each.alias("_found"))
+    texts = texts.where(~F.col("is_bare") | sequential(F.transform("_found", lambda x: x["request_number"])))
+    return texts.select(F.col("id").alias(id_col), "kind", F.inline("_found")).select(id_col, "ordinal", "request_number", "request_text", "kind")
 
 
 def _without_heading(line: Column, patterns) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed, text
 import plain_chunks as chunking
-from docloom.operators import analytics, cases, citations, graph, retrieval, rules, store
+from docloom.operators import analytics, cases, citations, graph, requests, retrieval, rules, store
 from docloom.sources import files
 from docloom.streaming import limits
 
@@ -221,3 +221,13 @@ def test_links_without_other_columns_are_not_sorted(spark):
     other = citations.links(citations.extracted(rows.withColumn("more", F.lit(1)), "said")).select(found.columns)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, other.collect()), key=str) and found.count() == 2
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_are_parsed_in_one_pass(spark):
+    texts = ["SPECIAL INTERROGATORY NO. 1: A\nb\nSPECIAL INTERROGATORY NO. 4: C", "Dear\n7. a word here\n8. another one\n9. the last one", "x\n5. only one\n9. and one more", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = requests.parsed_requests(docs, gap=10)
+    got = sorted((r.doc_id, r.ordinal, r.request_number, r.request_text) for r in found.collect())
+    assert got == [(0, 1, 1, "A\nb"), (0, 2, 4, "C"), (1, 1, 7, "a word here"), (1, 2, 8, "another one"), (1, 3, 9, "the last one")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
