@@ -45,8 +45,10 @@ def request_facts(text: Column) -> dict[str, Column]:
 
 def _marked_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The lines of each text with place, start, kind, section (a heading's name), request and bare (numbers), and skipped."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(request_kind(text), F.lit("interrogatories")).alias("kind"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    # Texts are dealt by id before they are cut, so that a few large files still give many tasks and no line is moved later.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    rows = rows.select("id", F.coalesce(request_kind(text), F.lit("interrogatories")).alias("kind"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     line = F.col("line")
     section = reduce(lambda rest, kv: F.when(line.rlike(kv[1]), kv[0]).otherwise(rest), reversed(fixed.SKIPPED_SECTIONS.items()), F.lit(None).cast("string"))
     own = reduce(lambda rest, kv: F.when(F.col("kind") == kv[0], _number(line, kv[1])).otherwise(rest), fixed.REQUEST_HEADINGS.items(), F.lit(None).cast("long"))

@@ -230,4 +230,4 @@ def test_requests_are_parsed_in_one_pass(spark):
     got = sorted((r.doc_id, r.ordinal, r.request_number, r.request_text) for r in found.collect())
     assert got == [(0, 1, 1, "A\nb"), (0, 2, 4, "C"), (1, 1, 7, "a word here"), (1, 2, 8, "another one"), (1, 3, 9, "the last one")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    assert plan.count("LogicalRDD") == 1 and plan.count("RepartitionByExpression") == 1 and "Join" not in plan
