@@ -31,19 +31,19 @@ _SECTION = r"\d+(?:\.\d+)?(?:\([a-z0-9]+\))*"
 _NAME = r"[A-Z][\w'’&-]*"
 #: Words that lead to a case and are no part of its name.
 _LEAD = "As|In|See|The|Under|But|Cf|Compare|Accord|Later|And|Also|Court"
-#: The tokens, in the order in which they are tried at a place.
-SHORT = rf"\b\d{{1,4}} (?:{_REPORTER}),? at \d{{1,5}}\b"
-FULL = rf"\b\d{{1,4}} (?:{_REPORTER}) \d{{1,5}}\b"
+#: The tokens, in the order in which they are tried at a place. Volumes, pages and pins have as many digits as they like.
+SHORT = rf"\b\d+ (?:{_REPORTER}),? at \d+\b"
+FULL = rf"\b\d+ (?:{_REPORTER}) \d+\b"
 STATUTE = rf"\b(?:Cal\. ?)?(?:{_SUBJECT}) Code §§? ?{_SECTION}"
-SUPRA = rf"\b(?!(?:{_LEAD})\b){_NAME}(?: {_NAME}){{0,3}}, supra(?:,? at \d{{1,5}}|, \d{{1,4}} (?:{_REPORTER}) at \d{{1,5}})?"
-ID = r"\b(?:[Ii]d\.|[Ii]bid\.)(?:,? at \d{1,5}\b)?"
+SUPRA = rf"\b(?!(?:{_LEAD})\b){_NAME}(?: {_NAME}){{0,3}}, supra(?:,? at \d+|, \d+ (?:{_REPORTER}) at \d+)?"
+ID = r"\b(?:[Ii]d\.|[Ii]bid\.)(?:,? at \d+\b)?"
 TOKEN = "|".join((SHORT, FULL, STATUTE, SUPRA, ID))
 
 #: What stands around a full citation: names and year before it, pin and court and year after it. Runs of words are
 #: possessive: no shorter run could fit, and a run that could be given back takes the stack a level deeper a word.
 _BEFORE = rf"((?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.)(?: (?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.))*+) v\. ([A-Z][^;()]*?),?(?: \((?:[^()]* )?(\d{{4}})\))? $"
 _YEAR_BEFORE = r"\((?:[^()]* )?(\d{4})\) $"
-_AFTER = r"^(?:, (\d{1,5}(?:-\d{1,5})?))?(?: \(((?:[^()]*[^() ])?) ?(\d{4})\))?"
+_AFTER = r"^(?:, (\d+(?:-\d+)?))?(?: \(((?:[^()]*[^() ])?) ?(\d{4})\))?"
 _LEADS = rf"^(?:(?:{_LEAD}|also|noted|court)\.? )++"
 
 

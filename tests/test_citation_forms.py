@@ -56,6 +56,18 @@ def test_forms_that_go_back(spark):
     ]
 
 
+def test_numbers_of_many_digits(spark):
+    rows = found(spark, "In Doe v. Roe (1975) 15 Cal.3d 899950, 899952-899953, they held. Later Doe, supra, at 1000001. Id. at 899952. See 15 Cal.3d at 899952; Doe, supra, 15 Cal.3d at 899954. 20250 U.S. 7")
+    assert [(r.citation_type, r.cited_text, r.volume, r.page, r.pin_cite, r.antecedent) for r in rows] == [
+        ("case", "15 Cal.3d 899950", "15", "899950", "899952-899953", 0),
+        ("supra", "Doe, supra, at 1000001", None, None, "1000001", 0),
+        ("id", "Id. at 899952", None, None, "899952", 0),
+        ("short_case", "15 Cal.3d at 899952", "15", None, "899952", 0),
+        ("supra", "Doe, supra, 15 Cal.3d at 899954", "15", None, "899954", 0),
+        ("case", "20250 U.S. 7", "20250", "7", None, 5),
+    ]
+
+
 def test_string_cites_spaces_and_places(spark):
     text = "See  36 Cal.4th\n1028; 56 Cal.4th 203;\t27 Cal.3d 167. É 😀 531 U.S. 98"
     clean = " ".join(text.split())
