@@ -37,11 +37,14 @@ FULL = rf"\b\d+ (?:{_REPORTER}) \d+\b"
 STATUTE = rf"\b(?:Cal\. ?)?(?:{_SUBJECT}) Code §§? ?{_SECTION}"
 SUPRA = rf"\b(?!(?:{_LEAD})\b){_NAME}(?: {_NAME}){{0,3}}, supra(?:,? at \d+|, \d+ (?:{_REPORTER}) at \d+)?"
 ID = r"\b(?:[Ii]d\.|[Ii]bid\.)(?:,? at \d+\b)?"
-TOKEN = "|".join((SHORT, FULL, STATUTE, SUPRA, ID))
+#: Every form begins with one of a few characters; most places of a text end there.
+TOKEN = rf"(?=[A-Z0-9i])(?:{'|'.join((SHORT, FULL, STATUTE, SUPRA, ID))})"
 
 #: What stands around a full citation: names and year before it, pin and court and year after it. Runs of words are
 #: possessive: no shorter run could fit, and a run that could be given back takes the stack a level deeper a word.
 _BEFORE = rf"((?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.)(?: (?:{_NAME}\.?,?|of|the|and|for|&|Co\.|Inc\.))*+) v\. ([A-Z][^;()]*?),?(?: \((?:[^()]* )?(\d{{4}})\))? $"
+#: The end of a text, read backwards, that _BEFORE and _YEAR_BEFORE can reach: neither has ; ( or ) but in one last pair.
+_REACH = r"^[\u0085\u2028\u2029]? (?:\)[^()]*\()?[^;()]*"
 _YEAR_BEFORE = r"\((?:[^()]* )?(\d{4})\) $"
 _AFTER = r"^(?:, (\d+(?:-\d+)?))?(?: \(((?:[^()]*[^() ])?) ?(\d{4})\))?"
 _LEADS = rf"^(?:(?:{_LEAD}|also|noted|court)\.? )++"
@@ -81,7 +84,7 @@ def forms(rows: DataFrame, text: str, remove_ambiguous: bool = True) -> DataFram
     start = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.when(F.size(acc) == 0, n["gap"]).otherwise(F.element_at(acc, -1) + n["gap"]), F.when(F.size(acc) == 0, n["gap"] + n["token"]).otherwise(F.element_at(acc, -1) + n["gap"] + n["token"]))))
     each = cut.select(*kept, start.alias("_at"), "_found", "_gaps").select(*kept, F.posexplode("_found").alias("_i", "cited_text"), "_at", "_gaps")
     i = F.col("_i")
-    each = each.select(*kept, "_i", "cited_text", F.element_at("_at", 2 * i + 1).alias("start"), F.element_at("_at", 2 * i + 2).alias("end"), F.element_at("_gaps", i + 1).alias("_before"), F.element_at("_gaps", i + 2).alias("_after"))
+    each = each.select(*kept, "_i", "cited_text", F.element_at("_at", 2 * i + 1).alias("start"), F.element_at("_at", 2 * i + 2).alias("end"), F.reverse(F.regexp_extract(F.reverse(F.element_at("_gaps", i + 1)), _REACH, 0)).alias("_before"), F.element_at("_gaps", i + 2).alias("_after"))
     own = F.col("cited_text")
     kind = F.when(own.contains(", supra"), "supra").when(own.rlike("§"), "statute").when(own.rlike(r"^[Ii](?:b?i)?d\."), "id").when(own.rlike(rf"^{SHORT}$"), "short_case").otherwise("case")
     each = each.withColumn("citation_type", kind)
